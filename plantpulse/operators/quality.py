@@ -109,12 +109,16 @@ class QualityRules:
         g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_pp_n"))
         pre = self._first_failed(before)
         post = self._first_failed(after)
-        kept_copy = g.select(*cols, F.coalesce(pre, post).alias("reject_reason"),
-                             F.lit(1).cast("long").alias("n_rows"))
-        extra = (g.filter(F.col("_pp_n") > 1)
-                  .select(*cols, F.coalesce(pre, F.lit(DEDUP)).alias("reject_reason"),
+        # a group failing a rule before the dedup is rejected whole by that
+        # rule; otherwise one copy goes on to the later rules and the other
+        # copies are duplicates
+        firsts = g.select(*cols, F.coalesce(pre, post).alias("reject_reason"),
+                          F.when(pre.isNotNull(), F.col("_pp_n")).otherwise(F.lit(1))
+                           .cast("long").alias("n_rows"))
+        extra = (g.filter(pre.isNull() & (F.col("_pp_n") > 1))
+                  .select(*cols, F.lit(DEDUP).alias("reject_reason"),
                           (F.col("_pp_n") - 1).alias("n_rows")))
-        return kept_copy.unionByName(extra)
+        return firsts.unionByName(extra)
 
     def apply(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(clean rows, rejected rows with ``reject_reason`` and ``n_rows``)."""

@@ -24,6 +24,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _C = "_pp_chunk"
 _H = "_pp_halo"
@@ -39,8 +40,19 @@ def epoch_micros(ts: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), c.cast("timestamp_ntz"))
 
 
-def chunk_of(ts: str | Column, chunk_seconds: int) -> Column:
-    return F.floor(epoch_micros(ts) / F.lit(int(chunk_seconds) * 1_000_000)).cast("long")
+def micros_of(df: DataFrame, ts: str) -> Column:
+    """Epoch microseconds of a TIMESTAMP, TIMESTAMP_NTZ or (already) integer
+    microsecond column -- monotone in the column's own order."""
+    t = df.schema[ts].dataType
+    if isinstance(t, T.TimestampType):
+        return F.unix_micros(F.col(ts))
+    if isinstance(t, T.TimestampNTZType):
+        return epoch_micros(ts)
+    return F.col(ts).cast("long")
+
+
+def chunk_of(df: DataFrame, ts: str, chunk_seconds: int) -> Column:
+    return F.floor(micros_of(df, ts) / F.lit(int(chunk_seconds) * 1_000_000)).cast("long")
 
 
 def _order_cols(order: Sequence[str], descending: bool) -> list[Column]:
@@ -78,7 +90,7 @@ def rows_window(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns(columns(w))
     ts_col = ts_col or order[0]
-    base = df.withColumn(_C, chunk_of(ts_col, chunk_seconds))
+    base = df.withColumn(_C, chunk_of(df, ts_col, chunk_seconds))
     parts = [base.withColumn(_H, F.lit(False))]
     if preceding > 0:
         parts.append(_halo(base, keys, order, preceding, forward=False).withColumn(_H, F.lit(True)))
@@ -113,7 +125,7 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
              else w.rowsBetween(Window.unboundedPreceding, 0))
         return df.withColumns({c: fn(c, ignorenulls=True).over(w) for c in cols})
     ts_col = ts_col or order[0]
-    base = df.withColumn(_C, chunk_of(ts_col, chunk_seconds))
+    base = df.withColumn(_C, chunk_of(df, ts_col, chunk_seconds))
     ordkey = F.struct(*[F.col(o) for o in order])
     # last (first) non-null value of each chunk, as a partial aggregate
     pick = F.min_by if backward else F.max_by
@@ -143,7 +155,7 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.count(F.lit(1)).over(w))
     ts_col = ts_col or order[0]
-    base = df.withColumn(_C, chunk_of(ts_col, chunk_seconds))
+    base = df.withColumn(_C, chunk_of(df, ts_col, chunk_seconds))
     carried = _chunk_carry(base, keys, {"_pp_n": F.count(F.lit(1))},
                            lambda k, w: F.coalesce(F.sum(k).over(w), F.lit(0)))
     w = Window.partitionBy(*keys, _C).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
