@@ -37,8 +37,12 @@ def ts_text(c: Column | str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.date_format(col(c), pattern)
 
 
-def round6(c: Column | str) -> Column:
-    return F.round(col(c), 6)
+def rnd(c: Column | str, scale: int = 6) -> Column:
+    """Round half away from zero on the scaled value ``x * 10^scale`` -- the
+    way DuckDB rounds a double -- so both engines give bit-identical
+    doubles (rounding the exact binary value instead differs on near-ties)."""
+    f = float(10 ** scale)
+    return F.round(col(c) * F.lit(f)) / F.lit(f)
 
 
 def seconds_between(later: Column | str, earlier: Column | str) -> Column:

@@ -35,12 +35,16 @@ def confusion_wide(df: DataFrame, label: str, pred: str, classes: Sequence) -> D
                 .na.fill(0))
 
 
+def alarm_count_cols(label: str, pred: str, positive=1, negative=0) -> list:
+    """A11 as aggregate expressions: missed faults (true positive class
+    predicted negative) and false alarms (true negative predicted positive)."""
+    return [F.count_if((F.col(label) == positive) & (F.col(pred) == negative)).alias("missed"),
+            F.count_if((F.col(label) == negative) & (F.col(pred) == positive)).alias("false_alarms")]
+
+
 def alarm_counts(df: DataFrame, label: str, pred: str, positive=1, negative=0) -> DataFrame:
-    """Missed faults (true positive class predicted negative) and false
-    alarms (true negative predicted positive)."""
-    return df.agg(
-        F.count_if((F.col(label) == positive) & (F.col(pred) == negative)).alias("missed"),
-        F.count_if((F.col(label) == negative) & (F.col(pred) == positive)).alias("false_alarms"))
+    """A11."""
+    return df.agg(*alarm_count_cols(label, pred, positive, negative))
 
 
 def classification_report(df: DataFrame, label: str, pred: str, classes: Sequence) -> DataFrame:
@@ -96,8 +100,14 @@ def regression_metrics(df: DataFrame, y: str, y_hat: str) -> DataFrame:
         F.sqrt(F.col("sse") / F.col("n")).alias("rmse"))
 
 
+def thresholded_accuracy_col(y: str, y_hat: str, threshold: float = 0.5):
+    """A14 as an aggregate expression."""
+    same = (F.col(y) > threshold) == (F.col(y_hat) > threshold)
+    return F.avg(same.cast("double"))
+
+
 def thresholded_accuracy(df: DataFrame, y: str, y_hat: str, threshold: float = 0.5) -> DataFrame:
     """Share of rows where truth and prediction fall on the same side of
     the threshold."""
-    same = (F.col(y) > threshold) == (F.col(y_hat) > threshold)
-    return df.agg(F.avg(same.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return df.agg(thresholded_accuracy_col(y, y_hat, threshold).alias("accuracy"),
+                  F.count(F.lit(1)).alias("n"))

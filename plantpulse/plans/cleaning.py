@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import rnd
+
 from ..functions.encoding import encode_label
 from ..functions.expressions import clip
 from ..operators import profile as A
@@ -114,9 +116,9 @@ def pump_clipped(spark: SparkSession, sf: str) -> DataFrame:
     """``clip(lo, hi)``, ``np.maximum(x, 10)``, ``max(0, x)``."""
     df = pump_readings(spark, sf)
     return df.groupBy("state").agg(
-        F.round(F.sum(clip("flow", 60.0, 140.0)), 6).alias("flow_clipped"),
-        F.round(F.sum(clip("power", lo=0.0)), 6).alias("power_floor"),
-        F.round(F.sum(clip("head", lo=10.0)), 6).alias("head_floor"),
+        rnd(F.sum(clip("flow", 60.0, 140.0)), 6).alias("flow_clipped"),
+        rnd(F.sum(clip("power", lo=0.0)), 6).alias("power_floor"),
+        rnd(F.sum(clip("head", lo=10.0)), 6).alias("head_floor"),
         F.count(F.lit(1)).alias("n"))
 
 
@@ -132,8 +134,8 @@ def pump_describe(spark: SparkSession, sf: str) -> DataFrame:
     """A1 on the cleaned table (exact linear percentiles)."""
     clean, _ = PUMP_RULES.apply(pump_readings(spark, sf))
     d = A.describe(clean, ["flow", "head", "power", "vibration"])
-    return d.select("column", "count", *[F.round(c, 6).alias(c) for c in ["mean", "std"]], "min",
-                    *[F.round(c, 6).alias(c) for c in ["p25", "p50", "p75"]], "max")
+    return d.select("column", "count", *[rnd(c, 6).alias(c) for c in ["mean", "std"]], "min",
+                    *[rnd(c, 6).alias(c) for c in ["p25", "p50", "p75"]], "max")
 
 
 _CORR_COLS = ["flow", "head", "power", "vibration"]
@@ -148,7 +150,7 @@ def pump_correlation(spark: SparkSession, sf: str) -> DataFrame:
     """A2: Pearson correlation of every feature pair."""
     clean, _ = PUMP_RULES.apply(pump_readings(spark, sf))
     c = A.correlation_matrix(clean, ["flow", "head", "power", "vibration"])
-    return c.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
+    return c.select("col_a", "col_b", rnd("corr", 6).alias("corr"))
 
 
 @query("pump_class_shares", _REASON_SQL + """
@@ -158,7 +160,7 @@ FROM clean GROUP BY state
 def pump_class_shares(spark: SparkSession, sf: str) -> DataFrame:
     """A3: class counts and shares after cleaning."""
     clean, _ = PUMP_RULES.apply(pump_readings(spark, sf))
-    return A.class_counts(clean, "state").withColumn("share", F.round("share", 6))
+    return A.class_counts(clean, "state").withColumn("share", rnd("share", 6))
 
 
 def _hist_sql(src: str, cls: str, val: str, bins: int) -> str:
@@ -179,8 +181,8 @@ def pump_histogram(spark: SparkSession, sf: str) -> DataFrame:
     """30-bin flow histogram per class on the class's own range."""
     clean, _ = PUMP_RULES.apply(pump_readings(spark, sf))
     h = A.histogram(clean, "flow", "state", bins=30)
-    return h.select("state", "bin", F.round("bin_lo", 6).alias("bin_lo"),
-                    F.round("bin_hi", 6).alias("bin_hi"), "n")
+    return h.select("state", "bin", rnd("bin_lo", 6).alias("bin_lo"),
+                    rnd("bin_hi", 6).alias("bin_hi"), "n")
 
 
 @query("pump_raw_vs_clean_histogram", _REASON_SQL + """,
@@ -194,8 +196,8 @@ def pump_raw_vs_clean_histogram(spark: SparkSession, sf: str) -> DataFrame:
     both = (raw.select(F.lit("raw").alias("source"), "vibration")
                .unionByName(clean.select(F.lit("clean").alias("source"), "vibration")))
     h = A.histogram(both, "vibration", "source", bins=50)
-    return h.select("source", "bin", F.round("bin_lo", 6).alias("bin_lo"),
-                    F.round("bin_hi", 6).alias("bin_hi"), "n")
+    return h.select("source", "bin", rnd("bin_lo", 6).alias("bin_lo"),
+                    rnd("bin_hi", 6).alias("bin_hi"), "n")
 
 
 @query("pump_box_stats", _REASON_SQL + """,
@@ -217,5 +219,5 @@ def pump_box_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Box-plot numbers per class x feature."""
     clean, _ = PUMP_RULES.apply(pump_readings(spark, sf))
     b = A.box_stats(clean, "state", ["flow", "head", "power", "vibration"])
-    return b.select("state", "feature", *[F.round(c, 6).alias(c) for c in ["q1", "median", "q3", "mean"]],
+    return b.select("state", "feature", *[rnd(c, 6).alias(c) for c in ["q1", "median", "q3", "mean"]],
                     "whisker_lo", "whisker_hi", "n_outliers")
