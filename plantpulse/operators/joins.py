@@ -128,6 +128,5 @@ def not_yet_alerted(candidates: DataFrame, alerts: DataFrame, keys: Sequence[str
     a = alerts.select(*keys, F.col(alert_ts).alias("_pp_at"))
     j = asof_backward(candidates, a, keys, ts, "_pp_at", ["_pp_at"], chunk_seconds=chunk_seconds,
                       prefix="last")
-    gap = (F.unix_micros(F.col(ts).cast("timestamp"))
-           - F.unix_micros(F.col("last_pp_at").cast("timestamp"))) / 1e6
+    gap = (epoch_micros(ts) - epoch_micros("last_pp_at")) / 1e6
     return j.filter(F.col("last_pp_at").isNull() | (gap > cooldown_seconds)).drop("last_pp_at")

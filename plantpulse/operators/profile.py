@@ -139,11 +139,9 @@ def fault_frequency(df: DataFrame, device: str, ts: str, fault: Column, *,
 
 def recent(df: DataFrame, ts: str, days: int = 30) -> DataFrame:
     """The last ``days`` days of data relative to the newest reading. The
-    newest timestamp is one global aggregate (one value)."""
-    newest = df.agg(F.max(ts)).first()[0]
-    if newest is None:
-        return df.limit(0)
-    return df.filter(F.col(ts) >= F.lit(newest) - F.expr(f"INTERVAL {int(days)} DAYS"))
+    newest timestamp is a scalar subquery (one partial aggregate)."""
+    newest = df.agg(F.max(ts)).scalar()
+    return df.filter(F.col(ts) >= newest - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
 def distinct_classes(df: DataFrame, cls: str) -> DataFrame:

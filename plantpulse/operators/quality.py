@@ -166,10 +166,9 @@ def dedup(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 def fill_mean(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULL -> column mean over non-NULL values. The means are one
-    global aggregate (partial sums per task, one row in the end), applied back
-    as literals -- the same thing ML ``Imputer`` does."""
-    row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(row[c]).cast("double")) for c in cols})
+    global aggregate (partial sums per task, one row in the end) used as a
+    scalar subquery, so nothing is collected and the plan stays lazy."""
+    return df.withColumns({c: F.coalesce(F.col(c), df.agg(F.avg(c)).scalar()) for c in cols})
 
 
 def sigma_band(df: DataFrame, keys: Sequence[str], col: str, *, k: float = 3.0,
