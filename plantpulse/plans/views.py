@@ -25,7 +25,11 @@ from ..sources.readers import read_table
 
 
 def event_readings(spark: SparkSession, sf: str) -> DataFrame:
-    e = read_table(spark, sf, "events")
+    return event_readings_from(read_table(spark, sf, "events"))
+
+
+def event_readings_from(e: DataFrame) -> DataFrame:
+    """The reading view over an ``events``-shaped batch or stream."""
     sig = F.when(F.col("event_id") % 17 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
     k = F.get_json_object("props", "$.k").cast("int")
     return e.select(

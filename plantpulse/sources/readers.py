@@ -49,10 +49,13 @@ def apply_aliases(df: DataFrame, aliases: Mapping[str, str] = ALIASES) -> DataFr
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-                max_files_per_trigger: int | None = None) -> DataFrame:
-    """A sensor reading stream from a folder of files. A Kafka source gives
-    the same downstream plan after ``from_json``."""
+                max_files_per_trigger: int | None = None, file_glob: str | None = None) -> DataFrame:
+    """A sensor reading stream from a folder of files (``file_glob``
+    picks the table's files inside a shared folder). A Kafka source gives the
+    same downstream plan after ``from_json``."""
     r = spark.readStream.schema(schema).format(fmt)
+    if file_glob:
+        r = r.option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
