@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from .joins import asof_forward_strict
-from .windows import micros_of
+from .windows import DEFAULT_CHUNK_ROWS, micros_of
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,13 +40,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+FOLD_MAX_ROWS = 100_000
+
+
 def cooldown_fired(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
-                   cooldown_seconds: float, *, chunk_seconds: int | None = 86_400,
-                   max_levels: int = 62) -> DataFrame:
+                   cooldown_seconds: float, *, chunk_seconds: int | None = None,
+                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
+                   fold_max_rows: int = FOLD_MAX_ROWS, max_levels: int = 62) -> DataFrame:
     """Rows of ``df`` that fire under the cool-down rule (``row_id`` must be
-    unique). Returns ``df``'s columns."""
+    unique). Returns ``df``'s columns.
+
+    When no key has more than ``fold_max_rows`` events (one aggregate
+    checks), each key's events are walked in time order by a grouped pandas
+    function (bounded groups, linear work). Otherwise the pointer-doubling
+    plan below runs, which never holds a key in one task."""
     ids = df.select(*keys, row_id, ts)
-    nxt = asof_forward_strict(ids, keys, ts, row_id, cooldown_seconds, chunk_seconds=chunk_seconds)
+    us = micros_of(df, ts)
+    widest = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if widest is None:
+        return df.limit(0)
+    if widest <= fold_max_rows:
+        fired = _fold_per_key(ids.withColumn("_us", us), keys, row_id, cooldown_seconds)
+        return df.join(fired, row_id, "left_semi")
+    nxt = asof_forward_strict(ids, keys, ts, row_id, cooldown_seconds, chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
     level = materialize(nxt.select(F.col(row_id).alias("_id"), F.col("next_id").alias("_nx")),
                         "cooldown-l0")
     levels = [level]
@@ -60,7 +76,6 @@ def cooldown_fired(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
         level = materialize(up, f"cooldown-l{len(levels)}")
         levels.append(level)
     # chain starts: the first event of every key (a partial aggregate)
-    us = micros_of(df, ts)
     starts = (ids.withColumn("_us", us).groupBy(*keys)
                  .agg(F.min_by(F.col(row_id), F.struct(F.col("_us"), F.col(row_id))).alias("_id")))
     fired = materialize(starts.select("_id"), "cooldown-s")
@@ -71,6 +86,29 @@ def cooldown_fired(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
     return df.join(fired.withColumnRenamed("_id", row_id), row_id, "left_semi")
 
 
+def _fold_per_key(ids: DataFrame, keys: Sequence[str], row_id: str, cooldown_seconds: float) -> DataFrame:
+    """Greedy walk of each key's events (groups are bounded by the caller)."""
+    import numpy as np
+    import pandas as pd
+
+    gap_us = int(round(cooldown_seconds * 1_000_000))
+    id_type = ids.schema[row_id].dataType.simpleString()
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_us", row_id], kind="mergesort")
+        times = pdf["_us"].to_numpy()
+        keep = np.zeros(len(times), dtype=bool)
+        last = None
+        for i, u in enumerate(times):
+            if last is None or u - last > gap_us:
+                keep[i] = True
+                last = u
+        return pdf.loc[keep, [row_id]]
+
+    return (ids.select(*keys, row_id, "_us").groupBy(*keys)
+               .applyInPandas(walk, f"{row_id} {id_type}"))
+
+
 def alert_records(fired: DataFrame, device: str, ts: str, state: str,
                   score: str | None = None) -> DataFrame:
     """The alert table row -- device, state, alert time and a message with

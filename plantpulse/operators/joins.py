@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import epoch_micros
+from .windows import DEFAULT_CHUNK_ROWS, epoch_micros
 
 BROADCAST_MAX_ROWS = 2_000_000
 
@@ -62,7 +62,8 @@ def reconcile(a: DataFrame, b: DataFrame, key: Sequence[str], col_a: str, col_b:
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_ts: str,
                   right_ts: str, values: Sequence[str], *, seq_left: str | None = None,
-                  seq_right: str | None = None, chunk_seconds: int | None = 86_400,
+                  seq_right: str | None = None, chunk_seconds: int | None = None,
+                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
                   prefix: str = "asof_") -> DataFrame:
     """For each left row, the latest right row of the same key with
     ``right_ts <= left_ts`` (ties: the right row sorts first). Union +
@@ -90,13 +91,14 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     # carry the whole right record as one struct so its fields stay together
     u = u.withColumn("_pp_rec", F.when(F.col("_pp_side") == 0, F.struct(*val_cols)))
     filled = forward_fill(u, keys, ["_pp_t", "_pp_side", "_pp_s"], ["_pp_rec"], ts_col="_pp_t",
-                          chunk_seconds=chunk_seconds)
+                          chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
     return (filled.filter(F.col("_pp_side") == 1)
                   .select(*lcols, *[F.col("_pp_rec")[v].alias(v) for v in val_cols]))
 
 
 def asof_forward_strict(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
-                        gap_seconds: float, *, chunk_seconds: int | None = 86_400) -> DataFrame:
+                        gap_seconds: float, *, chunk_seconds: int | None = None,
+                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """For every row, the id of the first row of the same key whose time is
     strictly later than ``ts + gap`` (NULL if none): ``next_id``.
     Probe rows at ``ts + gap`` are merged into the key's time order (after
@@ -114,19 +116,20 @@ def asof_forward_strict(df: DataFrame, keys: Sequence[str], ts: str, row_id: str
                         F.col("_pp_id").alias("_pp_src"))
     u = real.unionByName(probe)
     filled = forward_fill(u, keys, ["_pp_us", "_pp_kind", "_pp_ord"], ["_pp_next"], ts_col="_pp_us",
-                          chunk_seconds=chunk_seconds, backward=True)
+                          chunk_seconds=chunk_seconds, chunk_rows=chunk_rows, backward=True)
     return filled.filter(F.col("_pp_kind") == 1).select(
         *keys, F.col("_pp_src").alias(row_id), F.col("_pp_next").alias("next_id"))
 
 
 def not_yet_alerted(candidates: DataFrame, alerts: DataFrame, keys: Sequence[str], ts: str,
                     alert_ts: str, cooldown_seconds: float, *,
-                    chunk_seconds: int | None = 86_400) -> DataFrame:
+                    chunk_seconds: int | None = None,
+                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """J5 (batch replay): keep candidates with no alert of the same key in
     the cool-down before them. Uses the as-of lookup of the latest alert at or
     before each candidate (never all candidate x alert pairs of a key)."""
     a = alerts.select(*keys, F.col(alert_ts).alias("_pp_at"))
-    j = asof_backward(candidates, a, keys, ts, "_pp_at", ["_pp_at"], chunk_seconds=chunk_seconds,
+    j = asof_backward(candidates, a, keys, ts, "_pp_at", ["_pp_at"], chunk_seconds=chunk_seconds, chunk_rows=chunk_rows,
                       prefix="last")
     gap = (epoch_micros(ts) - epoch_micros("last_pp_at")) / 1e6
     return j.filter(F.col("last_pp_at").isNull() | (gap > cooldown_seconds)).drop("last_pp_at")

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import join_small
+
 QUARTILES = [0.25, 0.5, 0.75]
 
 
@@ -84,7 +86,9 @@ def histogram(df: DataFrame, value: str, cls: str | None = None, *, bins: int =
     rng = rng.select(*keys,
                      F.when(F.col("_lo") == F.col("_hi"), F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
                      F.when(F.col("_lo") == F.col("_hi"), F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"))
-    j = x.join(rng, keys, "left")
+    # per-class ranges: one row per class, broadcast after a size check (a
+    # shuffle join keyed by class would put a dominant class in one task)
+    j = join_small(x, rng, keys, "left")
     width = (F.col("hi") - F.col("lo")) / bins
     b = F.least(F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
                 F.lit(bins - 1)).cast("int")
@@ -114,7 +118,7 @@ def box_stats(df: DataFrame, cls: str, cols: Sequence[str], *, exact: bool = Tru
     fence_lo = F.col("q1") - whisker * (F.col("q3") - F.col("q1"))
     fence_hi = F.col("q3") + whisker * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= fence_lo) & (F.col("value") <= fence_hi)
-    w = long.join(q, [cls, "feature"], "left").groupBy(cls, "feature", "q1", "median", "q3", "mean").agg(
+    w = join_small(long, q, [cls, "feature"], "left").groupBy(cls, "feature", "q1", "median", "q3", "mean").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"))

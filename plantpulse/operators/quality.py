@@ -175,8 +175,10 @@ def sigma_band(df: DataFrame, keys: Sequence[str], col: str, *, k: float = 3.0,
                flag: str = "outlier") -> DataFrame:
     """Per-key mean and population sigma (partial aggregate),
     joined back on the key; ``flag`` is true when ``|x - mu| > k sigma``."""
+    from .joins import join_small
+
     stats = df.groupBy(*keys).agg(F.avg(col).alias("_pp_mu"), F.stddev_pop(col).alias("_pp_sd"))
-    out = df.join(stats, list(keys), "left")
+    out = join_small(df, stats, keys, "left")
     return (out.withColumn(flag, F.abs(F.col(col) - F.col("_pp_mu")) > F.lit(k) * F.col("_pp_sd"))
                .drop("_pp_mu", "_pp_sd"))
 

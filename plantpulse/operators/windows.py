@@ -13,9 +13,13 @@ operator here therefore works on ``(device, chunk)`` partitions, where
   per-chunk summary (a partial aggregate) with a running window over the
   chunk summaries.
 
-``chunk_seconds=None`` falls back to plain per-device windows (for data known
-to have small devices). The chunk length is a tuning knob: rows per
-(device, chunk) must fit a task; results do not depend on it.
+Chunking is adaptive by default (``chunk_rows``): one partial aggregate
+counts the rows of every device; if no device exceeds ``chunk_rows`` the
+operators use plain per-device windows (every task then holds at most
+``chunk_rows`` rows of a device). Devices above the bound get a time chunk
+length sized to about ``chunk_rows`` rows each, and only they carry halos.
+``chunk_seconds`` forces fixed time chunks; both ``None`` means plain windows.
+Results never depend on the chunking.
 """
 
 from __future__ import annotations
@@ -55,6 +59,36 @@ def chunk_of(df: DataFrame, ts: str, chunk_seconds: int) -> Column:
     return F.floor(micros_of(df, ts) / F.lit(int(chunk_seconds) * 1_000_000)).cast("long")
 
 
+DEFAULT_CHUNK_ROWS = 1_000_000
+BROADCAST_MAX_ROWS = 2_000_000
+
+
+def with_chunks(df: DataFrame, keys: Sequence[str], ts_col: str, *, chunk_seconds: int | None = None,
+                chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame | None:
+    """``df`` with a chunk id column, or ``None`` when plain per-key windows
+    are safe (no key above ``chunk_rows``)."""
+    if chunk_seconds is not None:
+        return df.withColumn(_C, chunk_of(df, ts_col, chunk_seconds))
+    if chunk_rows is None:
+        return None
+    us = micros_of(df, ts_col)
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pp_n"), F.min(us).alias("_pp_lo"),
+                                  F.max(us).alias("_pp_hi"))
+    big = stats.filter(F.col("_pp_n") > chunk_rows)
+    n_big = big.count()  # keys needing a split: at most rows / chunk_rows
+    if n_big == 0:
+        return None
+    width = F.greatest(F.lit(1).cast("long"),
+                       F.floor((F.col("_pp_hi") - F.col("_pp_lo") + 1) * F.lit(float(chunk_rows))
+                               / F.col("_pp_n")).cast("long"))
+    big = big.select(*keys, "_pp_lo", width.alias("_pp_w"))
+    side = F.broadcast(big) if n_big <= BROADCAST_MAX_ROWS else big
+    j = df.join(side, list(keys), "left")
+    chunk = F.when(F.col("_pp_w").isNull(), F.lit(0).cast("long")).otherwise(
+        F.floor((micros_of(df, ts_col) - F.col("_pp_lo")) / F.col("_pp_w")).cast("long"))
+    return j.withColumn(_C, chunk).drop("_pp_lo", "_pp_w")
+
+
 def _order_cols(order: Sequence[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
@@ -81,16 +115,16 @@ def _halo(base: DataFrame, keys: Sequence[str], order: Sequence[str], k: int,
 def rows_window(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                 columns: Callable[[WindowSpec], dict[str, Column]], *,
                 preceding: int, following: int = 0, ts_col: str | None = None,
-                chunk_seconds: int | None = 86_400) -> DataFrame:
+                chunk_seconds: int | None = None,
+                chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Add ``columns(w)`` computed over ``w = partitionBy(keys).orderBy(order)``
     where every frame / offset used stays within ``preceding`` rows before and
     ``following`` rows after the current row. ``order`` must be a total order
     within a key (e.g. ``ts, event_id``). Returns every input row once."""
-    if chunk_seconds is None:
+    base = with_chunks(df, keys, ts_col or order[0], chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+    if base is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns(columns(w))
-    ts_col = ts_col or order[0]
-    base = df.withColumn(_C, chunk_of(df, ts_col, chunk_seconds))
     parts = [base.withColumn(_H, F.lit(False))]
     if preceding > 0:
         parts.append(_halo(base, keys, order, preceding, forward=False).withColumn(_H, F.lit(True)))
@@ -114,18 +148,18 @@ def _chunk_carry(base: DataFrame, keys: Sequence[str], summary: dict[str, Column
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  cols: Sequence[str], *, ts_col: str | None = None,
-                 chunk_seconds: int | None = 86_400, backward: bool = False) -> DataFrame:
+                 chunk_seconds: int | None = None, chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
+                 backward: bool = False) -> DataFrame:
     """Replace NULL by the last earlier non-NULL value of the key
     (leading NULLs stay NULL). ``backward=True`` takes the next later value
     instead (used by interpolation)."""
     fn = F.first if backward else F.last
-    if chunk_seconds is None:
+    base = with_chunks(df, keys, ts_col or order[0], chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+    if base is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         w = (w.rowsBetween(0, Window.unboundedFollowing) if backward
              else w.rowsBetween(Window.unboundedPreceding, 0))
         return df.withColumns({c: fn(c, ignorenulls=True).over(w) for c in cols})
-    ts_col = ts_col or order[0]
-    base = df.withColumn(_C, chunk_of(df, ts_col, chunk_seconds))
     ordkey = F.struct(*[F.col(o) for o in order])
     # last (first) non-null value of each chunk, as a partial aggregate
     pick = F.min_by if backward else F.max_by
@@ -148,14 +182,14 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *,
-                  ts_col: str | None = None, chunk_seconds: int | None = 86_400) -> DataFrame:
+                  ts_col: str | None = None, chunk_seconds: int | None = None,
+                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Number of readings of the key up to and including the current one
     (whole history), chunk-carried."""
-    if chunk_seconds is None:
+    base = with_chunks(df, keys, ts_col or order[0], chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+    if base is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.count(F.lit(1)).over(w))
-    ts_col = ts_col or order[0]
-    base = df.withColumn(_C, chunk_of(df, ts_col, chunk_seconds))
     carried = _chunk_carry(base, keys, {"_pp_n": F.count(F.lit(1))},
                            lambda k, w: F.coalesce(F.sum(k).over(w), F.lit(0)))
     w = Window.partitionBy(*keys, _C).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -172,7 +206,7 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
 def lagged_window_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                            ripple: str, temperature: str, load: str, size: int = 20,
                            include_current: bool = False, ts_col: str | None = None,
-                           chunk_seconds: int | None = 86_400) -> DataFrame:
+                           chunk_seconds: int | None = None, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W1 (training, rows i-size..i-1) / W2 (serving, rows i-size+1..i).
 
     Adds mean_ripple, std_ripple (population), mean_temp, temp_rise
@@ -194,7 +228,7 @@ def lagged_window_features(df: DataFrame, keys: Sequence[str], order: Sequence[s
         }
 
     out = rows_window(df, keys, order, cols, preceding=-lo, following=max(hi, 0),
-                      ts_col=ts_col, chunk_seconds=chunk_seconds)
+                      ts_col=ts_col, chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
     if include_current:
         return out.withColumn("window_status",
                               F.when(F.col("n_window") < size, "insufficient").otherwise("ready"))
@@ -203,7 +237,8 @@ def lagged_window_features(df: DataFrame, keys: Sequence[str], order: Sequence[s
 
 def rolling_std(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
                 name: str, *, size: int = 5, ddof: int = 1, min_n: int = 1,
-                ts_col: str | None = None, chunk_seconds: int | None = 86_400) -> DataFrame:
+                ts_col: str | None = None, chunk_seconds: int | None = None,
+                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W3 (``ddof=1``: sample std over the last ``size`` rows, NULL for a
     single row) and W4 (``ddof=0``, 0 until ``min_n`` readings)."""
     def cols(w: WindowSpec) -> dict[str, Column]:
@@ -213,23 +248,25 @@ def rolling_std(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: s
         return {name: F.when(n >= F.lit(min_n), std).otherwise(
             F.lit(0.0) if ddof == 0 else F.lit(None).cast("double"))}
     return rows_window(df, keys, order, cols, preceding=size - 1, ts_col=ts_col,
-                       chunk_seconds=chunk_seconds)
+                       chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
                  name: str, *, size: int = 10, ts_col: str | None = None,
-                 chunk_seconds: int | None = 86_400) -> DataFrame:
+                 chunk_seconds: int | None = None,
+                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """``rolling(size).mean()`` -- NULL until ``size`` readings exist."""
     def cols(w: WindowSpec) -> dict[str, Column]:
         f = w.rowsBetween(-(size - 1), 0)
         return {name: F.when(F.count(F.col(col)).over(f) == size, F.avg(col).over(f))}
     return rows_window(df, keys, order, cols, preceding=size - 1, ts_col=ts_col,
-                       chunk_seconds=chunk_seconds)
+                       chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
 
 
 def first_difference(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
                      name: str, *, per_second: bool = False, ts_col: str | None = None,
-                     chunk_seconds: int | None = 86_400) -> DataFrame:
+                     chunk_seconds: int | None = None,
+                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W6 ``diff()`` (NULL on the first row) and W7 (rate per second: the
     difference divided by the elapsed seconds; NULL when no time passed)."""
     ts_col = ts_col or order[0]
@@ -241,12 +278,13 @@ def first_difference(df: DataFrame, keys: Sequence[str], order: Sequence[str], c
             d = F.try_divide(d, F.when(dt != 0, dt))
         return {name: d}
     return rows_window(df, keys, order, cols, preceding=1, ts_col=ts_col,
-                       chunk_seconds=chunk_seconds)
+                       chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
 
 
 def centred_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
                  name: str, *, half_width: int = 2, median: bool = False,
-                 ts_col: str | None = None, chunk_seconds: int | None = 86_400) -> DataFrame:
+                 ts_col: str | None = None, chunk_seconds: int | None = None,
+                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Noise filter -- centred moving average (or median) over
     ``rowsBetween(-k, k)``."""
     def cols(w: WindowSpec) -> dict[str, Column]:
@@ -254,11 +292,12 @@ def centred_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], col:
         agg = F.median(col) if median else F.avg(col)
         return {name: agg.over(f)}
     return rows_window(df, keys, order, cols, preceding=half_width, following=half_width,
-                       ts_col=ts_col, chunk_seconds=chunk_seconds)
+                       ts_col=ts_col, chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
-                name: str, *, ts_col: str, chunk_seconds: int | None = 86_400) -> DataFrame:
+                name: str, *, ts_col: str, chunk_seconds: int | None = None,
+                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Time-linear interpolation of NULL gaps between the previous and
     next known values; edges stay NULL."""
     us = "_pp_us"
@@ -266,9 +305,9 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: s
              .withColumn("_pp_pv", F.col(col)).withColumn("_pp_pt", F.when(F.col(col).isNotNull(), F.col(us)))
              .withColumn("_pp_nv", F.col(col)).withColumn("_pp_nt", F.when(F.col(col).isNotNull(), F.col(us))))
     tmp = forward_fill(tmp, keys, order, ["_pp_pv", "_pp_pt"], ts_col=ts_col,
-                       chunk_seconds=chunk_seconds)
+                       chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
     tmp = forward_fill(tmp, keys, order, ["_pp_nv", "_pp_nt"], ts_col=ts_col,
-                       chunk_seconds=chunk_seconds, backward=True)
+                       chunk_seconds=chunk_seconds, chunk_rows=chunk_rows, backward=True)
     frac = F.try_divide((F.col(us) - F.col("_pp_pt")).cast("double"),
                         F.when(F.col("_pp_nt") != F.col("_pp_pt"),
                                (F.col("_pp_nt") - F.col("_pp_pt")).cast("double")))
@@ -278,7 +317,8 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: s
 
 
 def every_nth(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 5, *,
-              ts_col: str | None = None, chunk_seconds: int | None = 86_400) -> DataFrame:
+              ts_col: str | None = None, chunk_seconds: int | None = None,
+                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Keep every n-th reading of a device (1-based row number % n == 0)."""
-    df = running_count(df, keys, order, "_pp_rn", ts_col=ts_col, chunk_seconds=chunk_seconds)
+    df = running_count(df, keys, order, "_pp_rn", ts_col=ts_col, chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
     return df.filter(F.col("_pp_rn") % n == 0).drop("_pp_rn")

@@ -11,7 +11,7 @@ from ..functions.expressions import rnd
 from ..operators import profile as A
 from ..operators import windows as W
 from ..operators.alerts import alert_records, cooldown_fired
-from ..operators.joins import asof_backward, asof_forward_strict, lookup, not_yet_alerted
+from ..operators.joins import asof_backward, asof_forward_strict, join_small, lookup, not_yet_alerted
 from ..operators.quality import fill_mean, sigma_band
 from ..sources.readers import read_table
 from .registry import query
@@ -145,7 +145,7 @@ def signal_outliers(spark: SparkSession, sf: str) -> DataFrame:
     df = fill_mean(df, ["filled"])
     df = sigma_band(df, KEYS, "signal", k=3.0, flag="outlier")
     mu = df.groupBy(*KEYS).agg(F.avg("signal").alias("_mu"))
-    df = df.join(mu, KEYS, "left").withColumn("residual", F.col("signal") - F.col("_mu"))
+    df = join_small(df, mu, KEYS, "left").withColumn("residual", F.col("signal") - F.col("_mu"))
     return df.select("device_id", "seq", rnd("filled", 6).alias("filled"), "outlier",
                      rnd("residual", 6).alias("residual"))
 

@@ -38,36 +38,40 @@ def collect(df, cols):
                   for r in df.select(*cols).collect())
 
 
+CHUNKINGS = st.sampled_from([{"chunk_seconds": 60}, {"chunk_rows": 3}, {"chunk_rows": 7},
+                             {"chunk_seconds": None, "chunk_rows": 1_000_000}])
+
+
 @SETTINGS
-@given(rows=readings, k=st.integers(1, 6), fwd=st.integers(0, 3))
-def test_rows_window_chunked_equals_plain(spark, rows, k, fwd):
+@given(rows=readings, k=st.integers(1, 6), fwd=st.integers(0, 3), ch=CHUNKINGS)
+def test_rows_window_chunked_equals_plain(spark, rows, k, fwd, ch):
     df = frame(spark, rows)
 
     def cols(w):
         f = w.rowsBetween(-k, fwd)
         return {"n": F.count("v").over(f), "s": F.sum("v").over(f), "lg": F.lag("v", 1).over(w),
                 "mx": F.max("v").over(f)}
-    a = W.rows_window(df, ["dev"], ["ts", "id"], cols, preceding=k, following=fwd, chunk_seconds=60)
-    b = W.rows_window(df, ["dev"], ["ts", "id"], cols, preceding=k, following=fwd, chunk_seconds=None)
+    a = W.rows_window(df, ["dev"], ["ts", "id"], cols, preceding=k, following=fwd, **ch)
+    b = W.rows_window(df, ["dev"], ["ts", "id"], cols, preceding=k, following=fwd, chunk_rows=None)
     c = ["dev", "id", "n", "s", "lg", "mx"]
     assert collect(a, c) == collect(b, c)
 
 
 @SETTINGS
-@given(rows=readings, backward=st.booleans())
-def test_forward_fill_chunked_equals_plain(spark, rows, backward):
+@given(rows=readings, backward=st.booleans(), ch=CHUNKINGS)
+def test_forward_fill_chunked_equals_plain(spark, rows, backward, ch):
     df = frame(spark, rows)
-    a = W.forward_fill(df, ["dev"], ["ts", "id"], ["v"], chunk_seconds=45, backward=backward)
-    b = W.forward_fill(df, ["dev"], ["ts", "id"], ["v"], chunk_seconds=None, backward=backward)
+    a = W.forward_fill(df, ["dev"], ["ts", "id"], ["v"], backward=backward, **ch)
+    b = W.forward_fill(df, ["dev"], ["ts", "id"], ["v"], chunk_rows=None, backward=backward)
     assert collect(a, ["dev", "id", "v"]) == collect(b, ["dev", "id", "v"])
 
 
 @SETTINGS
-@given(rows=readings)
-def test_running_count_chunked(spark, rows):
+@given(rows=readings, ch=CHUNKINGS)
+def test_running_count_chunked(spark, rows, ch):
     df = frame(spark, rows)
-    a = W.running_count(df, ["dev"], ["ts", "id"], "n", chunk_seconds=30)
-    b = W.running_count(df, ["dev"], ["ts", "id"], "n", chunk_seconds=None)
+    a = W.running_count(df, ["dev"], ["ts", "id"], "n", **ch)
+    b = W.running_count(df, ["dev"], ["ts", "id"], "n", chunk_rows=None)
     assert collect(a, ["id", "n"]) == collect(b, ["id", "n"])
 
 
@@ -83,10 +87,10 @@ def brute_cooldown(rows, gap):
 
 
 @SETTINGS
-@given(rows=readings, gap=st.integers(0, 200))
-def test_cooldown_equals_greedy(spark, rows, gap):
+@given(rows=readings, gap=st.integers(0, 200), ch=CHUNKINGS, fold=st.sampled_from([0, 100_000]))
+def test_cooldown_equals_greedy(spark, rows, gap, ch, fold):
     df = frame(spark, rows)
-    got = sorted(r.id for r in cooldown_fired(df, ["dev"], "ts", "id", gap, chunk_seconds=60).collect())
+    got = sorted(r.id for r in cooldown_fired(df, ["dev"], "ts", "id", gap, fold_max_rows=fold, **ch).collect())
     assert got == brute_cooldown(rows, gap)
 
 
@@ -94,7 +98,7 @@ def test_cooldown_equals_greedy(spark, rows, gap):
 @given(rows=readings, gap=st.integers(0, 120))
 def test_asof_forward_strict(spark, rows, gap):
     df = frame(spark, rows)
-    got = {r.id: r.next_id for r in asof_forward_strict(df, ["dev"], "ts", "id", gap, chunk_seconds=50).collect()}
+    got = {r.id: r.next_id for r in asof_forward_strict(df, ["dev"], "ts", "id", gap, chunk_rows=4).collect()}
     for i, (d, s, _) in enumerate(rows):
         later = sorted((s2, j) for j, (d2, s2, _) in enumerate(rows) if d2 == d and s2 > s + gap)
         assert got[i] == (later[0][1] if later else None)
@@ -106,7 +110,7 @@ def test_asof_backward(spark, left, right):
     lt = frame(spark, left).select("dev", "id", "ts")
     rt = frame(spark, right).select("dev", F.col("ts").alias("rts"), F.col("v").alias("rv"), F.col("id").alias("rid"))
     got = {r.id: r.asof_rid for r in asof_backward(lt, rt, ["dev"], "ts", "rts", ["rid"], seq_right="rid",
-                                                   chunk_seconds=40).collect()}
+                                                   chunk_rows=5).collect()}
     for i, (d, s, _) in enumerate(left):
         cand = sorted((s2, j) for j, (d2, s2, _) in enumerate(right) if d2 == d and s2 <= s)
         assert got[i] == (cand[-1][1] if cand else None)
@@ -144,9 +148,9 @@ def test_w1_equals_w2_shifted(spark):
                .withColumn("ts", F.timestamp_seconds("s")).withColumn("r", F.col("t") / 2)
                .withColumn("l", F.lit(0.5)))
     w1 = W.lagged_window_features(df, ["dev"], ["ts", "id"], ripple="r", temperature="t", load="l",
-                                  size=5, chunk_seconds=60)
+                                  size=5, chunk_rows=9)
     w2 = W.lagged_window_features(df, ["dev"], ["ts", "id"], ripple="r", temperature="t", load="l",
-                                  size=5, include_current=True, chunk_seconds=60)
+                                  size=5, include_current=True, chunk_rows=9)
     nxt = Window.partitionBy("dev").orderBy("ts", "id")
     w2s = w2.withColumn("next_id", F.lead("id").over(nxt)).filter(F.col("n_window") == 5)
     a = {r.id: round(r.mean_temp, 9) for r in w1.collect()}
