@@ -163,3 +163,45 @@ def scatter_points(df: DataFrame, x: str, y: str, cls: str, *,
         u = F.conv(F.substring(F.md5(F.col(seed_col).cast("string")), 1, 8), 16, 10).cast("long") / 4294967296.0
         out = out.filter(u < fraction).drop(seed_col)
     return out
+
+
+def standard_scale(df: DataFrame, cols: Sequence[str], *, suffix: str = "_z") -> DataFrame:
+    """z-score with the *population* sigma (the reference's scaler);
+    mean and sigma are one global aggregate used as scalar subqueries.
+    A constant column (sigma 0) scales to 0."""
+    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    out = df
+    for c in cols:
+        m = stats.select(f"m_{c}").scalar()
+        sd = stats.select(f"s_{c}").scalar()
+        out = out.withColumn(f"{c}{suffix}", F.coalesce(F.try_divide(F.col(c) - m, F.when(sd != 0, sd)),
+                                                        F.when(F.col(c).isNotNull(), F.lit(0.0))))
+    return out
+
+
+def band_power(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, *,
+               period: str = "1 day", ts: str = "ts", harmonics: int = 3) -> DataFrame:
+    """frequency-domain features -- power of the first ``harmonics`` DFT
+    bins of each (device, period) window, as native aggregates
+    (sum of v*cos / v*sin over the window's sample index). The sample index is
+    a window function over (device, period), bounded by the period length."""
+    from pyspark.sql import Window
+
+    x = df.withColumn("period_start", F.window(ts, period).start)
+    w = Window.partitionBy(*keys, "period_start")
+    x = (x.withColumn("_pp_idx", (F.row_number().over(w.orderBy(*order)) - 1).cast("double"))
+          .withColumn("_pp_cnt", F.count(F.lit(1)).over(w).cast("double")))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for k in range(1, harmonics + 1):
+        ang = F.lit(2.0 * 3.141592653589793 * k) * F.col("_pp_idx") / F.col("_pp_cnt")
+        aggs += [F.sum(F.col(value) * F.cos(ang)).alias(f"re{k}"), F.sum(F.col(value) * F.sin(ang)).alias(f"im{k}")]
+    g = x.groupBy(*keys, "period_start").agg(*aggs)
+    return g.select(*keys, "period_start", "n",
+                    *[(F.col(f"re{k}") * F.col(f"re{k}") + F.col(f"im{k}") * F.col(f"im{k}")).alias(f"power_{k}")
+                      for k in range(1, harmonics + 1)])
+
+
+def shape_report(df: DataFrame, label: str) -> DataFrame:
+    """Rows, columns and the mean of the label (fault share)."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
+                  F.avg(label).alias("label_mean"))

@@ -221,3 +221,87 @@ def pump_box_stats(spark: SparkSession, sf: str) -> DataFrame:
     b = A.box_stats(clean, "state", ["flow", "head", "power", "vibration"])
     return b.select("state", "feature", *[rnd(c, 6).alias(c) for c in ["q1", "median", "q3", "mean"]],
                     "whisker_lo", "whisker_hi", "n_outliers")
+
+
+# ------------------------------------------------------------------ compressor chain
+
+from ..operators.quality import predicate  # noqa: E402
+from .views import LEAK_READINGS_SQL, leak_readings  # noqa: E402
+
+LEAK_COLS = ["pressure", "supply_flow", "demand_flow", "flow_diff", "flow_ratio", "state"]
+
+# Compressor cleaning chain in the reference's order.
+LEAK_RULES = QualityRules([
+    not_null(*LEAK_COLS),
+    in_range("pressure", 0.4, 0.9, "pressure_range"),
+    positive("supply_flow", "demand_flow", name="flow_positive"),
+    predicate("flow_diff_nonneg", lambda: F.col("flow_diff") >= 0),
+    in_range("flow_ratio", 1.0, 100.0, "flow_ratio_range"),
+    one_of("state", ["normal", "leak"], "state_whitelist"),
+    DEDUP,
+])
+
+
+def leak_rows(spark, sf):
+    from ..functions import features as X
+
+    r = leak_readings(spark, sf)
+    return r.select("pressure", "supply_flow", "demand_flow",
+                    X.flow_diff("supply_flow", "demand_flow").alias("flow_diff"),
+                    X.flow_ratio("supply_flow", "demand_flow").alias("flow_ratio"), "state")
+
+
+@query("leak_quality_report", f"""
+WITH r AS ({LEAK_READINGS_SQL}),
+d AS (SELECT pressure, supply_flow, demand_flow, supply_flow - demand_flow AS flow_diff,
+             supply_flow / (demand_flow + 1e-5) AS flow_ratio, state FROM r),
+f AS (SELECT *, CASE
+      WHEN pressure IS NULL OR supply_flow IS NULL OR demand_flow IS NULL OR flow_diff IS NULL
+           OR flow_ratio IS NULL OR state IS NULL THEN 'null'
+      WHEN NOT (pressure BETWEEN 0.4 AND 0.9) THEN 'pressure_range'
+      WHEN NOT (supply_flow > 0 AND demand_flow > 0) THEN 'flow_positive'
+      WHEN NOT (flow_diff >= 0) THEN 'flow_diff_nonneg'
+      WHEN NOT (flow_ratio BETWEEN 1 AND 100) THEN 'flow_ratio_range'
+      WHEN state NOT IN ('normal', 'leak') THEN 'state_whitelist' END AS reason FROM d),
+g AS (SELECT pressure, supply_flow, demand_flow, flow_diff, flow_ratio, state, reason, count(*) AS c
+      FROM f GROUP BY ALL),
+steps AS (SELECT reason AS step, c AS n FROM g WHERE reason IS NOT NULL
+          UNION ALL SELECT 'duplicate', c - 1 FROM g WHERE reason IS NULL
+          UNION ALL SELECT 'kept', 1 FROM g WHERE reason IS NULL),
+dim AS (SELECT * FROM (VALUES ('null', 0), ('pressure_range', 1), ('flow_positive', 2), ('flow_diff_nonneg', 3),
+                              ('flow_ratio_range', 4), ('state_whitelist', 5), ('duplicate', 6), ('kept', 7)) t(step, step_no))
+SELECT d.step, d.step_no, CAST(coalesce(sum(s.n), 0) AS BIGINT) AS n_rows
+FROM dim d LEFT JOIN steps s ON s.step = d.step GROUP BY d.step, d.step_no
+""")
+def leak_quality_report(spark: SparkSession, sf: str) -> DataFrame:
+    """P11 compressor chain: null -> pressure -> flow -> diff -> ratio ->
+    label -> dedup, with the rows each step removes."""
+    return LEAK_RULES.report(leak_rows(spark, sf))
+
+
+@query("pump_standardized", _REASON_SQL + """,
+st AS (SELECT avg(flow) AS mf, stddev_pop(flow) AS sf, avg(vibration) AS mv, stddev_pop(vibration) AS sv FROM clean)
+SELECT state, round(sum((flow - mf) / sf), 6) AS sum_flow_z, round(max((flow - mf) / sf), 6) AS max_flow_z,
+       round(min((vibration - mv) / sv), 6) AS min_vibration_z, count(*) AS n
+FROM clean, st GROUP BY state
+""")
+def pump_standardized(spark: SparkSession, sf: str) -> DataFrame:
+    """population z-scores of the cleaned features (exact parity with
+    the reference's scaler; ML ``StandardScaler`` uses the sample sigma)."""
+    clean, _ = PUMP_RULES.apply(pump_readings(spark, sf))
+    z = A.standard_scale(clean, ["flow", "vibration"])
+    return z.groupBy("state").agg(rnd(F.sum("flow_z"), 6).alias("sum_flow_z"),
+                                  rnd(F.max("flow_z"), 6).alias("max_flow_z"),
+                                  rnd(F.min("vibration_z"), 6).alias("min_vibration_z"),
+                                  F.count(F.lit(1)).alias("n"))
+
+
+@query("label_shape_report", """
+SELECT count(*) AS n_rows, 3 AS n_columns, round(avg(quality), 6) AS label_mean FROM labels
+""")
+def label_shape_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Table shape and label mean."""
+    from ..sources.readers import read_table
+
+    r = A.shape_report(read_table(spark, sf, "labels"), "quality")
+    return r.select("n_rows", "n_columns", rnd("label_mean", 6).alias("label_mean"))

@@ -17,7 +17,7 @@ from ..streaming.stateful import buffer_features, cooldown
 from .health import FEATURE_COLS, SERVING_SQL
 from .registry import query
 from .timeseries import _cooldown_sql
-from .views import event_readings_from
+from .views import EVENT_READINGS_SQL, event_readings_from
 
 _SERVING_ORACLE = SERVING_SQL.split("\nSELECT device_id, seq,")[0] + """
 SELECT device_id, seq, n_window,
@@ -38,10 +38,15 @@ _STREAM_RULES = QualityRules([
 ])
 
 
+def table_stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """A driver table read as a file stream (the table's file inside the
+    shared folder)."""
+    schema = spark.read.parquet(f"{sf.rstrip('/')}/{table}.parquet").schema
+    return read_stream(spark, sf.rstrip("/"), schema, "parquet", file_glob=f"{table}.parquet")
+
+
 def events_stream(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{sf.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return read_stream(spark, sf.rstrip("/"), schema, "parquet", file_glob="events.parquet")
+    return table_stream(spark, sf, "events")
 
 
 @query("stream_window_features", _SERVING_ORACLE)
@@ -64,8 +69,10 @@ def stream_alert_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     S6 alert rows; equals the batch cool-down."""
     e = events_stream(spark, sf).filter(F.col("event_type") == "error")
     fired = cooldown(e, ["user_id"], "ts", "event_id", 21600, extra=["event_type"])
-    out = J.run_to_table(fired, "alerts")
-    return alert_records(out, "user_id", "ts", "event_type")
+    alerts = alert_records(fired, "user_id", "ts", "event_type").withColumn("dt", F.to_date("alert_ts"))
+    # The alert history table, partitioned by day, written exactly once
+    out = J.run_to_table(alerts, "alerts", partition_by=["dt"])
+    return out.drop("dt")
 
 
 @query("stream_hourly_rollup", """
@@ -104,3 +111,39 @@ def stream_fault_sessions(spark: SparkSession, sf: str) -> DataFrame:
     out = J.run_to_table(sess, "sessions")
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
                       F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n_faults")
+
+
+@query("stream_rolling_std", f"""
+WITH r AS ({EVENT_READINGS_SQL}),
+c AS (SELECT * FROM r WHERE signal IS NOT NULL)
+SELECT device_id, seq,
+       round(CASE WHEN count(signal) OVER w >= 2 THEN stddev_pop(signal) OVER w ELSE 0.0 END, 6) AS std5_pop,
+       round(avg(signal) OVER w, 6) AS mean5
+FROM c WINDOW w AS (PARTITION BY device_id ORDER BY ts, seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)
+""")
+def stream_rolling_std(spark: SparkSession, sf: str) -> DataFrame:
+    """T5 (+ W4): rolling population std of the last 5 readings kept in
+    keyed state, 0 until two readings exist."""
+    r = event_readings_from(events_stream(spark, sf)).filter(F.col("signal").isNotNull())
+    f = buffer_features(r, "device_id", "ts", "seq", ripple="signal", temperature="signal", load="signal", size=5)
+    out = J.run_to_table(f, "rolling-std")
+    std = F.when(F.col("n_window") >= 2, F.col("std_ripple")).otherwise(F.lit(0.0))
+    return out.select("device_id", "seq", rnd(std, 6).alias("std5_pop"), rnd("mean_ripple", 6).alias("mean5"))
+
+
+@query("stream_scored_shearer")
+def stream_scored_shearer(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted shearer pipeline applied to a reading stream
+    (stateless), with status (R15) and alert gate (T4); counted per outcome."""
+    from ..functions import rules as R
+    from ..operators.models import scored
+    from .learning import shearer_model
+    from .views import shearer_readings_from
+
+    model = shearer_model(spark, sf)
+    s = shearer_readings_from(table_stream(spark, sf, "lineitem"))
+    sc = scored(model, s).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                 "prediction", F.col("probs")[1].alias("p_fault"))
+    out = J.run_to_table(sc, "scored-shearer")
+    return out.groupBy(R.binary_status(F.col("prediction").cast("int")).alias("status"),
+                       (F.col("p_fault") > 0.8).alias("alert_gate")).agg(F.count(F.lit(1)).alias("n"))

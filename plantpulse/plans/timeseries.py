@@ -334,3 +334,23 @@ def class_frames_union(spark: SparkSession, sf: str) -> DataFrame:
     u = normal.unionByName(fault)
     return u.groupBy("fault").agg(F.count(F.lit(1)).alias("n"),
                                   rnd(F.avg("l_quantity"), 6).alias("mean_quantity"))
+
+
+@query("signal_band_power", """
+WITH x AS (SELECT user_id, time_bucket(INTERVAL 1 DAY, ts) AS period_start, value,
+                  CAST(row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts) ORDER BY ts, event_id) - 1 AS DOUBLE) AS n,
+                  CAST(count(*) OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 DAY, ts)) AS DOUBLE) AS nn
+           FROM events),
+g AS (SELECT user_id, period_start, count(*) AS n,
+             sum(value * cos(2.0 * 3.141592653589793 * 1 * n / nn)) AS re1, sum(value * sin(2.0 * 3.141592653589793 * 1 * n / nn)) AS im1,
+             sum(value * cos(2.0 * 3.141592653589793 * 2 * n / nn)) AS re2, sum(value * sin(2.0 * 3.141592653589793 * 2 * n / nn)) AS im2
+      FROM x GROUP BY user_id, period_start)
+SELECT user_id, period_start, n, round(re1 * re1 + im1 * im1, 4) AS power_1, round(re2 * re2 + im2 * im2, 4) AS power_2
+FROM g
+""")
+def signal_band_power(spark: SparkSession, sf: str) -> DataFrame:
+    """DFT band power (first two harmonics) per device and day."""
+    e = read_table(spark, sf, "events")
+    b = A.band_power(e, ["user_id"], ["ts", "event_id"], "value", period="1 day", harmonics=2)
+    return b.select("user_id", "period_start", "n", rnd("power_1", 4).alias("power_1"),
+                    rnd("power_2", 4).alias("power_2"))

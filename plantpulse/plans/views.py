@@ -102,7 +102,11 @@ LEAK_READINGS_SQL = """
 
 
 def shearer_readings(spark: SparkSession, sf: str) -> DataFrame:
-    li = read_table(spark, sf, "lineitem")
+    return shearer_readings_from(read_table(spark, sf, "lineitem"))
+
+
+def shearer_readings_from(li: DataFrame) -> DataFrame:
+    """The shearer view over a ``lineitem``-shaped batch or stream."""
     return li.select(
         F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"),
         (F.col("l_quantity") / F.lit(4.0)).alias("vibration"),

@@ -54,16 +54,19 @@ def fault_sessions(stream: DataFrame, keys: Sequence[str], ts: str, *, gap: str
                           F.col("s.end").alias("session_end"), "n_faults"))
 
 
-def run_to_table(df: DataFrame, name: str, *, output_mode: str = "append") -> DataFrame:
+def run_to_table(df: DataFrame, name: str, *, output_mode: str = "append",
+                 partition_by: Sequence[str] = ()) -> DataFrame:
     """Drive a streaming query over everything available (``availableNow``)
     into a Parquet table in the shared checkpoint folder, with its
     checkpoint next to it (restartable after a failure), and return the
     table as a batch DataFrame."""
     spark: SparkSession = df.sparkSession
     out = scratch_path(spark, f"stream-{name}")
-    q = (df.writeStream.format("parquet").outputMode(output_mode)
-           .option("path", f"{out}/data").option("checkpointLocation", f"{out}/_checkpoint")
-           .trigger(availableNow=True).start())
+    w = (df.writeStream.format("parquet").outputMode(output_mode)
+           .option("path", f"{out}/data").option("checkpointLocation", f"{out}/_checkpoint"))
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    q = w.trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
