@@ -33,9 +33,14 @@ LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
 def _cached(name: str, sf: str, build):
-    """Fitted models are reused by the queries of one session (a fit is the
-    expensive part; scoring is a lazy plan)."""
-    key = (name, sf)
+    """Fitted models are reused by the queries of one Spark application (a
+    fit is the expensive part; scoring is a lazy plan). A new application
+    refits, so no model outlives the context it was fitted in."""
+    from pyspark.sql import SparkSession
+
+    active = SparkSession.getActiveSession()
+    app = active.sparkContext.applicationId if active is not None else None
+    key = (name, sf, app)
     if key not in _MODELS:
         _MODELS[key] = build()
     return _MODELS[key]
