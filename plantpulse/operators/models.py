@@ -86,9 +86,18 @@ def logistic(max_iter: int = 100) -> LogisticRegression:
     return LogisticRegression(maxIter=max_iter)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Tree learners run one task per partition on every pass; a small input
+    read from a few files would train on a few cores. Spread it to at least
+    the cluster's default parallelism (never fewer partitions than it has)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def fit(pipe: Pipeline, train: DataFrame) -> PipelineModel:
-    """Fit with the training table persisted only for the duration of the fit."""
-    t = train.persist(StorageLevel.MEMORY_AND_DISK)
+    """Fit with the training table spread over the cluster and persisted only
+    for the duration of the fit."""
+    t = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return pipe.fit(t)
     finally:
@@ -128,7 +137,7 @@ def cross_validate(pipe: Pipeline, grid, evaluator, train: DataFrame, *, fold_co
     point flagged, O4)."""
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator,
                         foldCol=fold_col, numFolds=num_folds, parallelism=parallelism, seed=42)
-    t = train.persist(StorageLevel.MEMORY_AND_DISK)
+    t = spread(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cvm = cv.fit(t)
     finally:
