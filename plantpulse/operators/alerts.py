@@ -63,25 +63,25 @@ def cooldown_fired(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
         fired = _fold_per_key(ids.withColumn("_us", us), keys, row_id, cooldown_seconds)
         return df.join(fired, row_id, "left_semi")
     nxt = asof_forward_strict(ids, keys, ts, row_id, cooldown_seconds, chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
-    level = materialize(nxt.select(F.col(row_id).alias("_id"), F.col("next_id").alias("_nx")),
+    # Levels keep only live jumps (id -> next^(2^k)(id)); a missing id means
+    # "no jump". No NULL join keys, so no shuffle partition collects the rows
+    # whose chains have ended, and every level is smaller than the last.
+    level = materialize(nxt.filter(F.col("next_id").isNotNull())
+                           .select(F.col(row_id).alias("_id"), F.col("next_id").alias("_nx")),
                         "cooldown-l0")
-    levels = [level]
-    while len(levels) <= max_levels:
-        live = level.filter(F.col("_nx").isNotNull())
-        if live.limit(1).count() == 0:
-            break
+    levels = []
+    while len(levels) <= max_levels and level.limit(1).count() > 0:
+        levels.append(level)
         a, b = level.alias("a"), level.alias("b")
-        up = (a.join(b, F.col("a._nx") == F.col("b._id"), "left")
+        up = (a.join(b, F.col("a._nx") == F.col("b._id"))
                .select(F.col("a._id").alias("_id"), F.col("b._nx").alias("_nx")))
         level = materialize(up, f"cooldown-l{len(levels)}")
-        levels.append(level)
     # chain starts: the first event of every key (a partial aggregate)
     starts = (ids.withColumn("_us", us).groupBy(*keys)
                  .agg(F.min_by(F.col(row_id), F.struct(F.col("_us"), F.col(row_id))).alias("_id")))
     fired = materialize(starts.select("_id"), "cooldown-s")
-    for lv in reversed(levels[:-1]):
-        jumped = (fired.join(lv, "_id").filter(F.col("_nx").isNotNull())
-                       .select(F.col("_nx").alias("_id")))
+    for lv in reversed(levels):
+        jumped = fired.join(lv, "_id").select(F.col("_nx").alias("_id"))
         fired = materialize(fired.unionByName(jumped), "cooldown-s")
     return df.join(fired.withColumnRenamed("_id", row_id), row_id, "left_semi")
 
