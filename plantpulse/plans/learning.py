@@ -28,8 +28,8 @@ from .views import leak_readings, pump_readings, shearer_readings, temperature_r
 
 _MODELS: dict = {}
 
-# (orderkey, partkey, suppkey, linenumber) is unique in lineitem
-LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+# A unique row key of lineitem (the first four columns alone repeat at sf0.001)
+LINE_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
 
 def _cached(name: str, sf: str, build):

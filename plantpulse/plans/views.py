@@ -109,6 +109,7 @@ def shearer_readings_from(li: DataFrame) -> DataFrame:
     """The shearer view over a ``lineitem``-shaped batch or stream."""
     return li.select(
         F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"),
+        F.col("l_quantity"), F.col("l_extendedprice"),
         (F.col("l_quantity") / F.lit(4.0)).alias("vibration"),
         (F.lit(60.0) + F.lit(400.0) * F.col("l_discount")).alias("temperature"),
         (F.col("l_extendedprice") / F.lit(400.0)).alias("current"),
@@ -118,7 +119,7 @@ def shearer_readings_from(li: DataFrame) -> DataFrame:
 
 
 SHEARER_READINGS_SQL = """
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice,
          l_quantity / 4.0 AS vibration,
          60.0 + 400.0 * l_discount AS temperature,
          l_extendedprice / 400.0 AS current,

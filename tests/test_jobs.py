@@ -47,7 +47,8 @@ def test_leak_job_scores_sample_file(spark):
 def test_shearer_job_learns_rule_and_flags_golden(spark):
     hist = shearer_readings(spark, SF_MID).withColumn(
         "label", R.shearer_fault_rule("vibration", "temperature", "oil_quality"))
-    job = J.train(J.JOBS["shearer"], hist, key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    job = J.train(J.JOBS["shearer"], hist, key=["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                                    "l_extendedprice"])
     assert _report(job)[("label", "accuracy")].precision >= 0.95
     one = spark.createDataFrame([(12.5, 95.0, 180.0, 220.0, 40.0)], SC.FEATURES["shearer"])
     r = J.score(job, one).first()
