@@ -87,26 +87,36 @@ def cooldown_fired(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
 
 
 def _fold_per_key(ids: DataFrame, keys: Sequence[str], row_id: str, cooldown_seconds: float) -> DataFrame:
-    """Greedy walk of each key's events (groups are bounded by the caller)."""
-    import numpy as np
-    import pandas as pd
-
+    """Greedy walk of each key's events in time order. Rows are hash
+    partitioned by key and sorted within partitions, then one pass per
+    partition streams the Arrow batches, carrying (current key, last emit)
+    across batch boundaries. Keys are bounded by the caller's check."""
     gap_us = int(round(cooldown_seconds * 1_000_000))
     id_type = ids.schema[row_id].dataType.simpleString()
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", row_id], kind="mergesort")
-        times = pdf["_us"].to_numpy()
-        keep = np.zeros(len(times), dtype=bool)
-        last = None
-        for i, u in enumerate(times):
-            if last is None or u - last > gap_us:
-                keep[i] = True
-                last = u
-        return pdf.loc[keep, [row_id]]
-
-    return (ids.select(*keys, row_id, "_us").groupBy(*keys)
-               .applyInPandas(walk, f"{row_id} {id_type}"))
+    kcols = [f"_k{i}" for i in range(len(keys))]
+
+    def walk(batches):
+        cur_key, last = object(), None
+        for pdf in batches:
+            key_rows = list(zip(*[pdf[c].tolist() for c in kcols])) if kcols else [()] * len(pdf)
+            times = pdf["_us"].tolist()
+            keep = []
+            for k, u in zip(key_rows, times):
+                if k != cur_key:
+                    cur_key, last = k, None
+                if last is None or u - last > gap_us:
+                    keep.append(True)
+                    last = u
+                else:
+                    keep.append(False)
+            out = pdf.loc[keep, [row_id]]
+            if len(out):
+                yield out
+
+    src = ids.select(*[F.col(k).alias(c) for k, c in zip(keys, kcols)], row_id, "_us")
+    return (src.repartition(*kcols)
+               .sortWithinPartitions(*kcols, "_us", row_id)
+               .mapInPandas(walk, f"{row_id} {id_type}"))
 
 
 def alert_records(fired: DataFrame, device: str, ts: str, state: str,
