@@ -120,14 +120,21 @@ def buffer_features(stream: DataFrame, key: str, ts: str, seq: str, *, ripple: s
 
 
 def cooldown(stream: DataFrame, keys: Sequence[str], ts: str, row_id: str,
-             cooldown_seconds: float, extra: Sequence[str] = ()) -> DataFrame:
+             cooldown_seconds: float, extra: Sequence[str] = (),
+             watermark_delay: str | None = "10 minutes") -> DataFrame:
     """Emit a row when its key never fired or more than ``cooldown``
     seconds (strict) passed since the key's last emit; the state is the last
-    emit time only."""
+    emit time only. An event-time timeout drops a key's state once the
+    watermark passes ``last emit + cooldown`` -- any later on-time event fires
+    anyway -- so state covers recently alerting keys only."""
     gap_us = int(round(cooldown_seconds * 1_000_000))
     kcol = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
-    src = stream.select(kcol.alias("_key"), *keys, F.col(ts).alias("_ts"), micros_of(stream, ts).alias("_us"),
-                        F.col(row_id).cast("long").alias("_seq"), *extra)
+    src = stream.withColumn("_pp_ets", F.col(ts).cast("timestamp"))
+    if watermark_delay:
+        src = src.withWatermark("_pp_ets", watermark_delay)
+    # the watermarked column must stay in the grouped input
+    src = src.select(kcol.alias("_key"), *keys, F.col(ts).alias("_ts"), micros_of(stream, ts).alias("_us"),
+                     F.col(row_id).cast("long").alias("_seq"), "_pp_ets", *extra)
     fields = [T.StructField(k, stream.schema[k].dataType) for k in keys]
     fields += [T.StructField(ts, stream.schema[ts].dataType), T.StructField(row_id, T.LongType())]
     fields += [T.StructField(c, stream.schema[c].dataType) for c in extra]
@@ -137,6 +144,9 @@ def cooldown(stream: DataFrame, keys: Sequence[str], ts: str, row_id: str,
                                  T.StructField("last_seq", T.LongType())])
 
     def fn(k, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         last_alert, last_us, last_seq = state.get if state.exists else (None, None, None)
         new = _sorted_new(pdfs, last_us, last_seq)
         if new.empty:
@@ -148,6 +158,8 @@ def cooldown(stream: DataFrame, keys: Sequence[str], ts: str, row_id: str,
                 fire[i] = True
                 la = int(u)
         state.update((la, int(new["_us"].iloc[-1]), int(new["_seq"].iloc[-1])))
+        expiry_ms = (la + gap_us) // 1000 + 1
+        state.setTimeoutTimestamp(max(expiry_ms, state.getCurrentWatermarkMs() + 1))
         out = new[fire]
         if len(out):
             res = out[list(keys)].copy()
@@ -159,4 +171,4 @@ def cooldown(stream: DataFrame, keys: Sequence[str], ts: str, row_id: str,
 
     return (src.groupBy("_key")
                .applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                       GroupStateTimeout.NoTimeout))
+                                       GroupStateTimeout.EventTimeTimeout))
