@@ -27,19 +27,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import materialize
 from .joins import asof_forward_strict
 from .windows import DEFAULT_CHUNK_ROWS, micros_of
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back (cuts
-    lineage; survives executor loss)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 FOLD_MAX_ROWS = 100_000
 
 

@@ -21,7 +21,12 @@ BROADCAST_MAX_ROWS = 2_000_000
 def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | Column, how: str = "left", *,
                max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Join ``big`` with an aggregated ``small`` side; broadcast only when the
-    small side is proven to hold at most ``max_rows`` rows."""
+    small side is proven to hold at most ``max_rows`` rows. The small side is
+    written once to the shared folder, so counting it does not compute it a
+    second time."""
+    from ..session import materialize
+
+    small = materialize(small, "join-side")
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on if isinstance(on, Column) else list(on), how)

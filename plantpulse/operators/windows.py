@@ -74,7 +74,10 @@ def with_chunks(df: DataFrame, keys: Sequence[str], ts_col: str, *, chunk_second
     us = micros_of(df, ts_col)
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pp_n"), F.min(us).alias("_pp_lo"),
                                   F.max(us).alias("_pp_hi"))
-    big = stats.filter(F.col("_pp_n") > chunk_rows)
+    from ..session import materialize
+
+    # written once: counted here, broadcast below, never computed twice
+    big = materialize(stats.filter(F.col("_pp_n") > chunk_rows), "chunk-stats")
     n_big = big.count()  # keys needing a split: at most rows / chunk_rows
     if n_big == 0:
         return None

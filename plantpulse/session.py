@@ -64,3 +64,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Write ``df`` to the shared checkpoint folder and read it back: cuts
+    lineage, survives executor loss, and lets a small aggregate be counted
+    and then broadcast without computing it twice."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
