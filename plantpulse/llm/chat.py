@@ -81,7 +81,7 @@ inner_prefixes AS (
   SELECT DISTINCT msgs[1:k] AS msgs FROM m, LATERAL (SELECT unnest(range(1, len(msgs))) AS k)),
 whole AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, msgs FROM m GROUP BY msgs)
 SELECT conv_id, len(msgs)::BIGINT AS n_turns, n_copies,
-       array_to_string(list_transform(msgs, x -> '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10)
+       array_to_string(list_transform(msgs, lambda x: '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10)
          || replace(coalesce(x.text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10)), '') AS rendered
 FROM whole WHERE NOT EXISTS (SELECT 1 FROM inner_prefixes p WHERE p.msgs = whole.msgs)
 """
