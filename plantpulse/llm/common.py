@@ -77,7 +77,7 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
+_SPACE_RUN = re.compile(r"\s\s")
 
 
 def space_chunks(text: str) -> list[str]:
@@ -87,15 +87,16 @@ def space_chunks(text: str) -> list[str]:
     chunk is encoded on its own and repeated chunks are encoded once."""
     if not text:
         return []
-    parts = text.split(" ") if _ODD_SPACE.search(text) is None else _SAFE_SPACE.split(text)
-    return parts
+    if _SPACE_RUN.search(text) or text[0].isspace() or text[-1].isspace():
+        return _SAFE_SPACE.split(text)
+    return text.split(" ")
 
 
 def list_column(flat: np.ndarray, lengths, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and per-row lengths."""
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(np.asarray(lengths, np.int64), out=offsets[1:], casting="unsafe")
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(np.asarray(lengths, np.int64), out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, kind))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
