@@ -1,5 +1,5 @@
 """Training-data operators. Each module holds one operator with its registered
 query; importing this package loads them all."""
 
-from . import bpe, chat, embeddings, fingerprint, idfile, neardup, packing, pii, quality  # noqa: F401
+from . import bpe, chat, embeddings, fingerprint, idfile, neardup, ngram, packing, pii, quality  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
