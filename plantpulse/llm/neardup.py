@@ -232,6 +232,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                         F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, all columns as they
+    are. Rows without an id are known by a hash of their text; of rows that
+    repeat id and text, one stays."""
+    no_id = F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))
+    ident = F.coalesce(F.col("doc_id").cast("long"), no_id)
+    known = docs.select(ident.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = scratch(near_duplicates(known, width, percent), "near-duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    kept = docs.join(gone, ident == gone["gone"], "left_anti")
+    single = kept.join(again, ident == again["again"], "left_anti")
+    repeated = kept.join(again, ident == again["again"], "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+
+
 @llm_query("op4_lsh_forest")
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by 4-word shingles at 80 %."""

@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import llm_query, scratch, table, texts
 
@@ -142,9 +143,9 @@ def _arrow(name: str) -> pa.DataType:
 
 def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``base`` spans and graph ``items`` of every whole text."""
-    kept = [f for f in docs.schema.fields if keep_text or f.name != text_col]
-    names = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    kept = T.StructType([f for f in docs.schema.fields if keep_text or f.name != text_col])
+    names = kept.names
+    schema = T.StructType([*kept.fields, *T._parse_datatype_string(f"base array<{SPAN}>, items array<{ITEM}>").fields])
 
     def run(batches):
         for b in batches:
@@ -153,7 +154,7 @@ def scan(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> Dat
             spans = [[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in base]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(spans, _arrow("base")),
                                               pa.array(items, _arrow("items"))], names=[*names, "base", "items"])
-    return docs.mapInArrow(run, f"{schema}, base array<{SPAN}>, items array<{ITEM}>")
+    return docs.mapInArrow(run, schema)
 
 
 def discover(scanned: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
@@ -209,28 +210,29 @@ def with_spans(docs: DataFrame, text_col: str = "text", keep_text: bool = True,
 
 
 def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span replaced by its kind in angle brackets. Texts
+    """``docs`` with every span replaced by its kind in angle brackets; overlapping
+    spans are masked as the first of them, to the end of the last. Texts
     without a digit or an @ have no spans and pass by untouched."""
-    has = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
     columns, text_type = docs.columns, docs.schema[text_col].dataType
-    marked = with_spans(docs.where(has).select("*", F.col(text_col).cast("string").alias("_pii_text"))
-                        .drop(text_col), "_pii_text", True)
+    has = F.coalesce(F.col(text_col).rlike("[0-9@]"), F.lit(False))
+    text = f"c{columns.index(text_col)}"  # columns go by number, so that no name clashes
+    inner = docs.where(has).toDF(*[f"c{i}" for i in range(len(columns))])
+    marked = with_spans(inner.withColumn(text, F.col(text).cast("string")), text, True)
 
     def run(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b.column("_pii_text").to_pylist(), b.column("spans").to_pylist()):
+            for raw, spans in zip(b.column(text).to_pylist(), b.column("spans").to_pylist()):
                 parts, at = [], 0
                 for s in spans or []:
                     if s["start"] >= at:
-                        parts += [text[at:s["start"]], f"<{KINDS[s['kind']]}>"]
+                        parts += [raw[at:s["start"]], f"<{KINDS[s['kind']]}>"]
                     at = max(at, s["end"])
-                out.append("".join(parts) + text[at:] if parts else text)
-            i = b.schema.get_field_index("_pii_text")
-            yield b.set_column(i, "_pii_text", pa.array(out, pa.string()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
-    done = marked.mapInArrow(run, schema).withColumnRenamed("_pii_text", text_col)
-    return done.withColumn(text_col, F.col(text_col).cast(text_type)).select(*columns).unionByName(docs.where(~has))
+                out.append("".join(parts) + raw[at:] if parts else raw)
+            yield b.set_column(b.schema.get_field_index(text), text, pa.array(out, pa.string()))
+
+    done = marked.mapInArrow(run, marked.schema).select(*[f"c{i}" for i in range(len(columns))]).toDF(*columns)
+    return done.withColumn(text_col, F.col(text_col).cast(text_type)).unionByName(docs.where(~has))
 
 
 def span_text(spans):

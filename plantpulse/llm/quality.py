@@ -196,12 +196,17 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, ra
                      np.array(left, np.int64), np.array(leaf, bool), node_value)
 
 
+def training_sample(labels: DataFrame, usable, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """(label_id, y): at most ``max_train_rows`` labelled rows, smallest hash of
+    the id first (ties by id and label)."""
+    return (labels.where(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+            .select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("double").alias("y"))
+            .orderBy(F.xxhash64("label_id"), "label_id", "y").limit(max_train_rows))
+
+
 def train(stats: DataFrame, labels: DataFrame, usable, max_train_rows: int = MAX_TRAIN_ROWS) -> FlatTrees:
-    """Fit on labelled rows where ``usable`` holds; at most ``max_train_rows``
-    of them, smallest id hash first (ties by id)."""
-    sample = (labels.where(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-              .select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("double").alias("y"))
-              .orderBy(F.xxhash64("label_id"), "label_id", "y").limit(max_train_rows))
+    """Fit on the training sample's documents."""
+    sample = training_sample(labels, usable, max_train_rows)
     # the sample holds max_train_rows rows of two numbers at most
     got = (stats.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
            .select("doc_id", "y", "f").limit(4 * max_train_rows).toArrow())
@@ -230,6 +235,23 @@ def quality_scores(docs: DataFrame, labels: DataFrame, usable, max_train_rows: i
     return score(stats, train(stats, labels, usable, max_train_rows))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, usable, threshold: float = THRESHOLD,
+              max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """Rows of ``docs`` scored at least ``threshold``, all columns as they are.
+    Statistics are written for the labelled sample only (a broadcast of at most
+    ``max_train_rows`` ids); one pass over the texts scores and filters."""
+    sample = training_sample(labels, usable, max_train_rows)
+    own = texts(docs).join(F.broadcast(sample.select("label_id").distinct()), F.col("doc_id") == F.col("label_id"), "left_semi")
+    stats = scratch(document_statistics(own), "sample-stats")
+    shared = docs.sparkSession.sparkContext.broadcast(train(stats, labels, usable, max_train_rows))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(shared.value.score(batch_features(b.column("text"))) >= threshold))
+    return docs.mapInArrow(run, docs.schema)
+
+
 @llm_query("op1_quality_classifier")
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out quality scores of all documents; learned from the folds whose
