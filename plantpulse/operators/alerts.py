@@ -6,18 +6,24 @@ if more than ``cooldown`` seconds (strict) passed since the key's last
 
 The rule is greedy -- every emit depends on the previous emit -- so it is
 not a window function. Folding each key's events in order would put a hot
-key (a device in permanent fault) into one task. Instead:
-
-1. ``next(e)`` = first event of the key strictly later than ``ts(e) +
-   cooldown`` -- a skew-safe as-of lookup (chunked, see ``joins``);
-2. the fired events are exactly the chain ``e0, next(e0), next(next(e0)),
-   ...`` from each key's first event;
-3. the chain is expanded by pointer doubling: level k holds
+key (a device in permanent fault) into one task. Instead, one plan for every
+size:
+
+1. an event more than ``cooldown`` after the key's event before it always
+   fires (whatever fired last is at least as old): these events, and each
+   key's first, start the *runs*;
+2. ``next(e)`` = first event of the key strictly later than ``ts(e) +
+   cooldown`` -- a skew-safe as-of lookup (chunked, see ``joins``). The fired
+   events of a run are the chain ``e0, next(e0), next(next(e0)), ...`` from its
+   start, up to the next run's start, which needs no link;
+3. the chains are expanded by pointer doubling: level k holds
    ``next^(2^k)``; each level is one self-join on the (unique) event id, and
-   the expansion walks the levels top-down. Work is O(n log L) for chains of
-   length L, every join is keyed by event id (no skew), and every level is
+   the expansion walks the levels top-down. Work is O(n log L) for runs of L
+   links, every join is keyed by event id (no skew), and every level is
    written to the shared checkpoint folder so a lost executor only re-runs
    one level.
+
+NULL keys are one key of their own; an empty key list is one global clock.
 """
 
 from __future__ import annotations
@@ -29,88 +35,43 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .joins import asof_forward_strict
-from .windows import DEFAULT_CHUNK_ROWS, micros_of
-
-
-FOLD_MAX_ROWS = 100_000
+from .windows import DEFAULT_CHUNK_ROWS, micros_of, rows_window
 
 
 def cooldown_fired(df: DataFrame, keys: Sequence[str], ts: str, row_id: str,
                    cooldown_seconds: float, *, chunk_seconds: int | None = None,
-                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS,
-                   fold_max_rows: int = FOLD_MAX_ROWS, max_levels: int = 62) -> DataFrame:
+                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Rows of ``df`` that fire under the cool-down rule (``row_id`` must be
-    unique). Returns ``df``'s columns.
-
-    When no key has more than ``fold_max_rows`` events (one aggregate
-    checks), each key's events are walked in time order by a grouped pandas
-    function (bounded groups, linear work). Otherwise the pointer-doubling
-    plan below runs, which never holds a key in one task."""
-    ids = df.select(*keys, row_id, ts)
-    us = micros_of(df, ts)
-    widest = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if widest is None:
-        return df.limit(0)
-    if widest <= fold_max_rows:
-        fired = _fold_per_key(ids.withColumn("_us", us), keys, row_id, cooldown_seconds)
-        return df.join(fired, row_id, "left_semi")
-    nxt = asof_forward_strict(ids, keys, ts, row_id, cooldown_seconds, chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+    unique). Returns ``df``'s columns."""
+    gap_us = int(round(cooldown_seconds * 1_000_000))
+    names = [f"_k{i}" for i in range(len(keys))] or ["_k"]
+    cols = [F.col(k).alias(n) for k, n in zip(keys, names)] or [F.lit(0).alias("_k")]
+    ids = df.select(*cols, F.col(row_id).alias("_id"), F.col(ts).alias("_ts"), micros_of(df, ts).alias("_us"))
+    how = {"chunk_seconds": chunk_seconds, "chunk_rows": chunk_rows}
+    marked = rows_window(ids, names, ["_us", "_id"], lambda w: {"_before": F.lag("_us", 1).over(w)},
+                         preceding=1, ts_col="_us", **how)
+    starts = F.col("_before").isNull() | (F.col("_us") - F.col("_before") > gap_us)
+    marked = materialize(marked.select("_id", starts.alias("_start")), "cooldown-runs")
+    fired = marked.filter("_start").select("_id")
+    nxt = asof_forward_strict(ids, names, "_ts", "_id", cooldown_seconds, **how)
     # Levels keep only live jumps (id -> next^(2^k)(id)); a missing id means
     # "no jump". No NULL join keys, so no shuffle partition collects the rows
     # whose chains have ended, and every level is smaller than the last.
-    level = materialize(nxt.filter(F.col("next_id").isNotNull())
-                           .select(F.col(row_id).alias("_id"), F.col("next_id").alias("_nx")),
-                        "cooldown-l0")
-    levels = []
-    while len(levels) <= max_levels and level.limit(1).count() > 0:
+    jumps = nxt.filter(F.col("next_id").isNotNull()).select("_id", F.col("next_id").alias("_nx"))
+    jumps = jumps.join(fired.select(F.col("_id").alias("_nx")), "_nx", "left_anti")
+    level, levels = materialize(jumps.select("_id", "_nx"), "cooldown-l0"), []
+    while not level.isEmpty():
         levels.append(level)
         a, b = level.alias("a"), level.alias("b")
         up = (a.join(b, F.col("a._nx") == F.col("b._id"))
                .select(F.col("a._id").alias("_id"), F.col("b._nx").alias("_nx")))
         level = materialize(up, f"cooldown-l{len(levels)}")
-    # chain starts: the first event of every key (a partial aggregate)
-    starts = (ids.withColumn("_us", us).groupBy(*keys)
-                 .agg(F.min_by(F.col(row_id), F.struct(F.col("_us"), F.col(row_id))).alias("_id")))
-    fired = materialize(starts.select("_id"), "cooldown-s")
     for lv in reversed(levels):
         jumped = fired.join(lv, "_id").select(F.col("_nx").alias("_id"))
         fired = materialize(fired.unionByName(jumped), "cooldown-s")
     return df.join(fired.withColumnRenamed("_id", row_id), row_id, "left_semi")
 
 
-def _fold_per_key(ids: DataFrame, keys: Sequence[str], row_id: str, cooldown_seconds: float) -> DataFrame:
-    """Greedy walk of each key's events in time order. Rows are hash
-    partitioned by key and sorted within partitions, then one pass per
-    partition streams the Arrow batches, carrying (current key, last emit)
-    across batch boundaries. Keys are bounded by the caller's check."""
-    gap_us = int(round(cooldown_seconds * 1_000_000))
-    id_type = ids.schema[row_id].dataType.simpleString()
-    kcols = [f"_k{i}" for i in range(len(keys))]
-
-    def walk(batches):
-        cur_key, last = object(), None
-        for pdf in batches:
-            key_rows = list(zip(*[pdf[c].tolist() for c in kcols])) if kcols else [()] * len(pdf)
-            times = pdf["_us"].tolist()
-            keep = []
-            for k, u in zip(key_rows, times):
-                if k != cur_key:
-                    cur_key, last = k, None
-                if last is None or u - last > gap_us:
-                    keep.append(True)
-                    last = u
-                else:
-                    keep.append(False)
-            out = pdf.loc[keep, [row_id]]
-            if len(out):
-                yield out
-
-    src = ids.select(*[F.col(k).alias(c) for k, c in zip(keys, kcols)], row_id, "_us")
-    return (src.repartition(*kcols)
-               .sortWithinPartitions(*kcols, "_us", row_id)
-               .mapInPandas(walk, f"{row_id} {id_type}"))
-
-
 def alert_records(fired: DataFrame, device: str, ts: str, state: str,
                   score: str | None = None) -> DataFrame:
     """The alert table row -- device, state, alert time and a message with

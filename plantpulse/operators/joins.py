@@ -1,35 +1,36 @@
-"""Joins (J1-J5) and the size-checked broadcast used by every stats-back
-join.
+"""Joins (J1-J5) and the stats-back join used by profiles and outlier rules.
 
-``join_small`` broadcasts the small side only after counting it (the small
-side is always an aggregate, so the count is cheap); beyond the bound it
-falls back to a shuffle join where AQE splits skewed partitions.
+No join forces a broadcast: aggregated sides are written tables, so Spark
+knows their size in bytes and broadcasts only below its own threshold; above
+it the join is shuffled and AQE splits skewed partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .windows import DEFAULT_CHUNK_ROWS, epoch_micros
 
-BROADCAST_MAX_ROWS = 2_000_000
 
-
-def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | Column, how: str = "left", *,
-               max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join ``big`` with an aggregated ``small`` side; broadcast only when the
-    small side is proven to hold at most ``max_rows`` rows. The small side is
-    written once to the shared folder, so counting it does not compute it a
-    second time."""
+def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | Column, how: str = "left") -> DataFrame:
+    """Join ``big`` with an aggregated ``small`` side. The small side is
+    written once to the shared folder, so Spark plans by its size in bytes."""
     from ..session import materialize
 
-    small = materialize(small, "join-side")
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on if isinstance(on, Column) else list(on), how)
+    return big.join(materialize(small, "join-side"), on if isinstance(on, Column) else list(on), how)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Equi-join on ``on`` in which NULL keys meet; the right side's key
+    columns are dropped."""
+    names = {k: f"_pp_on_{i}" for i, k in enumerate(on)}
+    right = right.withColumnsRenamed(names)
+    cond = reduce(lambda x, y: x & y, [left[k].eqNullSafe(right[n]) for k, n in names.items()])
+    return left.join(right, cond, how).drop(*names.values())
 
 
 def lookup(df: DataFrame, key: str, mapping: dict, out: str, default=None) -> DataFrame:

@@ -12,20 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _pairs_dim(spark, classes: Sequence, label: str, pred: str) -> DataFrame:
-    """All (true, predicted) class pairs from the fixed class list."""
-    cls = F.array(*[F.lit(c) for c in classes])
-    return (spark.range(1)
-                 .select(F.explode(cls).alias(label))
-                 .select(label, F.explode(cls).alias(pred)))
-
-
 def confusion_long(df: DataFrame, label: str, pred: str, classes: Sequence) -> DataFrame:
-    """A10: (label, prediction, n) for every class pair, zero cells kept."""
+    """A10: (label, prediction, n) for every pair of the class list, zero cells
+    kept, and for every other pair that occurs."""
+    cls = F.array(*[F.lit(c) for c in classes])
+    types = df.schema
+    cells = (df.sparkSession.range(1).select(F.explode(cls).alias(label)).select(label, F.explode(cls).alias(pred))
+             .select(F.col(label).cast(types[label].dataType), F.col(pred).cast(types[pred].dataType),
+                     F.lit(0).cast("long").alias("n")))
     counts = df.groupBy(label, pred).agg(F.count(F.lit(1)).alias("n"))
-    dim = _pairs_dim(df.sparkSession, classes, label, pred)
-    return (dim.join(F.broadcast(counts) if len(classes) <= 1000 else counts, [label, pred], "left")
-               .select(label, pred, F.coalesce("n", F.lit(0)).cast("long").alias("n")))
+    return counts.unionByName(cells).groupBy(label, pred).agg(F.sum("n").alias("n"))
 
 
 def confusion_wide(df: DataFrame, label: str, pred: str, classes: Sequence) -> DataFrame:
@@ -49,13 +45,14 @@ def alarm_counts(df: DataFrame, label: str, pred: str, positive=1, negative=0) -
 
 def classification_report(df: DataFrame, label: str, pred: str, classes: Sequence) -> DataFrame:
     """Per-class precision / recall / F1 / support plus ``accuracy``,
-    ``macro avg`` and ``weighted avg`` rows; undefined ratios are 0."""
+    ``macro avg`` and ``weighted avg`` rows; undefined ratios are 0. Labels
+    outside the class list that occur have rows of their own and count."""
     long = confusion_long(df, label, pred, classes)
-    per = long.groupBy(F.col(label).alias("cls")).agg(
-        F.sum(F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum("n").alias("support"))
-    predicted = long.groupBy(F.col(pred).alias("cls")).agg(F.sum("n").alias("n_pred"))
-    t = per.join(predicted, "cls")
+    zero = F.lit(0).cast("long")
+    sides = long.select(F.col(label).alias("cls"), F.when(F.col(label) == F.col(pred), F.col("n")).otherwise(zero).alias("tp"),
+                        F.col("n").alias("support"), zero.alias("n_pred")).union(
+        long.select(F.col(pred).alias("cls"), zero, zero, F.col("n")))
+    t = sides.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "n_pred")])
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("n_pred")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0))

@@ -86,12 +86,15 @@ def logistic(max_iter: int = 100) -> LogisticRegression:
     return LogisticRegression(maxIter=max_iter)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Tree learners run one task per partition on every pass; a small input
-    read from a few files would train on a few cores. Spread it to at least
-    the cluster's default parallelism (never fewer partitions than it has)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+#: Partitions of a training table; fixed, so that bagging and the fitted trees
+#: do not depend on the cluster. Raise it with the table.
+TRAIN_PARTITIONS = 64
+
+
+def spread(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:
+    """Deal a training table to a fixed number of partitions: tree learners
+    run one task per partition on every pass."""
+    return df.repartition(partitions)
 
 
 def fit(pipe: Pipeline, train: DataFrame) -> PipelineModel:

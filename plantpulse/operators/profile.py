@@ -60,13 +60,12 @@ def class_counts(df: DataFrame, cls: str, *, share_name: str = "share") -> DataF
 
 
 def prediction_distribution(df: DataFrame, pred: str, classes: Sequence[str]) -> DataFrame:
-    """A4: count per predicted class including classes never predicted. The
-    class dimension is the fixed class list (size known up front)."""
-    dim = df.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(c) for c in classes])).alias(pred))
+    """A4: count per predicted class, including listed classes never predicted
+    and predicted classes outside the list."""
+    listed = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in classes])).alias(pred)).select(
+        F.col(pred).cast(df.schema[pred].dataType), F.lit(0).cast("long").alias("n"))
     counts = df.groupBy(pred).agg(F.count(F.lit(1)).alias("n"))
-    return dim.join(F.broadcast(counts) if len(classes) < 10_000 else counts, pred, "left") \
-              .select(pred, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return counts.unionByName(listed).groupBy(pred).agg(F.sum("n").alias("n"))
 
 
 def prediction_summary(df: DataFrame, col: str) -> DataFrame:

@@ -34,12 +34,17 @@ class Rule:
         return self.build()
 
 
+def _known(c: str) -> Column:
+    """Neither NULL nor NaN (of any type: what is no number is no NaN)."""
+    return F.col(c).isNotNull() & ~F.isnan(F.col(c).try_cast("double"))
+
+
 def not_null(*cols: str, name: str = "null") -> Rule:
-    """P3 as a rule: any NULL in ``cols`` fails."""
+    """P3 as a rule: any NULL or NaN in ``cols`` fails."""
     def build() -> Column:
         cond = F.lit(True)
         for c in cols:
-            cond = cond & F.col(c).isNotNull()
+            cond = cond & _known(c)
         return cond
     return Rule(name, build)
 
@@ -48,7 +53,7 @@ def in_range(c: str, lo: float | None = None, hi: float | None = None,
              name: str | None = None) -> Rule:
     """Inclusive bounds (either side optional)."""
     def build() -> Column:
-        cond = F.col(c).isNotNull()
+        cond = _known(c)
         if lo is not None:
             cond = cond & (F.col(c) >= F.lit(lo))
         if hi is not None:
@@ -58,11 +63,11 @@ def in_range(c: str, lo: float | None = None, hi: float | None = None,
 
 
 def positive(*cols: str, name: str = "positive") -> Rule:
-    """Strictly positive."""
+    """Strictly positive (NaN is not)."""
     def build() -> Column:
         cond = F.lit(True)
         for c in cols:
-            cond = cond & (F.col(c) > 0)
+            cond = cond & _known(c) & (F.col(c) > 0)
         return cond
     return Rule(name, build)
 

@@ -13,13 +13,13 @@ operator here therefore works on ``(device, chunk)`` partitions, where
   per-chunk summary (a partial aggregate) with a running window over the
   chunk summaries.
 
-Chunking is adaptive by default (``chunk_rows``): one partial aggregate
-counts the rows of every device; if no device exceeds ``chunk_rows`` the
-operators use plain per-device windows (every task then holds at most
-``chunk_rows`` rows of a device). Devices above the bound get a time chunk
-length sized to about ``chunk_rows`` rows each, and only they carry halos.
-``chunk_seconds`` forces fixed time chunks; both ``None`` means plain windows.
-Results never depend on the chunking.
+Chunk borders are row quantiles of each device's event times (one partial
+aggregate counts the rows, a second takes the quantiles of the devices above
+``chunk_rows``), so bursts and outlying clocks make no large chunk; a device
+below the bound is one chunk. ``chunk_seconds`` forces fixed time chunks; both
+``None`` means plain windows. Keys are compared null-safe (a NULL device is a
+device), and an empty key list means one global history. Results never depend
+on the chunking.
 """
 
 from __future__ import annotations
@@ -60,36 +60,40 @@ def chunk_of(df: DataFrame, ts: str, chunk_seconds: int) -> Column:
 
 
 DEFAULT_CHUNK_ROWS = 1_000_000
-BROADCAST_MAX_ROWS = 2_000_000
 
 
 def with_chunks(df: DataFrame, keys: Sequence[str], ts_col: str, *, chunk_seconds: int | None = None,
                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame | None:
-    """``df`` with a chunk id column, or ``None`` when plain per-key windows
-    are safe (no key above ``chunk_rows``)."""
+    """``df`` with a chunk id column, or ``None`` when no key has more than
+    ``chunk_rows`` rows, so that every chunk would be a whole key."""
     if chunk_seconds is not None:
         return df.withColumn(_C, chunk_of(df, ts_col, chunk_seconds))
     if chunk_rows is None:
         return None
-    us = micros_of(df, ts_col)
-    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pp_n"), F.min(us).alias("_pp_lo"),
-                                  F.max(us).alias("_pp_hi"))
     from ..session import materialize
+    from .joins import null_safe_join
 
-    # written once: counted here, broadcast below, never computed twice
-    big = materialize(stats.filter(F.col("_pp_n") > chunk_rows), "chunk-stats")
-    n_big = big.count()  # keys needing a split: at most rows / chunk_rows
-    if n_big == 0:
+    us = micros_of(df, ts_col)
+    big = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pp_n"))
+                      .filter(F.col("_pp_n") > chunk_rows), "chunk-stats")
+    widest = big.agg(F.max("_pp_n")).first()[0]
+    if widest is None:
         return None
-    width = F.greatest(F.lit(1).cast("long"),
-                       F.floor((F.col("_pp_hi") - F.col("_pp_lo") + 1) * F.lit(float(chunk_rows))
-                               / F.col("_pp_n")).cast("long"))
-    big = big.select(*keys, "_pp_lo", width.alias("_pp_w"))
-    side = F.broadcast(big) if n_big <= BROADCAST_MAX_ROWS else big
-    j = df.join(side, list(keys), "left")
-    chunk = F.when(F.col("_pp_w").isNull(), F.lit(0).cast("long")).otherwise(
-        F.floor((micros_of(df, ts_col) - F.col("_pp_lo")) / F.col("_pp_w")).cast("long"))
-    return j.withColumn(_C, chunk).drop("_pp_lo", "_pp_w")
+    # as many cuts as the widest key needs; others among the big get shorter chunks
+    cuts = -(-int(widest) // chunk_rows)
+    shares = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    rows = df.select(*keys, us.alias("_pp_us"))
+    if keys:
+        rows = null_safe_join(rows, big.select(*keys), keys, "left_semi")
+    borders = materialize(rows.groupBy(*keys).agg(
+        F.array_distinct(F.percentile_approx("_pp_us", shares, 20 * cuts)).alias("_pp_b")), "chunk-borders")
+    if keys:
+        j = null_safe_join(df, borders, keys)
+    else:  # one row of ``cuts`` borders at most
+        j = df.withColumn("_pp_b", F.array(*[F.lit(b) for b in borders.first()["_pp_b"]]))
+    # the number of borders below a row's time
+    chunk = F.coalesce(F.size(F.filter("_pp_b", lambda b: b < us)), F.lit(0)).cast("long")
+    return j.withColumn(_C, F.when(F.col("_pp_b").isNull(), F.lit(0).cast("long")).otherwise(chunk)).drop("_pp_b")
 
 
 def _order_cols(order: Sequence[str], descending: bool) -> list[Column]:
@@ -178,26 +182,30 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     w = (w.rowsBetween(0, Window.unboundedFollowing) if backward
          else w.rowsBetween(Window.unboundedPreceding, 0))
     local = base.withColumns({f"_pp_{c}_local": fn(c, ignorenulls=True).over(w) for c in cols})
-    out = local.join(carried, [*keys, _C], "left")
+    from .joins import null_safe_join
+
+    out = null_safe_join(local, carried, [*keys, _C])
     return (out.withColumns({c: F.coalesce(F.col(f"_pp_{c}_local"), F.col(f"_pp_{c}_carry"))
                              for c in cols})
                .drop(_C, *[f"_pp_{c}_local" for c in cols], *[f"_pp_{c}_carry" for c in cols]))
 
 
-def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *,
+def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, of: str | None = None,
                   ts_col: str | None = None, chunk_seconds: int | None = None,
                   chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Number of readings of the key up to and including the current one
-    (whole history), chunk-carried."""
+    (whole history; only non-NULL ``of`` when given), chunk-carried."""
+    one = F.lit(1) if of is None else F.col(of)
     base = with_chunks(df, keys, ts_col or order[0], chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
     if base is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(name, F.count(F.lit(1)).over(w))
-    carried = _chunk_carry(base, keys, {"_pp_n": F.count(F.lit(1))},
+        return df.withColumn(name, F.count(one).over(w))
+    carried = _chunk_carry(base, keys, {"_pp_n": F.count(one)},
                            lambda k, w: F.coalesce(F.sum(k).over(w), F.lit(0)))
     w = Window.partitionBy(*keys, _C).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return (base.withColumn("_pp_local", F.count(F.lit(1)).over(w))
-                .join(carried, [*keys, _C], "left")
+    from .joins import null_safe_join
+
+    return (null_safe_join(base.withColumn("_pp_local", F.count(one).over(w)), carried, [*keys, _C])
                 .withColumn(name, F.col("_pp_local") + F.coalesce(F.col("_pp_n_carry"), F.lit(0)))
                 .drop(_C, "_pp_local", "_pp_n_carry"))
 
@@ -243,15 +251,22 @@ def rolling_std(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: s
                 ts_col: str | None = None, chunk_seconds: int | None = None,
                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W3 (``ddof=1``: sample std over the last ``size`` rows, NULL for a
-    single row) and W4 (``ddof=0``, 0 until ``min_n`` readings)."""
+    single row) and W4 (``ddof=0``, 0 until the key's history holds ``min_n``
+    readings of ``col``)."""
     def cols(w: WindowSpec) -> dict[str, Column]:
         f = w.rowsBetween(-(size - 1), 0)
         std = F.stddev_samp(col).over(f) if ddof == 1 else F.stddev_pop(col).over(f)
-        n = F.count(F.col(col)).over(f)
-        return {name: F.when(n >= F.lit(min_n), std).otherwise(
+        return {name: std if min_n > size else F.when(F.count(F.col(col)).over(f) >= F.lit(min_n), std).otherwise(
             F.lit(0.0) if ddof == 0 else F.lit(None).cast("double"))}
-    return rows_window(df, keys, order, cols, preceding=size - 1, ts_col=ts_col,
-                       chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+    out = rows_window(df, keys, order, cols, preceding=size - 1, ts_col=ts_col,
+                      chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+    if min_n > size:
+        # more than the frame can hold: count the history
+        out = running_count(out, keys, order, "_pp_seen", of=col, ts_col=ts_col, chunk_seconds=chunk_seconds,
+                            chunk_rows=chunk_rows)
+        none = F.lit(0.0) if ddof == 0 else F.lit(None).cast("double")
+        out = out.withColumn(name, F.when(F.col("_pp_seen") >= min_n, F.col(name)).otherwise(none)).drop("_pp_seen")
+    return out
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
