@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 
 #: Bounds of one Arrow batch handed to a Python worker: a batch of very long
 #: texts is cut by bytes, a batch of very short ones by rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 4000
 
 

@@ -54,6 +54,21 @@ class Bits:
         return at * 64 + select_in_word(word if one else ~word, k - before[at])
 
 
+class Packed:
+    """Values of a fixed number of bits."""
+
+    def __init__(self, buffer, n: int, width: int, offset: int):
+        size = (n * width + 7) // 8 + 8
+        raw = np.frombuffer(buffer, np.uint8, size, offset)
+        # every byte offset as the start of an 8-byte word
+        self.words = np.ndarray((size - 7,), "<u8", raw, 0, (1,))
+        self.width, self.mask, self.end = width, np.uint64((1 << width) - 1), offset + size
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        bit = i * self.width
+        return (self.words[bit >> 3] >> (bit & 7).astype(np.uint64)) & self.mask
+
+
 class EliasFano:
     """``n`` sorted values below ``universe`` (1 to 2**64)."""
 
@@ -61,12 +76,8 @@ class EliasFano:
         self.n, self.most, self.low_bits, size = HEAD.unpack_from(buffer, offset)
         at = offset + HEAD.size
         self.high = Bits(np.frombuffer(buffer, "<u8", size, at))
-        at += 8 * size
-        low_bytes = (self.n * self.low_bits + 7) // 8 + 8
-        raw = np.frombuffer(buffer, np.uint8, low_bytes, at)
-        # every byte offset as the start of an 8-byte word
-        self.low = np.ndarray((low_bytes - 7,), "<u8", raw, 0, (1,))
-        self.end = at + low_bytes
+        self.low = Packed(buffer, self.n, self.low_bits, at + 8 * size)
+        self.end = self.low.end
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> bytes:
@@ -81,21 +92,28 @@ class EliasFano:
         low = pack_bits(values & np.uint64((1 << low_bits) - 1), low_bits)
         return HEAD.pack(n, universe - 1, low_bits, len(words) // 8) + words.tobytes() + low
 
-    def lows(self, i: np.ndarray) -> np.ndarray:
-        bit = i * self.low_bits
-        return (self.low[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
-
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at places ``i``."""
         high = (self.high.select(i, True) - i).astype(np.uint64)
-        return (high << np.uint64(self.low_bits)) | self.lows(i)
+        return (high << np.uint64(self.low_bits)) | self.low[i]
+
+    def access_pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places ``i`` and ``i + 1``: the second one's bit mostly
+        follows in the same word."""
+        at = self.high.select(i, True)
+        rest = (self.high.words[at >> 6] >> (at & 63).astype(np.uint64)) >> _ONE
+        then = at + 1 + np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        then[far] = self.high.select(i[far] + 1, True)
+        shift = np.uint64(self.low_bits)
+        return tuple((((p - k).astype(np.uint64) << shift) | self.low[k]).astype(np.int64) for p, k in ((at, i), (then, i + 1)))
 
     def decode(self) -> np.ndarray:
         """All values."""
         i = np.arange(self.n, dtype=np.int64)
         bits = np.unpackbits(self.high.words.view(np.uint8), bitorder="little")
         high = (np.flatnonzero(bits)[:self.n] - i).astype(np.uint64)
-        return (high << np.uint64(self.low_bits)) | self.lows(i)
+        return (high << np.uint64(self.low_bits)) | self.low[i]
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, or -1: the successor inside the run of equal
@@ -116,10 +134,10 @@ class EliasFano:
             if not len(open_):
                 break
             mid = (lo[open_] + hi[open_]) >> 1
-            less = self.lows(mid) < target[open_]
+            less = self.low[mid] < target[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
         hit = np.flatnonzero(inside & (lo < last))
-        hit = hit[self.lows(lo[hit]) == target[hit]]
+        hit = hit[self.low[lo[hit]] == target[hit]]
         out[hit] = lo[hit]
         return out

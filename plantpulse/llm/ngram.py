@@ -6,13 +6,14 @@ before its last word) and its last word. Nodes are sorted by (parent, word), so
 a parent's children are neighbours; a level stores per range of parents
 
 * monotone pointers (Elias-Fano): where each parent's children begin,
-* the children's words, made monotone by the parent's number (Elias-Fano),
+* the children's words in as many bits as the vocabulary needs, sorted below
+  each parent,
 * 16-bit logarithms of discounted probabilities and of parents' back-off mass.
 
 Probabilities interpolate absolute discounting over all levels down to the
 add-one unigram: P_k(w|h) = max(c - D, 0) / c(h) + D n(h) / c(h) P_(k-1)(w|h'),
-with D = n1 / (n1 + 2 n2) of the range. A look-up finds the child among its
-parent's by successor search.
+with D = n1 / (n1 + 2 n2) of the range. A look-up takes the parent's pointers
+and finds the word's successor among its children by bisection.
 
 Spark counts: each task sums its own n-grams, sends every range of parents one
 compressed block, and the range's task merges blocks and writes its file to the
@@ -42,14 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, held_out, llm_query, scratch_path, shuffle_parts, table, texts
-from .eliasfano import EliasFano
+from .eliasfano import EliasFano, Packed, pack_bits
 from .shingles import word_hashes
 
 ORDER = 3
 END = np.uint64(0x5EED0F7E47)  # the end token's hash
 LOG_STEP = 10 / 65535  # logarithms of ten, 0 to -10, in 16 bits
 #: n-grams summed in a task before blocks are sent.
-HELD = 4_000_000
+HELD = 2_000_000
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +59,18 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, np.cumsum(counts), END), counts + 1
 
 
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([len(keys) > 0], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct sorted keys and their total counts."""
     if not len(keys):
         return keys, counts
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(counts, first)
@@ -123,15 +131,16 @@ class Children:
     """The children of a range of parents."""
 
     def __init__(self, buffer):
-        self.parents, self.width = struct.unpack_from("<QQ", buffer)
-        self.pointers = EliasFano(buffer, 16)
-        self.words = EliasFano(buffer, self.pointers.end)
+        self.parents, self.n, bits = struct.unpack_from("<QQQ", buffer)
+        self.pointers = EliasFano(buffer, 24)
+        self.words = Packed(buffer, self.n, bits, self.pointers.end)
         at = self.words.end
-        self.prob = np.frombuffer(buffer, "<u2", self.words.n, at)
-        self.back = np.frombuffer(buffer, "<u2", self.parents, at + 2 * self.words.n)
+        self.prob = np.frombuffer(buffer, "<u2", self.n, at)
+        self.back = np.frombuffer(buffer, "<u2", self.parents, at + 2 * self.n)
 
     @staticmethod
     def build(keys: np.ndarray, counts: np.ndarray, parents: int, width: int) -> bytes:
+        """From sorted (parent * width + word) keys."""
         parent = (keys // np.uint64(width)).astype(np.int64)
         fan = np.bincount(parent, minlength=parents)
         total = np.bincount(parent, counts, minlength=parents)
@@ -140,18 +149,33 @@ class Children:
         prob = quantised((counts - d) / total[parent]) if len(keys) else np.zeros(0, "<u2")
         back = quantised(np.where(total > 0, d * fan / np.maximum(total, 1), 1.0))
         pointers = np.concatenate(([0], np.cumsum(fan)))
-        return (struct.pack("<QQ", parents, width) + EliasFano.encode(pointers, len(keys) + 1)
-                + EliasFano.encode(keys, parents * width) + prob.tobytes() + back.tobytes())
+        bits = max(1, (width - 1).bit_length())
+        return (struct.pack("<QQQ", parents, len(keys), bits) + EliasFano.encode(pointers, len(keys) + 1)
+                + pack_bits(keys % np.uint64(width), bits) + prob.tobytes() + back.tobytes())
 
     def look_up(self, parent: np.ndarray, word: np.ndarray):
         """Child number in this range (or -1), its probability (or 0), and the
-        back-off mass of the parent (1 if it has no children)."""
-        begin, end = self.pointers.access(parent), self.pointers.access(parent + 1)
+        back-off mass of the parent (1 if it has no children), for sorted
+        (parent, word) pairs."""
+        first = np.concatenate(([True], parent[1:] != parent[:-1]))
+        expand = np.cumsum(first) - 1
+        begin, end = self.pointers.access_pairs(parent[first])
+        lo, hi = begin[expand], end[expand]
+        last, word = hi.copy(), word.astype(np.uint64)
+        while True:
+            open_ = np.flatnonzero(lo < hi)
+            if not len(open_):
+                break
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self.words[mid] < word[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
         at = np.full(len(parent), -1, np.int64)
-        some = np.flatnonzero(end > begin)
-        key = parent[some].astype(np.uint64) * np.uint64(self.width) + word[some].astype(np.uint64)
-        at[some] = self.words.find(key)
-        prob = np.where(at >= 0, _PROB[self.prob[np.maximum(at, 0)]] if self.words.n else 0.0, 0.0)
+        some = np.flatnonzero(lo < last)
+        some = some[self.words[lo[some]] == word[some]]
+        at[some] = lo[some]
+        prob = np.zeros(len(parent))
+        prob[some] = _PROB[self.prob[lo[some]]]
         return at, prob, _PROB[self.back[parent]]
 
 
@@ -291,7 +315,7 @@ def add_level(trie: Trie, train: DataFrame, folder: str) -> None:
                 _, _, parent, word = walk(trie_, flat, sizes, level - 1)
                 seen = (parent >= 0) & (word >= 0)
                 flat = parent[seen].astype(np.uint64) * np.uint64(width) + word[seen].astype(np.uint64)
-            held.append(summed(flat, np.ones(len(flat), np.int64)))
+            held.append(counted(flat))
             size += len(held[-1][0])
             if size >= HELD:
                 yield from send()
