@@ -151,12 +151,12 @@ JOBS: dict[str, JobSpec] = {
     "simple_temperature": JobSpec("simple_temperature", SC.FEATURES["simple_temperature"], ["target"],
                                   ML.linear_regressor, scale=False, status=_temperature_status,
                                   raw=SC.FEATURES["simple_temperature"]),
-    "pump": JobSpec("pump", SC.FEATURES["pump"], ["label"], lambda: ML.forest_classifier(100, 10, 42),
+    "pump": JobSpec("pump", SC.FEATURES["pump"], ["label"], lambda: ML.forest_classifier(100, 30, 42),
                     classes=SC.PUMP_CLASSES, rules=_pump_rules, derive=_pump_derive, status=_pump_status,
                     stratified=True, raw=["flow", "head", "power", "vibration"]),
     "leak": JobSpec("leak", SC.FEATURES["leak"], ["label"], lambda: ML.forest_classifier(100, 10, 42),
                     classes=SC.LEAK_CLASSES, rules=_leak_rules, derive=_leak_derive, status=_leak_status,
-                    weighted=True, stratified=True, raw=["pressure", "supply_flow", "demand_flow"]),
+                    weighted=True, stratified=True, test_fraction=0.2, raw=["pressure", "supply_flow", "demand_flow"]),
     "shearer": JobSpec("shearer", SC.FEATURES["shearer"], ["label"], lambda: ML.forest_classifier(100, 10, 42),
                        classes=SC.BINARY_CLASSES, status=_shearer_status, raw=SC.FEATURES["shearer"]),
     "belt_fault": JobSpec("belt_fault", SC.FEATURES["belt_fault"], ["label"],
@@ -206,7 +206,7 @@ def train(spec: JobSpec, df: DataFrame, *, key: Sequence[str] | None = None) ->
           else S.split_flag(df, key, spec.test_fraction))
     weight = None
     if spec.weighted:
-        df = S.class_weights(df, lab)
+        df = S.class_weights(df, lab, train=~F.col("is_test"))
         weight = "weight"
     train_df, test_df = df.filter(~F.col("is_test")), df.filter(F.col("is_test"))
     models, reports = {}, []

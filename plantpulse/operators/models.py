@@ -88,7 +88,7 @@ def logistic(max_iter: int = 100) -> LogisticRegression:
 
 #: Partitions of a training table; fixed, so that bagging and the fitted trees
 #: do not depend on the cluster. Raise it with the table.
-TRAIN_PARTITIONS = 64
+TRAIN_PARTITIONS = 16
 
 
 def spread(df: DataFrame, partitions: int = TRAIN_PARTITIONS) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,14 +52,20 @@ def fold_id(df: DataFrame, keys: Sequence[str], k: int = 5, name: str = "fold")
 
 
 def class_weights(df: DataFrame, label: str, *, manual: dict | None = None,
-                  name: str = "weight") -> DataFrame:
-    """M4: balanced weights ``n / (k * n_c)`` (or a manual map) as a column.
-    The per-class counts are one small aggregate, applied as a literal map."""
-    from itertools import chain
-
-    if manual is None:
-        rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class
-        total, k = sum(r["n"] for r in rows), len(rows)
-        manual = {r[label]: total / (k * r["n"]) for r in rows}
-    m = F.create_map(*chain.from_iterable((F.lit(c), F.lit(float(w))) for c, w in manual.items()))
-    return df.withColumn(name, F.coalesce(F.try_element_at(m, F.col(label)), F.lit(1.0)))
+                  name: str = "weight", train: Column | None = None) -> DataFrame:
+    """M4: balanced weights ``n / (k * n_c)`` as a column, counted over the
+    rows where ``train`` holds (all by default; other classes weigh 1), or a
+    manual map. Balanced counts stay in the plan: one aggregate row per class,
+    joined back."""
+    if manual is not None:
+        from itertools import chain
+
+        m = F.create_map(*chain.from_iterable((F.lit(c), F.lit(float(w))) for c, w in manual.items()))
+        return df.withColumn(name, F.coalesce(F.try_element_at(m, F.col(label)), F.lit(1.0)))
+    from .joins import join_small
+
+    counts = (df if train is None else df.filter(train)).groupBy(label).agg(F.count(F.lit(1)).alias("_pp_n"))
+    every = Window.partitionBy()  # over one row per class
+    weights = counts.select(label, (F.sum("_pp_n").over(every)
+                                    / (F.count(F.lit(1)).over(every) * F.col("_pp_n"))).alias(name))
+    return join_small(df, weights, [label]).withColumn(name, F.coalesce(name, F.lit(1.0))).select(*df.columns, name)
