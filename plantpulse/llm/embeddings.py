@@ -38,12 +38,18 @@ from .graph import components
 SAMPLE, ITERATIONS, RECALL, CHUNK = 10_000, 30, 0.999, 2048
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one; scaled first, so that tiny and huge ones survive."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Codes:
     """Learned rotations; ``tables`` substrings of ``bits`` signs each."""
 
     def __init__(self, sample: np.ndarray, bits: int, tables: int, seed: int = 7):
         self.dim = sample.shape[1] if sample.ndim == 2 and sample.size else 1
-        x = sample / np.linalg.norm(sample, axis=1, keepdims=True) if sample.size else np.zeros((1, 1))
+        x = unit(sample) if sample.size else np.zeros((1, 1))
         self.mean = x.mean(axis=0)
         _, axes = np.linalg.eigh(np.cov((x - self.mean).T).reshape(self.dim, self.dim) if len(x) > 1 else np.eye(self.dim))
         self.bits, self.tables = min(bits, self.dim), tables
@@ -135,8 +141,7 @@ def near_embeddings(vectors: DataFrame, threshold: float, id_col: str = "vec_id"
         for b in batches:
             out = []
             for label, rep, w, vec in zip(*(b.column(c).to_pylist() for c in ("label", "rep", "w", "v"))):
-                x = np.array(vec)
-                out.append((label, rep, w, x / np.linalg.norm(x / np.abs(x).max()) / np.abs(x).max()))
+                out.append((label, rep, w, unit(np.array([vec]))[0]))
             if not out:
                 continue
             width = max(len(o[3]) for o in out)
