@@ -167,8 +167,8 @@ def near_embeddings(vectors: DataFrame, threshold: float, id_col: str = "vec_id"
              .withColumn("chunk", F.pmod(F.xxhash64("rep"), g).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
              .withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("g", "other"))
-    unit = [*at, "lo", "hi"]
-    dealt = units.repartition(shuffle_parts(spark), *unit).sortWithinPartitions(*unit, "rep")
+    place = [*at, "lo", "hi"]
+    dealt = units.repartition(shuffle_parts(spark), *place).sortWithinPartitions(*place, "rep")
 
     def compare(batches):
         open_, held = None, []
@@ -184,7 +184,7 @@ def near_embeddings(vectors: DataFrame, threshold: float, id_col: str = "vec_id"
             return (ids[some], links[some], root[some]) if some.any() else None
         for b in batches:
             done = []
-            for row in zip(*(b.column(c).to_pylist() for c in (*unit, "rep", "w", "x", "subs", "chunk"))):
+            for row in zip(*(b.column(c).to_pylist() for c in (*place, "rep", "w", "x", "subs", "chunk"))):
                 if row[:6] != open_:
                     done.append(close())
                     open_, held = row[:6], []
