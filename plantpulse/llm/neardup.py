@@ -40,6 +40,8 @@ CHUNK = 4096
 #: Confirmed are candidates whose signatures agree in at least the asked
 #: similarity less five standard deviations of the estimate.
 DEVIATIONS = 5.0
+#: Bits of the filter that keeps unconcerned texts out of a shuffle (4 MB).
+FILTER_BITS = 1 << 25
 
 
 class Signature:
@@ -164,6 +166,36 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return arrow_map(both, run, "a long, b long").distinct()
 
 
+def with_listed_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of (doc_id, text) whose id is in ``ids``. A Bloom filter of fixed
+    size (``FILTER_BITS``; however many ids, it is no larger) lets nearly all
+    other texts go before the exact semi-join shuffles the rest; an overfull
+    filter lets more through and changes nothing else."""
+    mask = FILTER_BITS - 1
+
+    def places(h):
+        return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 20).bitwiseAND(mask), F.shiftrightunsigned(h, 39).bitwiseAND(mask)]
+    spots = ids.select(F.explode(F.array(*places(F.xxhash64("doc_id")))).alias("p"))
+    words = (spots.groupBy(F.shiftright("p", 5).alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 AS int))")).alias("bits")).toArrow())
+    table_ = np.zeros(FILTER_BITS >> 5, np.uint32)  # at most FILTER_BITS / 32 rows came
+    table_[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(table_)
+
+    def run(batches):
+        has = shared.value
+        for b in batches:
+            h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
+            ok = np.ones(len(h), bool)
+            for shift in (0, 20, 39):
+                p = (h >> np.uint64(shift) & np.uint64(mask)).astype(np.int64)
+                ok &= (has[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+            if ok.any():
+                yield b.select(["doc_id", "text"]).filter(pa.array(ok))
+    passed = arrow_map(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")), run, "doc_id long, text string")
+    return passed.join(ids, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets satisfy 100 |A n B| >= percent |A u B|. The
     sets of the documents in question are computed from their texts again."""
@@ -174,7 +206,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             raw = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary())], names=["id", "set"])
 
-    own = scratch(arrow_map(docs.join(ends, "doc_id", "left_semi"), sets, "id long, set binary"), "sets")
+    own = scratch(arrow_map(with_listed_ids(docs, ends), sets, "id long, set binary"), "sets")
     both = (pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
             .join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"))
 

@@ -129,6 +129,16 @@ def test_dense_regions_are_linked_whole():
     assert all(split[a] != split[b] for a, b in neardup.region_pairs(ids, split, labels))
 
 
+@pytest.mark.parametrize("bits", [1 << 25, 64])  # roomy, and overfull
+def test_filter_keeps_exactly_the_listed(spark, odd_docs, monkeypatch, bits):
+    monkeypatch.setattr(neardup, "FILTER_BITS", bits)
+    docs = spark.range(500).selectExpr("id - 250 AS doc_id", "cast(id AS string) AS text")
+    ids = docs.where("doc_id % 7 = 0").select("doc_id")
+    got = {r.doc_id for r in neardup.with_listed_ids(docs, ids).collect()}
+    assert got == {i for i in range(-250, 250) if i % 7 == 0}
+    assert neardup.with_listed_ids(docs, ids.limit(0)).count() == 0
+
+
 def test_odd_documents_and_stage(spark, odd_docs, no_docs):
     got = {r.doc_id: r for r in neardup.near_duplicates(texts(odd_docs), 5, 80).collect()}
     assert got[11].component_id == 10 and not got[11].kept and got[10].kept
