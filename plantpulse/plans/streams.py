@@ -1,7 +1,11 @@
 """Streaming queries (T1-T7). Each drives a Structured Streaming query over
 the driver table read as a file stream (``availableNow``), writes to the
-shared checkpoint folder and returns the written table. On in-order input
-they must equal their batch counterparts, so they share the batch oracles."""
+shared checkpoint folder and returns the written table. The buffer queries
+read a replay of out-of-order files, one per micro-batch; all must equal their
+batch counterparts, so they share the batch oracles. Windows and sessions are
+emitted when the watermark closes them; what is open when a bounded input ends
+stays open (``minute_rollup`` and ``fault_sessions`` on a batch table emit
+all)."""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import rnd
 from ..operators.alerts import alert_records
 from ..operators.quality import QualityRules, in_range, not_null
-from ..sources.readers import read_stream
+from ..sources.readers import read_stream, read_table
 from ..streaming import jobs as J
 from ..streaming.stateful import buffer_features, cooldown
 from .health import FEATURE_COLS, SERVING_SQL
@@ -49,16 +53,32 @@ def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return table_stream(spark, sf, "events")
 
 
+#: The device of the closing heartbeat of a replay.
+HEARTBEAT = -1
+
+
+def replayed_events(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of out-of-order files, one per micro-batch, with
+    a heartbeat five days later."""
+    e = read_table(spark, sf, "events")
+    last = e.agg(F.max("ts").alias("ts"))  # one row
+    beat = last.select(F.lit(HEARTBEAT).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("ts"),
+                       F.lit(HEARTBEAT).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("beat").alias("event_type"),
+                       F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props")).filter(F.col("ts").isNotNull())
+    beat = beat.select(*[F.col(f.name).cast(f.dataType) for f in e.schema.fields])
+    return read_stream(spark, J.replay(e, "ts", beat), e.schema, "parquet", max_files_per_trigger=1)
+
+
 @query("stream_window_features", _SERVING_ORACLE)
 def stream_window_features(spark: SparkSession, sf: str) -> DataFrame:
     """Keyed bounded buffer (<= 19 readings per device in state) emitting
     the W2 trailing-window features for every reading."""
-    r = event_readings_from(events_stream(spark, sf))
+    r = event_readings_from(replayed_events(spark, sf))
     clean, _ = _STREAM_RULES.apply(r.select("device_id", "ts", "seq", "temperature", "ripple", "load_factor"))
-    clean = J.dedup_readings(J.event_time(clean, "ts"), "event_ts", ["seq"], "1 day").drop("event_ts")
+    clean = J.dedup_readings(J.event_time(clean, "ts"), "event_ts", ["seq"], "1 day")
     feats = buffer_features(clean, "device_id", "ts", "seq", ripple="ripple", temperature="temperature",
-                            load="load_factor", size=20)
-    out = J.run_to_table(feats, "window-features")
+                            load="load_factor", size=20, watermarked="event_ts")
+    out = J.run_to_table(feats, "window-features").filter(F.col("device_id") != HEARTBEAT)
     return out.select("device_id", "seq", "n_window", *[rnd(c, 6).alias(c) for c in FEATURE_COLS],
                       "window_status")
 
@@ -124,9 +144,9 @@ FROM c WINDOW w AS (PARTITION BY device_id ORDER BY ts, seq ROWS BETWEEN 4 PRECE
 def stream_rolling_std(spark: SparkSession, sf: str) -> DataFrame:
     """T5 (+ W4): rolling population std of the last 5 readings kept in
     keyed state, 0 until two readings exist."""
-    r = event_readings_from(events_stream(spark, sf)).filter(F.col("signal").isNotNull())
+    r = event_readings_from(replayed_events(spark, sf)).filter(F.col("signal").isNotNull())
     f = buffer_features(r, "device_id", "ts", "seq", ripple="signal", temperature="signal", load="signal", size=5)
-    out = J.run_to_table(f, "rolling-std")
+    out = J.run_to_table(f, "rolling-std").filter(F.col("device_id") != HEARTBEAT)
     std = F.when(F.col("n_window") >= 2, F.col("std_ripple")).otherwise(F.lit(0.0))
     return out.select("device_id", "seq", rnd(std, 6).alias("std5_pop"), rnd("mean_ripple", 6).alias("mean5"))
 

@@ -1,11 +1,12 @@
 """Keyed stateful stream operators (T2, T3, T5) as
 ``applyInPandasWithState`` processors.
 
-State per key is bounded by construction: the buffer keeps at most
-``size - 1`` readings, the cool-down keeps one timestamp. Rows of a key
-arrive in micro-batches in any order; each batch is sorted by event time and
-rows not newer than what the state already covers are dropped (documented
-late-data rule; emitted alerts are never retracted).
+Readings arrive in micro-batches in any order within the watermark's delay.
+The buffer holds a reading until the watermark passes it and then emits in
+event-time order, so the result does not depend on how the input was cut into
+micro-batches; later readings than that are late and dropped by Spark. State
+per key is bounded: the last ``size - 1`` readings, the readings inside the
+delay, and for the cool-down one timestamp.
 """
 
 from __future__ import annotations
@@ -58,16 +59,23 @@ def frame_stats(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def buffer_features(stream: DataFrame, key: str, ts: str, seq: str, *, ripple: str,
-                    temperature: str, load: str, size: int = 20) -> DataFrame:
+                    temperature: str, load: str, size: int = 20, delay: str = "1 day",
+                    watermarked: str | None = None, idle_seconds: float | None = None) -> DataFrame:
     """Per device keep the last ``size - 1`` readings in state; for every
-    new reading emit the trailing-window features over (buffer + reading),
-    marked ``insufficient`` until ``size`` readings exist -- the streaming
-    form of W2."""
-    src = stream.select(F.col(key).alias("_key"), micros_of(stream, ts).alias("_us"),
-                        F.col(seq).cast("long").alias("_seq"),
-                        F.col(temperature).cast("double").alias("_t"),
-                        F.col(ripple).cast("double").alias("_r"),
-                        F.col(load).cast("double").alias("_l"))
+    reading that the watermark (``delay`` behind the newest) has passed emit
+    the trailing-window features over (buffer + reading), marked
+    ``insufficient`` until ``size`` readings exist -- the streaming form of W2.
+    ``watermarked`` names an event-time column that has its watermark already.
+    With ``idle_seconds`` a device's buffer is dropped when it has been silent
+    that long; its next reading starts anew."""
+    cols = ["_us", "_seq", "_t", "_r", "_l"]
+    if watermarked is None:
+        stream = stream.withColumn("_pp_ets", F.col(ts).cast("timestamp")).withWatermark("_pp_ets", delay)
+    src = (stream.select(F.col(key).alias("_key"), micros_of(stream, ts).alias("_us"),
+                   F.col(seq).cast("long").alias("_seq"),
+                   F.col(temperature).cast("double").alias("_t"),
+                   F.col(ripple).cast("double").alias("_r"),
+                   F.col(load).cast("double").alias("_l"), watermarked or "_pp_ets"))
     out_schema = T.StructType([
         T.StructField(key, stream.schema[key].dataType), T.StructField(seq, T.LongType()),
         T.StructField("n_window", T.LongType()), T.StructField("mean_ripple", T.DoubleType()),
@@ -77,43 +85,57 @@ def buffer_features(stream: DataFrame, key: str, ts: str, seq: str, *, ripple: s
     state_schema = T.StructType([
         T.StructField("us", T.ArrayType(T.LongType())), T.StructField("seq", T.ArrayType(T.LongType())),
         T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("r", T.ArrayType(T.DoubleType())),
-        T.StructField("l", T.ArrayType(T.DoubleType()))])
+        T.StructField("l", T.ArrayType(T.DoubleType())), T.StructField("emitted", T.IntegerType())])
 
     def fn(k, pdfs, state: GroupState):
+        parts, nb = [], 0
         if state.exists:
-            us, sq, t, r, lo = state.get
-            buf = pd.DataFrame({"_us": list(us), "_seq": list(sq), "_t": list(t), "_r": list(r), "_l": list(lo)})
-            last_us, last_seq = int(us[-1]), int(sq[-1])
+            *held, nb = state.get
+            parts.append(pd.DataFrame({c: list(v) for c, v in zip(cols, held)}))
+        if not state.hasTimedOut:
+            parts += [p[cols] for p in pdfs]
+        allr = pd.concat([p for p in parts if len(p)] or parts, ignore_index=True).astype({"_us": "int64", "_seq": "int64"})
+        # the first nb rows are the emitted ones; the rest waits in time order
+        waiting = allr.iloc[nb:].sort_values(["_us", "_seq"], kind="mergesort")
+        allr = pd.concat([allr.iloc[:nb], waiting], ignore_index=True)
+        passed_us = state.getCurrentWatermarkMs() * 1000
+        due = nb + int((waiting["_us"] <= passed_us).sum())
+        if due == nb and state.hasTimedOut and len(allr) == nb:
+            state.remove()  # silent for idle_seconds
+            return
+        ready = allr.iloc[:due]
+        kept = pd.concat([ready.tail(size - 1), allr.iloc[due:]])
+        n_kept = min(due, size - 1)
+        state.update((*[kept[c].tolist() for c in cols], n_kept))
+        if len(kept) > n_kept:
+            wake_ms = int(-(-kept["_us"].iloc[n_kept] // 1000))
+        elif idle_seconds is not None:
+            wake_ms = int(kept["_us"].iloc[-1] // 1000 + idle_seconds * 1000)
         else:
-            buf = pd.DataFrame({"_us": [], "_seq": [], "_t": [], "_r": [], "_l": []})
-            last_us = last_seq = None
-        new = _sorted_new(pdfs, last_us, last_seq)
-        if new.empty:
+            wake_ms = None
+        if wake_ms is not None:
+            state.setTimeoutTimestamp(max(wake_ms, state.getCurrentWatermarkMs() + 1))
+        if due == nb:
             return
-        allr = pd.concat([buf, new[["_us", "_seq", "_t", "_r", "_l"]]], ignore_index=True)
-        nb = len(buf)
-        tv, rv, lv = (allr[c].to_numpy(dtype=float) for c in ("_t", "_r", "_l"))
-        idx = np.arange(len(allr))
+        tv, rv, lv = (ready[c].to_numpy(dtype=float) for c in ("_t", "_r", "_l"))
+        idx = np.arange(len(ready))
         start = np.maximum(0, idx - size + 1)
         roll = lambda s: s.rolling(size, min_periods=1)
         n, mean_r, std_r = frame_stats(rv, size)
         _, mean_t, _ = frame_stats(tv, size)
         _, mean_l, _ = frame_stats(lv, size)
         res = pd.DataFrame({
-            key: k[0], seq: allr["_seq"].astype("int64"), "n_window": n.astype("int64"),
+            key: k[0], seq: ready["_seq"].astype("int64"), "n_window": n.astype("int64"),
             "mean_ripple": mean_r, "std_ripple": std_r,
             "mean_temp": mean_t, "temp_rise": tv - tv[start],
             "mean_load": mean_l,
-            "temp_range": roll(allr["_t"]).max() - roll(allr["_t"]).min()})
+            "temp_range": roll(ready["_t"]).max() - roll(ready["_t"]).min()})
         res["window_status"] = np.where(n < size, "insufficient", "ready")
-        keep = allr.tail(size - 1)
-        state.update((keep["_us"].astype("int64").tolist(), keep["_seq"].astype("int64").tolist(),
-                      keep["_t"].tolist(), keep["_r"].tolist(), keep["_l"].tolist()))
         yield res.iloc[nb:].reset_index(drop=True)
 
     return (src.groupBy("_key")
                .applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                       GroupStateTimeout.NoTimeout))
+                                       GroupStateTimeout.EventTimeTimeout))
 
 
 # ------------------------------------------------------------------ T3: cool-down
