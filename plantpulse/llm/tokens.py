@@ -85,42 +85,50 @@ class ChunkTokenizer:
         return [next(mixed) if w is None else array("I", [t.id for t in tokenize(lead + w)]).tobytes()
                 for w in words]
 
-    def _fill(self, chunks: list[str], got: list) -> None:
-        lack = [i for i, x in enumerate(got) if x is None]
-        keys = [self._key(chunks[i]) for i in lack]
+    def _fill(self, chunks: list[str], got: list, lack: list[int]) -> None:
+        """Ids of the chunks that the current generation lacks."""
+        new, old = self.new, self.old
+        ids_of: dict = dict.fromkeys([chunks[i] for i in lack])
+        keys = [self._key(c) for c in ids_of]
         fresh = []
-        for k in dict.fromkeys(k for k, _ in keys):
-            if k not in self.new:
-                ids = self.old.get(k)
+        for k in dict.fromkeys([k for k, _ in keys]):
+            if k not in new:
+                ids = old.get(k)
                 if ids is None:
                     fresh.append(k)
                 else:
-                    self.new[k] = ids
-        self.new.update(zip(fresh, self._encode_keys(fresh)))
-        for i, (k, tail) in zip(lack, keys):
-            got[i] = self.new[k] + tail
-        if len(self.new) >= GENERATION:
-            self.old, self.new = self.new, {}
+                    new[k] = ids
+        if fresh:
+            new.update(zip(fresh, self._encode_keys(fresh)))
+        first_seen = set(fresh)
+        for c, (k, tail) in zip(ids_of, keys):
+            ids_of[c] = new[k] + tail
+            if k not in first_seen:  # another form of a word seen before
+                new[c] = ids_of[c]
+        for i in lack:
+            got[i] = ids_of[chunks[i]]
+        if len(new) >= GENERATION:
+            self.old, self.new = new, {}
 
     def encode_batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end_id``, and their counts."""
         end = np.array([end_id], "<u4").tobytes()
-        out, sizes = [], np.zeros(len(texts), np.int64)
-        for n, text in enumerate(texts):
-            head = b""
+        flat, heads, edges = [], [], [0]
+        for text in texts:
             if self.leading_space:
                 chunks = space_chunks(text)
-                if chunks:
-                    head = self._plain([chunks[0]])[0]
-                    del chunks[0]
-            else:
-                chunks = text.split(" ")
-            got = list(map(self.new.get, chunks))
-            if None in got:
-                self._fill(chunks, got)
-            ids = head + b"".join(got) + end
-            sizes[n] = len(ids) >> 2
-            out.append(ids)
+                heads.append(chunks[0] if chunks else "")
+                flat += chunks[1:]
+            else:  # white space is dropped, so a line break may be a space
+                flat += text.replace("\n", " ").split(" ")
+            edges.append(len(flat))
+        got = list(map(self.new.get, flat))
+        lack = [i for i, x in enumerate(got) if x is None]
+        if lack:
+            self._fill(flat, got, lack)
+        first = self._plain(heads) if heads else [b""] * len(texts)
+        out = [h + b"".join(got[a:b]) + end for h, a, b in zip(first, edges, edges[1:])]
+        sizes = np.array([len(x) >> 2 for x in out], np.int64)
         return np.frombuffer(b"".join(out), "<u4"), sizes
 
 
