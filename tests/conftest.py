@@ -17,3 +17,10 @@ def spark():
     s = local_session("*", shuffle_partitions=8, app="plantpulse-tests")
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def samples(tmp_path_factory):
+    from tests.samples import write_samples
+
+    return write_samples(str(tmp_path_factory.mktemp("samples")))
