@@ -239,6 +239,27 @@ def alert_cooldown_states(spark: SparkSession, sf: str) -> DataFrame:
     return _cooldown(spark, sf, F.col("event_type").isin("error", "signup"), ["user_id", "event_type"], 600)
 
 
+@query("alert_cooldown_global", _cooldown_sql("event_type = 'error'", "user_id", 21600)
+       .replace("b.user_id = a.user_id", "TRUE").replace("PARTITION BY user_id ORDER", "ORDER"))
+def alert_cooldown_global(spark: SparkSession, sf: str) -> DataFrame:
+    """T3 with one clock for the whole site (leak and shearer monitors)."""
+    return _cooldown(spark, sf, F.col("event_type") == "error", [], 21600)
+
+
+@query("alert_cooldown_unknown_devices", _cooldown_sql("event_type = 'error'", "user_id", 21600)
+       .replace("SELECT user_id, event_type", "SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS user_id, event_type", 1)
+       .replace("b.user_id = a.user_id", "coalesce(b.user_id, -1) = coalesce(a.user_id, -1)")
+       .replace("CAST(g.user_id AS VARCHAR)", "coalesce(CAST(g.user_id AS VARCHAR), 'unknown')"))
+def alert_cooldown_unknown_devices(spark: SparkSession, sf: str) -> DataFrame:
+    """T3 where a third of the devices is not known: they share the NULL key."""
+    e = read_table(spark, sf, "events").filter(F.col("event_type") == "error")
+    e = e.withColumn("user_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id")))
+    fired = cooldown_fired(e, ["user_id"], "ts", "event_id", 21600)
+    named = alert_records(fired.withColumn("device", F.coalesce(F.col("user_id").cast("string"), F.lit("unknown"))),
+                          "device", "ts", "event_type")
+    return named.select(F.col("device").try_cast("long").alias("user_id"), "event_type", "alert_ts", "message")
+
+
 @query("alert_replay_suppressed", """
 WITH g AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'error'),
 a AS (SELECT user_id, ts AS at FROM events WHERE event_type = 'signup')
