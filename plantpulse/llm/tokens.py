@@ -19,7 +19,9 @@ import numpy as np
 from .common import space_chunks
 
 #: Chunks in one cache generation; two are kept, so memory stays bounded.
-GENERATION = 500_000
+GENERATION = 150_000
+#: Characters looked up together.
+TOGETHER = 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -111,7 +113,19 @@ class ChunkTokenizer:
             self.old, self.new = new, {}
 
     def encode_batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each followed by ``end_id``, and their counts."""
+        """All ids of the texts, each followed by ``end_id``, and their counts.
+        A few texts at a time: the lists of chunks are many times their size."""
+        parts, start, size = [], 0, 0
+        for i, text in enumerate(texts):
+            size += len(text)
+            if size >= TOGETHER:
+                parts.append(self._encode_few(texts[start:i + 1], end_id))
+                start, size = i + 1, 0
+        parts.append(self._encode_few(texts[start:], end_id))
+        ids, sizes = zip(*parts)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _encode_few(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         end = np.array([end_id], "<u4").tobytes()
         flat, heads, edges = [], [], [0]
         for text in texts:
