@@ -137,29 +137,34 @@ def near_embeddings(vectors: DataFrame, threshold: float, id_col: str = "vec_id"
     bits, tables = plan_tables(largest, dim, threshold)
     codes = spark.sparkContext.broadcast(Codes(np.array([s + [0.0] * (dim - len(s)) for s in sample]), bits, tables))
 
+    def vector(raw: bytes, size: int) -> np.ndarray:
+        return np.frombuffer(raw, np.float32 if len(raw) == 4 * size else np.float64).astype(np.float64)
+
+    def codes_of(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Unit vectors, padded to one length, and their substrings."""
+        width = max(len(v) for v in vectors)
+        x = unit(np.stack([np.pad(v, (0, width - len(v))) for v in vectors]))
+        return x, codes.value.substrings(x)
+
     def spread(batches):
         for b in batches:
-            out = []
-            for label, rep, w, vec in zip(*(b.column(c).to_pylist() for c in ("label", "rep", "w", "v"))):
-                out.append((label, rep, w, unit(np.array([vec]))[0]))
-            if not out:
+            if not b.num_rows:
                 continue
-            width = max(len(o[3]) for o in out)
-            subs = codes.value.substrings(np.stack([np.pad(o[3], (0, width - len(o[3]))) for o in out]))
+            vectors = [np.array(v) for v in b.column("v").to_pylist()]
+            # single precision where it holds the vector exactly: half the shuffle
+            raw = [v.astype(np.float32).tobytes() if (v.astype(np.float32) == v).all() else v.tobytes() for v in vectors]
+            subs = codes_of(vectors)[1]
             n, m = subs.shape
-            take = np.repeat(np.arange(n), m)
-            raw = [o[3].tobytes() for o in out]
-            sub_raw = [s.tobytes() for s in subs]
+            take = pa.array(np.repeat(np.arange(n), m))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([out[i][0] for i in take], pa.string()), pa.array([len(out[i][3]) for i in take], pa.int32()),
+                [b.column("label").take(take), pa.array([len(v) for v in vectors], pa.int32()).take(take),
                  pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(subs.ravel()),
-                 pa.array([out[i][1] for i in take], pa.int64()), pa.array([out[i][2] for i in take], pa.int64()),
-                 pa.array([raw[i] for i in take], pa.binary()), pa.array([sub_raw[i] for i in take], pa.binary())],
-                names=["label", "size", "t", "sub", "rep", "w", "x", "subs"])
+                 b.column("rep").take(take), b.column("w").take(take), pa.array(raw, pa.binary()).take(take)],
+                names=["label", "size", "t", "sub", "rep", "w", "x"])
 
     at = ["label", "size", "t", "sub"]
     placed = arrow_map(usable.select("label", "rep", "w", "v"), spread,
-                       "label string, size int, t int, sub long, rep long, w long, x binary, subs binary")
+                       "label string, size int, t int, sub long, rep long, w long, x binary")
     crowded = (placed.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
                .select(*at, F.ceil(F.col("n") / CHUNK).cast("int").alias("g")))
     g = F.coalesce("g", F.lit(1))
@@ -177,14 +182,13 @@ def near_embeddings(vectors: DataFrame, threshold: float, id_col: str = "vec_id"
             if len(held) < 2:
                 return None
             ids, w = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.int64)
-            x = np.stack([np.frombuffer(h[2]) for h in held])
-            subs = np.stack([np.frombuffer(h[3], np.int64) for h in held])
-            links, root = unit_links(ids, w, x, subs, np.array([h[4] for h in held]), open_[2], threshold, open_[4] != open_[5])
+            x, subs = codes_of([vector(h[2], open_[1]) for h in held])
+            links, root = unit_links(ids, w, x, subs, np.array([h[3] for h in held]), open_[2], threshold, open_[4] != open_[5])
             some = links > 0
             return (ids[some], links[some], root[some]) if some.any() else None
         for b in batches:
             done = []
-            for row in zip(*(b.column(c).to_pylist() for c in (*place, "rep", "w", "x", "subs", "chunk"))):
+            for row in zip(*(b.column(c).to_pylist() for c in (*place, "rep", "w", "x", "chunk"))):
                 if row[:6] != open_:
                     done.append(close())
                     open_, held = row[:6], []
