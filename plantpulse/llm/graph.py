@@ -17,22 +17,18 @@ def _star(sym: DataFrame, large: bool) -> DataFrame:
     least = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
     both = sym.join(least, F.col("u") == F.col("c"))
     if large:
-        moved = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = both.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.distinct()
+        return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(vertex, component) for every vertex of ``links`` (a, b); the component
     is its smallest vertex."""
-    now = scratch(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(),
-                  "links")
+    now = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     mark = None
     while True:
         sym = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(sym, True)
-        now = scratch(_star(large, False), "stars")
+        now = scratch(_star(_star(sym, True), False), "stars")
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             break

@@ -163,7 +163,7 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), ">u4").reshape(b.num_rows, -1) for c in ("sa", "sb"))
                 ok = pa.array((x == y).mean(axis=1) >= least)
                 yield b.select(["a", "b"]).filter(ok)
-    return arrow_map(both, run, "a long, b long").distinct()
+    return arrow_map(both, run, "a long, b long")
 
 
 def with_listed_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def with_listed_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets satisfy 100 |A n B| >= percent |A u B|. The
     sets of the documents in question are computed from their texts again."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
     def sets(batches):
         for b in batches:
@@ -223,7 +223,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-    return arrow_map(both, test, "a long, b long").distinct()
+    return arrow_map(both, test, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
