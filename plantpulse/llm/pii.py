@@ -4,7 +4,8 @@ Base recognisers find e-mail addresses, IP addresses, card numbers (Luhn) and
 phone numbers. These seeds induce lexical patterns: the two words before, the
 word before with the word after, and the word before alone, each together with
 the entity's shape (digit runs as 9, letter runs as a). Identifier-like words
-outside the seeds (with a digit or an @) match the same patterns and make a
+outside the seeds (with a digit or an @), and whole runs of neighbouring words of
+digits and phone or card punctuation, match the same patterns and make a
 bipartite pattern-instance graph, which Spark scores for a fixed number of
 rounds: a pattern is as sure as the mean score of its distinct instances, an
 instance as sure as its patterns together. Instances above the threshold that
@@ -14,7 +15,8 @@ Defined cases: NULL text is empty and has no spans; offsets count code points,
 end exclusive; matches of one kind do not overlap, and a match that fails its
 test is dropped without another try; recognisers are linear in the text, also
 in long runs of one character; rows are kept apart by a row number, so repeated
-ids and repeated rows keep their own spans; other columns pass through.
+ids and repeated rows keep their own spans; other columns pass through. A word
+inside a discovered run may be discovered besides it.
 """
 
 from __future__ import annotations
@@ -46,6 +48,9 @@ WORD = re.compile(r"\S++")
 TRIM = "\"'()[]{}<>,.;:!?="
 DIGITS = re.compile(r"[0-9]+")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: A part of an identifier written in groups, and what its ends lose.
+PART = re.compile(r"[0-9+(][0-9().+/-]*+")
+EDGES = "\"'[]{}<>,;:!?="
 
 
 def _luhn(digits: str) -> bool:
@@ -115,18 +120,45 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     for start, kind, end in base:
         add(start, end, kind)
     covered, last = sorted((s, e) for s, _, e in base), 0
+    run: list[tuple[int, int]] = []  # neighbouring parts, over single spaces
+
+    def close() -> None:
+        if len(run) > 1:
+            start, end = run[0][0], run[-1][1]
+            end = start + len(text[start:end].rstrip(".-+(/"))
+            opened, closed = text.count("(", start, end), text.count(")", start, end)
+            while text[end - 1] == ")" and closed > opened:
+                end, closed = end - 1, closed - 1
+            if text[start] == "(" and text.find(")", start, end) == end - 1:  # brackets around the whole
+                end, closed = end - 1, 0
+            if not closed:
+                start = end - len(text[start:end].lstrip("("))
+            add(start, end, -1)
+        run.clear()
     for a, b in spans:
         raw = text[a:b]
         if not MARKED.search(raw):
+            close()
             continue
         while last < len(covered) and covered[last][1] <= a:
             last += 1
         if last < len(covered) and covered[last][0] < b:
+            close()
             continue
+        lead, tail = a + len(raw) - len(raw.lstrip(EDGES)), b - (len(raw) - len(raw.rstrip(EDGES)))
+        if run and (lead > a or run[-1][1] + 1 != a or text[a - 1] != " "):
+            close()
+        if lead < tail and PART.fullmatch(text, lead, tail):
+            run.append((lead, tail))
+            if tail < b:
+                close()
+        else:
+            close()
         core = raw.strip(TRIM)
         if len(core) >= 5:
             start = a + raw.index(core)
             add(start, start + len(core), -1)
+    close()
     return out
 
 

@@ -93,6 +93,31 @@ def test_discovery_against_brute_force(spark):
     assert got == brute_discovery(corpus())
 
 
+def test_identifiers_written_in_groups_are_found_and_masked(spark):
+    """Unseen forms of several words: planted phones and a card of a wrong check digit."""
+    docs = corpus() + [f"paid by card 4000 0000 {1000 + i // 10} {i:04d} today" for i in range(400)]
+    docs += ["see 12 34 boxes, 5 of them"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    rows = pii.with_spans(df).collect()
+    phones = [r for r in rows if ") 55-1" in r.text]
+    assert len(phones) == 3
+    for r in phones:
+        at = r.text.index("+1")
+        assert not r.base and (at, 3, r.text.index(" for")) in [tuple(s) for s in r.spans]
+    wrong = [r for r in rows if "by card" in r.text and not r.base]
+    assert wrong and not rows[-1].spans
+    texts_ = {r.doc_id: r.text for r in pii.masked(df).collect()}
+    assert all(texts_[r.doc_id].startswith("Please dial the number <phone> for help") for r in phones)
+
+
+def test_runs_of_parts():
+    def runs(t):
+        return [t[i["start"]:i["end"]] for i in pii.instances(t, pii.base_spans(t)) if " " in t[i["start"]:i["end"]]]
+    assert runs('call "+1 (555) 55-10", or 555 123 4567.') == ["+1 (555) 55-10", "555 123 4567"]
+    assert runs("(555) 12 34) then (7 8 9) end") == ["(555) 12 34", "7 8 9"]
+    assert runs("1, 2, 3 4  5 6\n7") == ["3 4", "5 6"] and runs("a1 b2 ( ) 1") == []
+
+
 def test_unseen_identifiers_are_found_and_plain_numbers_left(spark):
     docs = [f"My account card {4000000000000002 + 0 * i} x{i}" for i in range(2)]
     cards = []
