@@ -235,6 +235,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     s = percent / 100
     least = s - DEVIATIONS * (s * (1 - s) / (TREES * DEPTH)) ** 0.5
     links = comp = tried = None
+    again = sketch.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    same = (sketch.join(again, "doc_id", "left_semi").join(reps.select(*key, "rep"), key)
+            .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct())
+    same = scratch(same, "repeated-ids")
+    if not same.isEmpty():
+        links, comp = same, components(same)
     while True:
         rows = reps.where("rep is not null").select("rep", "sig")
         if comp is None:
@@ -256,7 +262,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         comp = components(links)
     found = sketch.select("doc_id", *key).join(reps.select(*key, "rep"), key, "left")
     if comp is not None:
-        found = found.join(comp, F.col("rep") == F.col("vertex"), "left")
+        found = found.join(comp, F.coalesce("rep", "doc_id") == F.col("vertex"), "left")
     else:
         found = found.withColumn("component", F.lit(None).cast("long"))
     component = F.coalesce("component", "rep", "doc_id")
@@ -266,18 +272,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each near-duplicate group of ``docs``, all columns as they
-    are. Rows without an id are known by a hash of their text; of rows that
-    repeat id and text, one stays."""
-    no_id = F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63)))
-    ident = F.coalesce(F.col("doc_id").cast("long"), no_id)
-    known = docs.select(ident.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = scratch(near_duplicates(known, width, percent), "near-duplicates")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    kept = docs.join(gone, ident == gone["gone"], "left_anti")
-    single = kept.join(again, ident == again["again"], "left_anti")
-    repeated = kept.join(again, ident == again["again"], "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    are: the row with the smallest id (NULL last). Decided per row, so a row goes
+    only when its own text lost, whatever other rows have its id. Rows without
+    words link with nothing and stay; of those that repeat an id and the text,
+    one stays."""
+    row = "_pp_row"
+    numbered = scratch(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # numbers are fixed from here on
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = near_duplicates(numbered.select(F.col(row).alias("doc_id"), text.alias("text")), width, percent)
+    found = scratch(found.where("n_shingles > 0").select(F.col("doc_id").alias(row), "component_id"), "near-duplicates")
+    ident = F.col("doc_id").cast("long")
+    first = F.min(F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col(row).alias("row")))["row"].alias(row)
+    stay = found.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(first).select(row)
+    blank = numbered.where(~text.rlike(r"[^\x20\x09-\x0D]") & ident.isNotNull()).select(row, "doc_id", "text")
+    stay_blank = blank.groupBy("doc_id", "text").agg(F.min(row).alias(row)).select(row)
+    gone = (found.select(row).join(stay, row, "left_anti")
+            .unionByName(blank.select(row).join(stay_blank, row, "left_anti")))
+    return numbered.join(gone, row, "left_anti").drop(row)
 
 
 @llm_query("op4_lsh_forest")

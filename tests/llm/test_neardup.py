@@ -150,6 +150,20 @@ def test_odd_documents_and_stage(spark, odd_docs, no_docs):
     assert neardup.keep_first(no_docs).count() == 0
 
 
+def test_rows_of_one_id_are_decided_by_their_own_texts(spark, no_docs):
+    """A row goes only when its own text lost; equal ids are one vertex."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base), (5, base), (5, other), (None, None), (None, None), (None, " "), (7, ""), (None, "alone at last here now"),
+            (None, "alone at last here now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in neardup.keep_first(df).collect()), key=str)
+    want = [(1, base), (5, other), (None, None), (None, None), (None, " "), (7, ""), (None, "alone at last here now")]
+    assert got == sorted(want, key=str)
+    found = neardup.near_duplicates(texts(df.where("doc_id is not null")), 5, 80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (5, 1), (5, 1), (7, 7)]
+
+
 def test_query_against_brute_force(spark):
     from plantpulse.llm import QUERIES
     from tests.conftest import SF_SMALL
