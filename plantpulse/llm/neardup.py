@@ -11,9 +11,11 @@ prefix stand next to each other. Candidates of a tree are
   region's hub, the member nearest to the region's most common values.
 
 Candidates whose whole signatures agree too little are set aside; the others
-are confirmed on the full sets. Then the orders are walked again, now pairing
-only neighbours of different components, until no new link is found: dense
-regions are read as deep as their undecided members need.
+are confirmed on the full sets. Then the orders of the larger regions are walked
+again, now pairing only neighbours of different components, until no new link is
+found. Larger regions that still hold several components are undecided: their
+members go through a prefix-filter join over the full sets, which pairs every
+two members of different components that can reach the similarity.
 
 Defined cases: NULL and empty texts have empty sets and are linked with
 nothing; documents with equal sets of one element or more are linked; rows with
@@ -42,6 +44,9 @@ CHUNK = 4096
 DEVIATIONS = 5.0
 #: Bits of the filter that keeps unconcerned texts out of a shuffle (4 MB).
 FILTER_BITS = 1 << 25
+#: Counters of shingle frequency behind the prefix order (4 MB); it is an order
+#: of all shingles however they collide.
+COUNTERS = 1 << 20
 
 
 class Signature:
@@ -103,7 +108,8 @@ def region_pairs(ids: np.ndarray, comps: np.ndarray, labels: np.ndarray, near: i
     for d in range(1, labels.shape[1]):
         _, at, count = np.unique(labels[:, d], return_inverse=True, return_counts=True)
         votes += count[at]
-    for c in np.unique(comps)[:near] if len(np.unique(comps)) < n else [None]:
+    names, sizes = np.unique(comps, return_counts=True)
+    for c in names[np.argsort(-sizes, kind="stable")[:near]] if len(names) < n else [None]:
         own = np.arange(n) if c is None else np.flatnonzero(comps == c)
         hub = own[votes[own].argmax()]
         for i in range(n):
@@ -111,14 +117,27 @@ def region_pairs(ids: np.ndarray, comps: np.ndarray, labels: np.ndarray, near: i
     return out
 
 
-def tree_candidates(rows: DataFrame, near: int = NEAR) -> DataFrame:
-    """(a, b): distinct candidate pairs of all trees, from (rep, comp, sig)."""
-    parts = shuffle_parts(rows.sparkSession)
-    trees = rows.select("rep", "comp", F.explode(F.array(*[
+def tree_rows(rows: DataFrame) -> DataFrame:
+    """(tree, label, first, rep, comp) of every tree, from (rep, comp, sig)."""
+    return rows.select("rep", "comp", F.explode(F.array(*[
         F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH).alias("label"))
-        for t in range(TREES)])).alias("x")).select("x.tree", "x.label", "rep", "comp")
-    order = ["tree", "label", "rep"]
-    ranged = trees.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        for t in range(TREES)])).alias("x")).select("x.tree", "x.label", F.substring("x.label", 1, 4).alias("first"), "rep", "comp")
+
+
+def larger_regions(rows: DataFrame) -> DataFrame:
+    """(tree, first): the regions of more than ``SMALL`` rows."""
+    return tree_rows(rows).groupBy("tree", "first").count().where(F.col("count") > SMALL).select("tree", "first")
+
+
+def tree_candidates(rows: DataFrame, large: DataFrame, again: bool, near: int = NEAR) -> DataFrame:
+    """(a, b): distinct candidate pairs of all trees, from (rep, comp, sig); of
+    the larger regions only, when walked ``again``. A small region is never cut
+    by a border of the ranges, since its rows have one sort key."""
+    parts = shuffle_parts(rows.sparkSession)
+    trees = tree_rows(rows).join(large.withColumn("large", F.lit(True)), ["tree", "first"], "inner" if again else "left")
+    at = [F.col("tree"), F.when(F.col("large"), F.col("label")).otherwise(F.col("first")), F.when(F.col("large"), F.col("rep"))]
+    ranged = (trees.repartitionByRange(parts, *at).select("tree", "label", "rep", "comp")
+              .sortWithinPartitions("tree", "label", "rep"))
 
     def run(batches):
         key, held = None, []  # of the region that is open
@@ -226,6 +245,59 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return arrow_map(both, test, "a long, b long")
 
 
+def prefix_pairs(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): all pairs of ``members`` (rep, comp) of different components whose
+    sets can reach the similarity: |A n B| >= percent |A| / 100 and the same for
+    B, so that they share one of the first |A| - ceil(percent |A| / 100) + 1
+    shingles of A, and of B likewise, in any one order of all shingles; here
+    rare ones come first. Shingles held by one component only are left out, and
+    a shingle of more than ``CHUNK`` rows is cut into pairs of chunks."""
+    def sets(batches):
+        for b in batches:
+            raw = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary())], names=["rep", "set"])
+
+    def tally(batches):
+        count = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for raw in b.column("set").to_pylist():
+                count[(np.frombuffer(raw, np.uint64) % np.uint64(COUNTERS)).astype(np.int64)] += 1
+        at = np.flatnonzero(count)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo:lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[part])], names=["at", "n"])
+
+    own = scratch(arrow_map(with_listed_ids(docs, members.select(F.col("rep").alias("doc_id"))), sets, "rep long, set binary"), "member-sets")
+    counted = arrow_map(own, tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.uint32)  # at most COUNTERS rows came
+    often[counted.column("at").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**32 - 1).astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def prefixes(batches):
+        often = shared.value
+        for b in batches:
+            first, sizes = [], []
+            for raw in b.column("set").to_pylist():
+                x = np.frombuffer(raw, np.uint64)
+                order = np.lexsort((x, often[(x % np.uint64(COUNTERS)).astype(np.int64)]))
+                first.append(x[order[:len(x) - -(-percent * len(x) // 100) + 1]].view(np.int64))
+                sizes.append(len(x))
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sizes, pa.int64()),
+                                              pa.array(first, pa.list_(pa.int64()))], names=["rep", "n", "first"])
+
+    post = (arrow_map(own, prefixes, "rep long, n long, first array<long>").join(members, "rep")
+            .select("rep", "comp", "n", F.explode("first").alias("token")))
+    post = scratch(post, "prefixes")
+    mixed = (post.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where("lo < hi").select("token", F.ceil(F.col("rows") / CHUNK).cast("int").alias("g")))
+    post = post.join(mixed, "token").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    x = post.select("token", F.col("chunk").alias("i"), every.alias("j"), F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
+    y = post.select("token", every.alias("i"), F.col("chunk").alias("j"), F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
+    fits = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
+    return x.join(y, ["token", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of (doc_id, text)."""
     sketch = scratch(sketches(docs, width), "sketches")
@@ -241,25 +313,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     same = scratch(same, "repeated-ids")
     if not same.isEmpty():
         links, comp = same, components(same)
+    usable = reps.where("rep is not null").select("rep", "sig")
+    large = scratch(larger_regions(usable.withColumn("comp", F.col("rep"))), "larger-regions")
+    last = False  # the prefix join, after the walks
     while True:
-        rows = reps.where("rep is not null").select("rep", "sig")
         if comp is None:
-            rows = rows.withColumn("comp", F.col("rep"))
+            rows = usable.withColumn("comp", F.col("rep"))
         else:
-            rows = (rows.join(comp.select(F.col("vertex").alias("rep"), F.col("component").alias("comp")), "rep", "left")
+            rows = (usable.join(comp.select(F.col("vertex").alias("rep"), F.col("component").alias("comp")), "rep", "left")
                     .withColumn("comp", F.coalesce("comp", "rep")))
-        pairs = likely(tree_candidates(rows), reps, least)
+        if last:
+            at = tree_rows(rows).join(large, ["tree", "first"], "left_semi")
+            mixed = at.groupBy("tree", "first").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+            members = scratch(at.join(mixed, ["tree", "first"], "left_semi").select("rep", "comp").distinct(), "undecided")
+            if members.isEmpty():
+                break
+            pairs = prefix_pairs(members, docs, width, percent)
+        else:
+            pairs = tree_candidates(rows, large, tried is not None)
+        pairs = likely(pairs, reps, least)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch(pairs, "candidates")
-        if pairs.isEmpty():
-            break
-        new = scratch(confirmed(pairs, docs, width, percent), "confirmed")
-        tried = pairs if tried is None else tried.union(pairs)
-        if new.isEmpty():
+        new = None
+        if not pairs.isEmpty():
+            new = scratch(confirmed(pairs, docs, width, percent), "confirmed")
+            tried = pairs if tried is None else tried.union(pairs)
+            if not new.isEmpty():
+                links = new if links is None else links.union(new)
+                comp = components(links)
+        if last:
             break
-        links = new if links is None else links.union(new)
-        comp = components(links)
+        last = new is None or new.isEmpty()
     found = sketch.select("doc_id", *key).join(reps.select(*key, "rep"), key, "left")
     if comp is not None:
         found = found.join(comp, F.coalesce("rep", "doc_id") == F.col("vertex"), "left")

@@ -150,6 +150,23 @@ def test_odd_documents_and_stage(spark, odd_docs, no_docs):
     assert neardup.keep_first(no_docs).count() == 0
 
 
+def test_undecided_members_of_a_dense_region_are_linked(spark, odd_docs):
+    """All texts share most words, so every first value is common; each is near
+    one other text only."""
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(70)]
+    rows = []
+    for p in range(200):
+        pair = [f"p{p}x{i}" for i in range(9)]
+        for side in "ab":
+            rows.append((len(rows), " ".join(common + pair + [f"{side}{p}x{i}" for i in range(8)])))
+    order = rng.permutation(len(rows))
+    rows = [(int(order[i]), t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(texts(df), 1, 80).collect()}
+    assert got == brute(rows, 1, 80) and len(set(got.values())) == 200
+
+
 def test_rows_of_one_id_are_decided_by_their_own_texts(spark, no_docs):
     """A row goes only when its own text lost; equal ids are one vertex."""
     base = " ".join(f"w{i}" for i in range(60))
