@@ -53,32 +53,44 @@ def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     return table_stream(spark, sf, "events")
 
 
-#: The device of the closing heartbeat of a replay.
+#: The device named in the closing heartbeat of a replay; a real one may have
+#: it too, so the heartbeat is told by its sequence id.
 HEARTBEAT = -1
 
 
-def replayed_events(spark: SparkSession, sf: str) -> DataFrame:
+def replayed_events(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """The events as a stream of out-of-order files, one per micro-batch, with
-    a heartbeat five days later."""
-    e = read_table(spark, sf, "events")
-    last = e.agg(F.max("ts").alias("ts"))  # one row
-    beat = last.select(F.lit(HEARTBEAT).cast("long").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("ts"),
-                       F.lit(HEARTBEAT).cast(e.schema["user_id"].dataType).alias("user_id"), F.lit("beat").alias("event_type"),
-                       F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props")).filter(F.col("ts").isNotNull())
+    a heartbeat five days later, and the heartbeat's event id, which no event
+    has. Readings without a time come a day after all others, in order of
+    their ids, as in the SQL twins (NULL times last): no reading is left out."""
+    return replayed(read_table(spark, sf, "events"))
+
+
+def replayed(e: DataFrame) -> tuple[DataFrame, int]:
+    spark = e.sparkSession
+    end = F.coalesce(F.max("ts"), F.lit("1970-01-01").cast(e.schema["ts"].dataType))
+    last = e.agg(end.alias("ts"), F.coalesce(F.min("event_id"), F.lit(0)).alias("least")).first()  # one row
+    beat_id = min(last["least"], 0) - 1
+    end = F.lit(last["ts"]).cast(e.schema["ts"].dataType)
+    beat = spark.range(1).select(
+        F.lit(beat_id).alias("event_id"), (end + F.expr("INTERVAL 5 DAYS")).alias("ts"), F.lit(HEARTBEAT).alias("user_id"),
+        F.lit("beat").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
     beat = beat.select(*[F.col(f.name).cast(f.dataType) for f in e.schema.fields])
-    return read_stream(spark, J.replay(e, "ts", beat), e.schema, "parquet", max_files_per_trigger=1)
+    timed = e.withColumn("ts", F.coalesce("ts", (end + F.expr("INTERVAL 1 DAY")).cast(e.schema["ts"].dataType)))
+    return read_stream(spark, J.replay(timed, "ts", beat), e.schema, "parquet", max_files_per_trigger=1), beat_id
 
 
 @query("stream_window_features", _SERVING_ORACLE)
 def stream_window_features(spark: SparkSession, sf: str) -> DataFrame:
     """Keyed bounded buffer (<= 19 readings per device in state) emitting
     the W2 trailing-window features for every reading."""
-    r = event_readings_from(replayed_events(spark, sf))
+    events, beat = replayed_events(spark, sf)
+    r = event_readings_from(events)
     clean, _ = _STREAM_RULES.apply(r.select("device_id", "ts", "seq", "temperature", "ripple", "load_factor"))
     clean = J.dedup_readings(J.event_time(clean, "ts"), "event_ts", ["seq"], "1 day")
     feats = buffer_features(clean, "device_id", "ts", "seq", ripple="ripple", temperature="temperature",
                             load="load_factor", size=20, watermarked="event_ts")
-    out = J.run_to_table(feats, "window-features").filter(F.col("device_id") != HEARTBEAT)
+    out = J.run_to_table(feats, "window-features").filter(~F.col("seq").eqNullSafe(F.lit(beat)))
     return out.select("device_id", "seq", "n_window", *[rnd(c, 6).alias(c) for c in FEATURE_COLS],
                       "window_status")
 
@@ -144,9 +156,10 @@ FROM c WINDOW w AS (PARTITION BY device_id ORDER BY ts, seq ROWS BETWEEN 4 PRECE
 def stream_rolling_std(spark: SparkSession, sf: str) -> DataFrame:
     """T5 (+ W4): rolling population std of the last 5 readings kept in
     keyed state, 0 until two readings exist."""
-    r = event_readings_from(replayed_events(spark, sf)).filter(F.col("signal").isNotNull())
+    events, beat = replayed_events(spark, sf)
+    r = event_readings_from(events).filter(F.col("signal").isNotNull())
     f = buffer_features(r, "device_id", "ts", "seq", ripple="signal", temperature="signal", load="signal", size=5)
-    out = J.run_to_table(f, "rolling-std").filter(F.col("device_id") != HEARTBEAT)
+    out = J.run_to_table(f, "rolling-std").filter(~F.col("seq").eqNullSafe(F.lit(beat)))
     std = F.when(F.col("n_window") >= 2, F.col("std_ripple")).otherwise(F.lit(0.0))
     return out.select("device_id", "seq", rnd(std, 6).alias("std5_pop"), rnd("mean_ripple", 6).alias("mean5"))
 

@@ -58,15 +58,22 @@ def replay(df: DataFrame, ts: str, heartbeat: DataFrame, *, slices: int = 5, jit
     """Write a table as ``slices`` files of rising time for a file stream, rows
     out of order by up to ``jitter_hours`` across files, and a last file with
     the ``heartbeat`` rows: later than all readings, they move the watermark
-    past them, so that a bounded replay emits everything. Returns the folder."""
+    past them, so that a bounded replay emits everything. Rows without a time
+    are in the last slice; a watermark drops them, so give them one before.
+    Returns the folder."""
     out = scratch_path(df.sparkSession, "replay")
     us = F.unix_micros(F.col(ts).cast("timestamp")) + F.pmod(F.xxhash64(*df.columns), F.lit(jitter_hours * 3_600_000_000))
     shifted = df.withColumn("_pp_at", us)
-    lo, hi = shifted.agg(F.min("_pp_at"), F.max("_pp_at")).first()
+    lo, hi, n = shifted.agg(F.min("_pp_at"), F.max("_pp_at"), F.count(F.lit(1))).first()
+    if lo is None and n:
+        df.write.mode("append").parquet(out)
     if lo is not None:
         edges = [lo + (hi + 1 - lo) * i // slices for i in range(slices + 1)]
         for a, b in zip(edges, edges[1:]):
-            shifted.filter((F.col("_pp_at") >= a) & (F.col("_pp_at") < b)).drop("_pp_at").write.mode("append").parquet(out)
+            here = (F.col("_pp_at") >= a) & (F.col("_pp_at") < b)
+            if b == edges[-1]:
+                here = here | F.col("_pp_at").isNull()
+            shifted.filter(here).drop("_pp_at").write.mode("append").parquet(out)
     heartbeat.select(*df.columns).coalesce(1).write.mode("append").parquet(out)
     return out
 

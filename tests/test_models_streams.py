@@ -54,6 +54,24 @@ def test_stream_buffer_equals_batch_serving_window(spark):
     assert j.count() == s.count()
 
 
+def test_stream_keeps_unknown_devices_and_readings_without_a_time(spark, tmp_path):
+    """NULL and -1 are devices like others; readings without a time come last."""
+    e = spark.read.parquet(f"{SF_SMALL}/events.parquet").where("event_id % 17 <> 0").orderBy("event_id").limit(300)
+    dev = F.when(F.col("event_id") % 3 == 0, F.lit(None)).when(F.col("event_id") % 3 == 1, F.lit(-1)).otherwise(F.lit(7))
+    ts = F.when(F.col("event_id") % 10 != 4, F.col("ts"))
+    e = e.withColumn("user_id", dev.cast(e.schema["user_id"].dataType)).withColumn("ts", ts)
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    e = spark.read.parquet(f"{tmp_path}/events.parquet")
+    got = {r.seq: r for r in Q["stream_rolling_std"](spark, str(tmp_path)).collect()}
+    want, last = {}, {}
+    for r in sorted(e.collect(), key=lambda r: (r.ts is None, r.ts or 0, r.event_id) if r.ts else (True, 0, r.event_id)):
+        if r.value is not None:
+            last[r.user_id] = [*last.get(r.user_id, []), r.value][-5:]
+            want[r.event_id] = (r.user_id, sum(last[r.user_id]) / len(last[r.user_id]))
+    assert set(got) == set(want) and {r.device_id for r in got.values()} == {None, -1, 7}
+    assert all(got[s].device_id == d and abs(got[s].mean5 - m) < 1e-5 for s, (d, m) in want.items())
+
+
 def test_frame_stats_match_spark_window(spark):
     import numpy as np
 
