@@ -10,7 +10,10 @@ precision, in the first table only where it meets.
 
 The substring length follows the size of the largest label (log2, the usual
 choice for multi-index tables), and the number of tables follows from it: a
-pair exactly at the threshold angle must meet somewhere with ``RECALL``. A
+pair exactly at the threshold must meet somewhere with ``RECALL``. Its angle is
+measured on the sample after centring, which widens it where the vectors have a
+common direction, and the widest tenth of the angles counts; where that asks for
+many more tables, the length of least work is taken, down to one bucket. A
 bucket with more than ``CHUNK`` rows is cut into chunks by id hash and every
 pair of chunks is a unit of its own, so no bucket sits in one task. No pairs
 are emitted: a unit returns link counts and, per vector, the smallest vector it
@@ -36,6 +39,8 @@ from .common import arrow_map, llm_query, scratch, shuffle_parts, table
 from .graph import components
 
 SAMPLE, ITERATIONS, RECALL, CHUNK = 10_000, 30, 0.999, 2048
+#: Work of one copy of a vector in a table, in comparisons.
+COPY = 200
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -53,7 +58,7 @@ class Codes:
         self.mean = x.mean(axis=0)
         _, axes = np.linalg.eigh(np.cov((x - self.mean).T).reshape(self.dim, self.dim) if len(x) > 1 else np.eye(self.dim))
         self.bits, self.tables = min(bits, self.dim), tables
-        self.per = max(1, self.dim // self.bits)
+        self.per = max(1, self.dim // max(1, self.bits))
         rng, v = np.random.default_rng(seed), (x - self.mean) @ axes
         self.turns = []
         for _ in range(-(-tables // self.per)):
@@ -78,11 +83,52 @@ class Codes:
         return out
 
 
-def plan_tables(largest: int, dim: int, threshold: float, recall: float = RECALL) -> tuple[int, int]:
-    """Substring bits for a label of that many rows, and tables for the recall."""
+def centred_angles(sample: np.ndarray, threshold: float, seed: int = 11) -> np.ndarray:
+    """Angles, seen from the sample's mean, of pairs exactly at the threshold:
+    each vector of the sample with partners towards another one of the sample,
+    away from it, and in a direction at random."""
+    x, rng = unit(sample), np.random.default_rng(seed)
+    mean, out = x.mean(axis=0), []
+    for side in (x[rng.permutation(len(x))], None, rng.normal(size=x.shape)):
+        side = -prior if side is None else side - (side * x).sum(axis=1, keepdims=True) * x
+        prior, length = side, np.linalg.norm(side, axis=1, keepdims=True)
+        y = threshold * x + math.sqrt(1 - threshold ** 2) * side / np.maximum(length, 1e-300)
+        p, q = x - mean, y - mean
+        size = np.linalg.norm(p, axis=1) * np.linalg.norm(q, axis=1)
+        ok = (length[:, 0] > 1e-9) & (size > 0)
+        out.append(np.arccos(np.clip((p * q).sum(axis=1)[ok] / size[ok], -1, 1)))
+    return np.concatenate(out)
+
+
+def tables_for(bits: int, angles: np.ndarray, recall: float) -> float:
+    """Tables of that many bits, so that the widest tenth of the angles meets
+    with the recall on average."""
+    wide = np.sort(angles)[-max(1, len(angles) // 10):]
+    apart = 1 - (1 - wide / math.pi) ** bits
+    lo, hi = 0, 1
+    while (apart ** hi).mean() > 1 - recall:
+        lo, hi = hi, 2 * hi
+        if hi > 1 << 16:
+            return math.inf
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        lo, hi = (mid, hi) if (apart ** mid).mean() > 1 - recall else (lo, mid)
+    return hi
+
+
+def plan_tables(largest: int, dim: int, threshold: float, recall: float = RECALL,
+                angles: np.ndarray | None = None) -> tuple[int, int]:
+    """Substring bits for a label of that many rows, and tables for the recall
+    at the given angles of threshold pairs (that of raw vectors by default)."""
     bits = max(4, min(dim, math.ceil(math.log2(max(2, largest)) - 3)))
-    meet = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    raw = np.array([math.acos(threshold)])
+    plain = tables_for(bits, raw, recall)
+    if angles is None or not len(angles):
+        return bits, plain
+    tables = {b: tables_for(b, angles, recall) for b in range(min(bits, dim) + 1)}
+    if tables[min(bits, dim)] > 2 * plain:
+        bits = min(tables, key=lambda b: tables[b] * (COPY + largest / 2 ** b))
+    return min(bits, dim), tables[min(bits, dim)]
 
 
 def unit_links(ids, weights, x, subs, chunk, t: int, threshold: float, crossing: bool):
@@ -134,8 +180,10 @@ def near_embeddings(vectors: DataFrame, threshold: float, id_col: str = "vec_id"
     sample = [r["v"] for r in usable.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()]
     dim = max((len(s) for s in sample), default=1)
     largest = usable.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    bits, tables = plan_tables(largest, dim, threshold)
-    codes = spark.sparkContext.broadcast(Codes(np.array([s + [0.0] * (dim - len(s)) for s in sample]), bits, tables))
+    padded = np.array([s + [0.0] * (dim - len(s)) for s in sample])
+    angles = centred_angles(padded, threshold) if len(padded) else None
+    bits, tables = plan_tables(largest, dim, threshold, angles=angles)
+    codes = spark.sparkContext.broadcast(Codes(padded, bits, tables))
 
     def vector(raw: bytes, size: int) -> np.ndarray:
         return np.frombuffer(raw, np.float32 if len(raw) == 4 * size else np.float64).astype(np.float64)

@@ -61,6 +61,31 @@ def test_links_against_brute_force(spark, monkeypatch, chunk):
     assert sum(got[i][1] != want[i][1] for i in want) <= 0.01 * len(want)
 
 
+def test_links_of_vectors_with_a_common_direction(spark):
+    """Centring widens the angles; recall against all pairs of every 20th id."""
+    rng = np.random.default_rng(3)
+
+    def length_one(v):
+        return v / np.linalg.norm(v)
+    common, rows = length_one(rng.normal(size=64)), []
+    for i in range(3000):
+        own = rng.normal(size=64)
+        own = length_one(own - own @ common * common)
+        if i % 2:
+            side = rng.normal(size=64)
+            side = length_one(side - side @ common * common - side @ last * last)
+            angle = rng.uniform(0.6, 0.88)
+            own = last * math.cos(angle) + side * math.sin(angle)
+        last = own
+        rows.append((i, 0.9 * common + math.sqrt(0.19) * own))
+    x = np.array([length_one(v) for _, v in rows])
+    want = {i: int((x @ x[i] >= 0.93).sum()) - 1 for i in range(0, 3000, 20)}
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in emb.near_embeddings(df, 0.93).collect()}
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(want.values()) > 100 and sum(got[i] for i in want) >= 0.995 * sum(want.values())
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1),
