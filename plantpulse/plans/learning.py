@@ -146,7 +146,7 @@ def pump_scored_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("predicted_class", "risk", "advice", "alert").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Grid of the pump search: every forest parameter of the search that MLlib has.
+#: Grid of the pump search: a part of the reference's values (README, known limits).
 PUMP_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10], "minInstancesPerNode": [1, 2]}
 
 
