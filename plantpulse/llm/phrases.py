@@ -158,7 +158,7 @@ def _stripes(held: Tokens, prefix: list[bytes], prefix_lang: np.ndarray, shares:
     segment = np.zeros(len(row), np.int64)
     wide = np.flatnonzero(shares[row] > 1)
     if len(wide):
-        segment[wide] = (held.hashes()[nxt[wide]] % shares[row[wide]].astype(np.uint64)).astype(np.int64)
+        segment[wide] = (held.hashes()[nxt[wide]] % shares[row[wide]].astype(np.uint64)).astype(np.int64) + 1  # 0: a whole stripe
         order = np.lexsort((segment, row))
         row, nxt, n, segment = row[order], nxt[order], n[order], segment[order]
     new = np.ones(len(row), bool)
@@ -224,7 +224,7 @@ def pair_stripes(docs: DataFrame, shares, frequent, bits: int) -> DataFrame:
 def merged(stripes: DataFrame, min_count: int) -> DataFrame:
     """(lang, prefix, next, n): stripes added up element by element. Elements of
     ``min_count`` or more are returned; a row whose ``next`` is NULL has the sum
-    of a stripe (of one segment of it)."""
+    of a stripe, if it is as large, or of one segment, however large."""
     keys = ["lang", "prefix", "segment"]
 
     def added(t: pa.Table) -> pa.Table:
