@@ -87,8 +87,8 @@ class Tokens:
             self.tags.append(np.full(len(ids), self.langs.setdefault(lang, len(self.langs)), np.int64))
             self.size += len(ids)
 
-    def full(self) -> bool:
-        return self.size >= TOKENS or len(self.words) >= WORDS or len(self.langs) >= LANGS
+    def full(self, tokens: int) -> bool:
+        return self.size >= tokens or len(self.words) >= WORDS or len(self.langs) >= LANGS
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         empty = [np.zeros(0, np.int64)]
@@ -98,11 +98,11 @@ class Tokens:
         return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.words), np.uint64, len(self.words))
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
+def _gathered(batches: Iterator[pa.RecordBatch], tokens: int = TOKENS) -> Iterator[Tokens]:
     held = Tokens()
     for b in batches:
         held.add(b)
-        if held.full():
+        if held.full(tokens):
             yield held
             held = Tokens()
     if held.size:
@@ -181,10 +181,10 @@ def _stripes(held: Tokens, prefix: list[bytes], prefix_lang: np.ndarray, shares:
             names=["lang", "prefix", "segment", "next", "n"])
 
 
-def word_stripes(docs: DataFrame, shares) -> DataFrame:
+def word_stripes(docs: DataFrame, shares, tokens: int = TOKENS) -> DataFrame:
     """Stripes of one-word prefixes; a NULL next is the end of a piece."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for held in _gathered(batches):
+        for held in _gathered(batches, tokens):
             ids, tags = held.arrays()
             at = np.flatnonzero(ids[:-1] > 0)
             names, langs = list(held.words), list(held.langs)
@@ -196,11 +196,11 @@ def word_stripes(docs: DataFrame, shares) -> DataFrame:
     return arrow_map(docs, run, STRIPE)
 
 
-def pair_stripes(docs: DataFrame, shares, frequent, bits: int) -> DataFrame:
+def pair_stripes(docs: DataFrame, shares, frequent, bits: int, tokens: int = TOKENS) -> DataFrame:
     """Stripes of two-word prefixes, of those and with those next words that
     the filter of frequent pairs lets through."""
     def run(batches: Iterator[pa.RecordBatch]):
-        for held in _gathered(batches):
+        for held in _gathered(batches, tokens):
             ids, tags = held.arrays()
             h = held.hashes()
             langs, names = list(held.langs), list(held.words)
@@ -288,21 +288,21 @@ def score(a, left, right):
 
 
 def collocations(docs: DataFrame, min_count: int = 10, subsume: int = 50, top: int = 2000,
-                 segments: int = SEGMENTS) -> DataFrame:
+                 segments: int = SEGMENTS, tokens: int = TOKENS, most_bits: int = MOST_BITS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of (lang, text)."""
     spark = docs.sparkSession
     sizes = scratch(lang_sizes(docs), "lang-words")
     shares = spark.sparkContext.broadcast(segments_by_word(sizes, segments))
     langs = sizes.where("word is null").select("lang", "n")
 
-    ones = scratch(merged(word_stripes(docs, shares), min_count), "word-stripes")
+    ones = scratch(merged(word_stripes(docs, shares, tokens), min_count), "word-stripes")
     word = (ones.where("next is null").groupBy("lang", F.col("prefix").alias("w")).agg(F.sum("n").alias("f"))
             .where(F.col("f") >= min_count))
     pairs = ones.where("next is not null").select("lang", "prefix", "next", "n")
-    bits = max(1 << 16, min(MOST_BITS, 1 << (max(1, pairs.count() * BITS_PER_PAIR) - 1).bit_length()))
+    bits = max(1 << 10, min(most_bits, 1 << (max(1, pairs.count() * BITS_PER_PAIR) - 1).bit_length()))
     frequent = spark.sparkContext.broadcast(frequent_filter(pairs, bits))
 
-    threes = scratch(merged(pair_stripes(docs, shares, frequent, bits), min_count).where("next is not null"), "pair-stripes")
+    threes = scratch(merged(pair_stripes(docs, shares, frequent, bits, tokens), min_count).where("next is not null"), "pair-stripes")
     cut = F.split("prefix", " ")
     three = threes.select("lang", cut[0].alias("x"), cut[1].alias("y"), F.col("next").alias("z"), F.col("n").alias("a"))
     # a pair is subsumed by the largest extension on either side

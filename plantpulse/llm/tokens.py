@@ -3,13 +3,16 @@
 The tokenizers library spends most of its time on words it has seen before. A
 text is therefore cut at places no pre-token crosses (single spaces), and a
 worker keeps the ids of recent chunks in a bounded two-generation cache; only
-new chunks reach the library. The result equals encoding whole texts (tests
-compare both on given and generated texts).
+new chunks reach the library. As the library does by default, a text is first
+cut at the strings of the vocabulary's special tokens, which become their ids.
+The result equals encoding whole texts (tests compare both on given and
+generated texts).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -18,8 +21,9 @@ import numpy as np
 
 from .common import space_chunks
 
-#: Chunks in one cache generation; two are kept, so memory stays bounded.
-GENERATION = 150_000
+#: Bytes of one cache generation (two are kept, so memory stays bounded), and
+#: what an entry takes besides its characters and ids.
+GENERATION, ENTRY = 72 << 20, 160
 #: Characters looked up together.
 TOGETHER = 1 << 20
 
@@ -42,12 +46,17 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in self.tok.get_added_tokens_decoder().values()):
+            raise ValueError("added tokens that reach beyond their own string are not supported")
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        self.added_ids = {c: np.array([i], "<u4").tobytes() for c, i in added.items()}
         self.leading_space = leading_space
         self.model = self.tok.model
         self.letters = byte_letters()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the newer generation
         self.marks = {m: self._plain([m])[0] for m in (".", ",")}
 
     def _plain(self, parts: list[str]) -> list[bytes]:
@@ -100,17 +109,21 @@ class ChunkTokenizer:
                     fresh.append(k)
                 else:
                     new[k] = ids
+                    self.held += len(k) + len(ids) + ENTRY
         if fresh:
-            new.update(zip(fresh, self._encode_keys(fresh)))
+            coded = self._encode_keys(fresh)
+            new.update(zip(fresh, coded))
+            self.held += sum(map(len, fresh)) + sum(map(len, coded)) + ENTRY * len(fresh)
         first_seen = set(fresh)
         for c, (k, tail) in zip(ids_of, keys):
             ids_of[c] = new[k] + tail
             if k not in first_seen:  # another form of a word seen before
                 new[c] = ids_of[c]
+                self.held += len(c) + len(ids_of[c]) + ENTRY
         for i in lack:
             got[i] = ids_of[chunks[i]]
-        if len(new) >= GENERATION:
-            self.old, self.new = new, {}
+        if self.held >= GENERATION:
+            self.old, self.new, self.held = new, {}, 0
 
     def encode_batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end_id``, and their counts.
@@ -127,6 +140,24 @@ class ChunkTokenizer:
 
     def _encode_few(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         end = np.array([end_id], "<u4").tobytes()
+        if self.added is not None and any(map(self.added.search, texts)):
+            cut = [self.added.split(text) for text in texts]  # every other piece is a special token
+            ids, sizes = self._encode_plain([p for pieces in cut for p in pieces[::2]])
+            out, at, i = [], 0, 0
+            for pieces in cut:
+                own = []
+                for j, piece in enumerate(pieces):
+                    if j % 2:
+                        own.append(self.added_ids[piece])
+                    else:
+                        own.append(ids[at:at + sizes[i]].tobytes())
+                        at, i = at + int(sizes[i]), i + 1
+                out.append(b"".join(own) + end)
+            return np.frombuffer(b"".join(out), "<u4"), np.array([len(x) >> 2 for x in out], np.int64)
+        return self._encode_plain(texts, end)
+
+    def _encode_plain(self, texts: list[str], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Texts without special tokens, each followed by ``end``."""
         flat, heads, edges = [], [], [0]
         for text in texts:
             if self.leading_space:

@@ -4,7 +4,8 @@ from plantpulse.llm.common import prepare
 
 #: Texts every operator must stand: NULL, empty, blank, tiny, long, repeated.
 ODD = [None, "", " ", "\n\n", "a", "a b", "A  b\tc\r\nd", "é漢字🙂 ok.", "x" * 50_000, "word " * 3000, "Same text, twice.",
-       "Same text, twice.", "Mail me@example.com or +1 (555) 555-1234, 10.0.0.1 now.", "4111 1111 1111 1111"]
+       "Same text, twice.", "Mail me@example.com or +1 (555) 555-1234, 10.0.0.1 now.", "4111 1111 1111 1111",
+       "x<|endoftext|>y <|startoftext|>"]
 
 
 @pytest.fixture()

@@ -66,13 +66,13 @@ def test_odd_texts_against_brute_force(spark, odd_rows, kw):
     assert run(docs_of(spark, odd_rows), **kw) == want
 
 
-def test_flushes_and_small_filters_change_nothing(spark, odd_rows, monkeypatch):
-    want = brute(odd_rows)
-    for name, value in (("TOKENS", 50), ("ENTRIES", 7), ("MOST_BITS", 1 << 16)):
-        monkeypatch.setattr(phrases, name, value)
-    rows = [x for held in phrases._gathered(iter(docs_of(spark, odd_rows).toArrow().to_batches())) for x in [held.size]]
-    assert len(rows) > 20
-    assert run(docs_of(spark, odd_rows)) == want
+def test_flushes_and_small_filters_change_nothing(spark, odd_rows):
+    """Every batch is a flush of its own, and the filter of pairs is overfull."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert run(docs_of(spark, odd_rows), tokens=1, most_bits=1 << 10) == brute(odd_rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_score_beyond_64_bits(spark):

@@ -56,7 +56,6 @@ def test_packing_covers_the_last_documents(stages):
     from tokenizers import Tokenizer
 
     ref = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    ref.encode_special_tokens = True
     docs = {r.doc_id: [*ref.encode(r.text, add_special_tokens=False).ids, 1] for r in stages[3].collect()}
     pieces = [(r.doc_id, r.start, bytes(r.ids), r.doc_tokens, r.sequence_id, r.offset) for r in stages[4].collect()]
     assert check(pieces, docs, 2048) <= 0.01 * sum(map(len, docs.values()))
