@@ -1,10 +1,9 @@
 """Profiles and chart data.
 
-All are aggregations with map-side partial aggregation. Exact percentiles
-(``exact=True``) keep one (value, count) entry per *distinct* value of a
-group -- fine for quantised sensor readings, and what the pandas parity
-needs; ``exact=False`` uses ``percentile_approx`` whose memory is bounded
-for any input.
+All are aggregations with map-side partial aggregation. Exact quantiles
+(``exact=True``) are selected over ranges of values (``quantiles``), so no task
+holds a group however many distinct values it has; ``exact=False`` uses
+``percentile_approx``, which needs no shuffle of the values.
 """
 
 from __future__ import annotations
@@ -14,29 +13,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import join_small
+from ..session import materialize
+from .joins import join_small, null_safe_join
+from .quantiles import exact_quantiles
+from .windows import DEFAULT_CHUNK_ROWS, running_count
 
 QUARTILES = [0.25, 0.5, 0.75]
 
 
-def _quantiles(c: str, probs: Sequence[float], exact: bool, accuracy: int) -> Column:
-    arr = F.array(*[F.lit(p) for p in probs])
-    return F.percentile(c, arr) if exact else F.percentile_approx(c, arr, accuracy)
+def _quantiles(long: DataFrame, keys: Sequence[str], value: str, exact: bool, accuracy: int) -> DataFrame:
+    """(keys, q): the quartiles of ``value`` per group."""
+    if exact:
+        return exact_quantiles(long, keys, value, QUARTILES)
+    arr = F.array(*[F.lit(p) for p in QUARTILES])
+    return long.groupBy(*keys).agg(F.percentile_approx(value, arr, accuracy).alias("q"))
 
 
 def describe(df: DataFrame, cols: Sequence[str], *, exact: bool = True,
              accuracy: int = 10_000) -> DataFrame:
     """A1: count, mean, sample std, min, 25/50/75 % (linear), max per column,
-    one aggregation, returned one row per column."""
-    aggs = []
-    for c in cols:
-        aggs.append(F.struct(
-            F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-            _quantiles(c, QUARTILES, exact, accuracy).alias("q"),
-            F.max(c).cast("double").alias("max")))
-    one = df.agg(F.array(*aggs).alias("s"))
-    return (one.select(F.inline("s"))
+    one row per column. The moments are one aggregation over the wide rows, the
+    quartiles are selected over (column, value)."""
+    one = df.agg(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+        F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")) for c in cols]).alias("s"))
+    q = _quantiles(long_format(df, [], cols, "column"), ["column"], "value", exact, accuracy)
+    return (one.select(F.inline("s")).join(q, "column", "left")
                .select("column", "count", "mean", "std", "min",
                        F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"),
                        F.col("q")[2].alias("p75"), "max"))
@@ -110,14 +112,14 @@ def box_stats(df: DataFrame, cls: str, cols: Sequence[str], *, exact: bool = Tru
     """Per class x feature q1 / median / q3 / mean, whiskers at the most
     extreme points within ``whisker * IQR``, and the outlier count."""
     long = long_format(df, [cls], cols).filter(F.col("value").isNotNull())
-    q = long.groupBy(cls, "feature").agg(
-        _quantiles("value", QUARTILES, exact, accuracy).alias("q"), F.avg("value").alias("mean"))
+    q = null_safe_join(long.groupBy(cls, "feature").agg(F.avg("value").alias("mean")),
+                       _quantiles(long, [cls, "feature"], "value", exact, accuracy), [cls, "feature"])
     q = q.select(cls, "feature", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                  F.col("q")[2].alias("q3"), "mean")
     fence_lo = F.col("q1") - whisker * (F.col("q3") - F.col("q1"))
     fence_hi = F.col("q3") + whisker * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= fence_lo) & (F.col("value") <= fence_hi)
-    w = join_small(long, q, [cls, "feature"], "left").groupBy(cls, "feature", "q1", "median", "q3", "mean").agg(
+    w = null_safe_join(long, materialize(q, "quartiles"), [cls, "feature"]).groupBy(cls, "feature", "q1", "median", "q3", "mean").agg(
         F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
         F.count_if(~inside).alias("n_outliers"))
@@ -179,17 +181,19 @@ def standard_scale(df: DataFrame, cols: Sequence[str], *, suffix: str = "_z") ->
 
 
 def band_power(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, *,
-               period: str = "1 day", ts: str = "ts", harmonics: int = 3) -> DataFrame:
+               period: str = "1 day", ts: str = "ts", harmonics: int = 3,
+               chunk_seconds: int | None = None, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """frequency-domain features -- power of the first ``harmonics`` DFT
     bins of each (device, period) window, as native aggregates
     (sum of v*cos / v*sin over the window's sample index). The sample index is
-    a window function over (device, period), bounded by the period length."""
-    from pyspark.sql import Window
-
+    a running count carried over chunks and the number of samples a partial
+    aggregate, so a device-day of any size is spread over its chunks and the
+    sums are partial."""
+    own = [*keys, "period_start"]
     x = df.withColumn("period_start", F.window(ts, period).start)
-    w = Window.partitionBy(*keys, "period_start")
-    x = (x.withColumn("_pp_idx", (F.row_number().over(w.orderBy(*order)) - 1).cast("double"))
-          .withColumn("_pp_cnt", F.count(F.lit(1)).over(w).cast("double")))
+    size = materialize(x.groupBy(*own).agg(F.count(F.lit(1)).cast("double").alias("_pp_cnt")), "period-sizes")
+    x = running_count(x, own, order, "_pp_idx", ts_col=ts, chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+    x = null_safe_join(x.withColumn("_pp_idx", (F.col("_pp_idx") - 1).cast("double")), size, own)
     aggs = [F.count(F.lit(1)).alias("n")]
     for k in range(1, harmonics + 1):
         ang = F.lit(2.0 * 3.141592653589793 * k) * F.col("_pp_idx") / F.col("_pp_cnt")

@@ -1,12 +1,12 @@
-"""Keyed stateful stream operators (T2, T3, T5) as
-``applyInPandasWithState`` processors.
+"""Keyed stateful stream operators: T2 and T5 by ``applyInPandasWithState``, T3
+by ``transformWithState``.
 
 Readings arrive in micro-batches in any order within the watermark's delay.
-The buffer holds a reading until the watermark passes it and then emits in
-event-time order, so the result does not depend on how the input was cut into
+They wait until the watermark passes them and are then taken in event-time
+order, so the result does not depend on how the input was cut into
 micro-batches; later readings than that are late and dropped by Spark. State
-per key is bounded: the last ``size - 1`` readings, the readings inside the
-delay, and for the cool-down one timestamp.
+per key is bounded: the last ``size - 1`` readings or the time of the last
+alert, and the readings inside the delay.
 """
 
 from __future__ import annotations
@@ -15,21 +15,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.windows import micros_of
-
-
-def _sorted_new(pdfs: Iterator[pd.DataFrame], last_us: int | None, last_seq: int | None) -> pd.DataFrame:
-    pdf = pd.concat(list(pdfs), ignore_index=True)
-    pdf = pdf.sort_values(["_us", "_seq"], kind="mergesort").reset_index(drop=True)
-    if last_us is not None:
-        newer = (pdf["_us"] > last_us) | ((pdf["_us"] == last_us) & (pdf["_seq"] > last_seq))
-        pdf = pdf[newer].reset_index(drop=True)
-    return pdf
+from ..operators.windows import EPOCH_NTZ, micros_of
 
 
 # ------------------------------------------------------------------ T2 / T5: bounded buffer
@@ -141,56 +133,102 @@ def buffer_features(stream: DataFrame, key: str, ts: str, seq: str, *, ripple: s
 # ------------------------------------------------------------------ T3: cool-down
 
 
+class CooldownProcessor(StatefulProcessor):
+    """The alert clock of one key. Rows wait in a list until the watermark has
+    passed them and are then taken in order of (time, id), so neither the cut
+    into micro-batches nor the order inside the delay matters. A timer at the
+    earliest waiting row wakes the key; when nothing waits, one at the end of
+    the cool-down drops its state, after which any on-time row fires anyway."""
+
+    def __init__(self, gap_us: int, waiting: T.StructType, out: T.StructType):
+        self.gap_us, self.schema, self.out = gap_us, waiting, [f.name for f in out.fields]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.fired = handle.getValueState("fired", T.StructType([T.StructField("us", T.LongType())]))
+        self.wake = handle.getValueState("wake", T.StructType([T.StructField("ms", T.LongType())]))
+
+    def _sleep(self, ms: int) -> None:
+        """The key's only timer goes to ``ms``."""
+        if self.wake.exists():
+            self.handle.deleteTimer(self.wake.get()[0])
+        self.handle.registerTimer(ms)
+        self.wake.update((ms,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        new = [tuple(r[len(key):len(key) + len(self.schema)]) for r in rows]
+        idle = not self.waiting.exists()
+        self.waiting.appendList(new)
+        wake = max(-(-min(r[0] for r in new) // 1000), timerValues.getCurrentWatermarkInMs() + 1)
+        if idle or not self.wake.exists() or wake < self.wake.get()[0]:
+            self._sleep(wake)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        if self.wake.exists() and self.wake.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return  # set again meanwhile
+        self.wake.clear()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = [], []
+        for row in self.waiting.get():
+            (due if row[0] <= passed else later).append(tuple(row))
+        last = self.fired.get()[0] if self.fired.exists() else None
+        for row in sorted(due, key=lambda r: r[:2]):
+            if last is None or row[0] - last > self.gap_us:
+                last = row[0]
+                yield Row(**dict(zip(self.out, (*key, *row))))
+        if later:
+            self.waiting.put(later)
+            self._sleep(-(-min(r[0] for r in later) // 1000))
+        else:
+            self.waiting.clear()
+        if last is None or (not later and passed >= last + self.gap_us):
+            self.fired.clear()
+            return
+        self.fired.update((last,))
+        if not later:
+            self._sleep(-(-(last + self.gap_us) // 1000))
+
+
 def cooldown(stream: DataFrame, keys: Sequence[str], ts: str, row_id: str,
              cooldown_seconds: float, extra: Sequence[str] = (),
              watermark_delay: str | None = "10 minutes") -> DataFrame:
     """Emit a row when its key never fired or more than ``cooldown``
-    seconds (strict) passed since the key's last emit; the state is the last
-    emit time only. An event-time timeout drops a key's state once the
-    watermark passes ``last emit + cooldown`` -- any later on-time event fires
-    anyway -- so state covers recently alerting keys only."""
+    seconds (strict) passed since the key's last emit. Equal to the batch
+    cool-down for all rows that arrive within the watermark's delay: a row is
+    decided when the watermark has passed it. NULL keys are keys, an empty key
+    list is one global clock, and rows without a time always fire and move no
+    clock. With ``watermark_delay=None`` a column of ``stream`` other than those
+    named here has the watermark. Rows behind it are late and dropped by Spark."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     gap_us = int(round(cooldown_seconds * 1_000_000))
-    kcol = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
-    src = stream.withColumn("_pp_ets", F.col(ts).cast("timestamp"))
+    src, clocks = stream, [c for c in stream.columns if c not in {*keys, ts, row_id, *extra}]
     if watermark_delay:
-        src = src.withWatermark("_pp_ets", watermark_delay)
-    # the watermarked column must stay in the grouped input
-    src = src.select(kcol.alias("_key"), *keys, F.col(ts).alias("_ts"), micros_of(stream, ts).alias("_us"),
-                     F.col(row_id).cast("long").alias("_seq"), "_pp_ets", *extra)
-    fields = [T.StructField(k, stream.schema[k].dataType) for k in keys]
-    fields += [T.StructField(ts, stream.schema[ts].dataType), T.StructField(row_id, T.LongType())]
-    fields += [T.StructField(c, stream.schema[c].dataType) for c in extra]
-    out_schema = T.StructType(fields)
-    state_schema = T.StructType([T.StructField("last_alert", T.LongType()),
-                                 T.StructField("last_us", T.LongType()),
-                                 T.StructField("last_seq", T.LongType())])
-
-    def fn(k, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_alert, last_us, last_seq = state.get if state.exists else (None, None, None)
-        new = _sorted_new(pdfs, last_us, last_seq)
-        if new.empty:
-            return
-        fire = np.zeros(len(new), dtype=bool)
-        la = last_alert
-        for i, u in enumerate(new["_us"].to_numpy()):
-            if la is None or u - la > gap_us:
-                fire[i] = True
-                la = int(u)
-        state.update((la, int(new["_us"].iloc[-1]), int(new["_seq"].iloc[-1])))
-        expiry_ms = (la + gap_us) // 1000 + 1
-        state.setTimeoutTimestamp(max(expiry_ms, state.getCurrentWatermarkMs() + 1))
-        out = new[fire]
-        if len(out):
-            res = out[list(keys)].copy()
-            res[ts] = out["_ts"].to_numpy()
-            res[row_id] = out["_seq"].to_numpy()
-            for c in extra:
-                res[c] = out[c].to_numpy()
-            yield res.reset_index(drop=True)
-
-    return (src.groupBy("_key")
-               .applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                       GroupStateTimeout.EventTimeTimeout))
+        src, clocks = src.withColumn("_pp_ets", F.col(ts).cast("timestamp")).withWatermark("_pp_ets", watermark_delay), ["_pp_ets"]
+    kinds = {f.name: f.dataType for f in stream.schema.fields}
+    names = [f"_k{i}" for i in range(len(keys))] or ["_k"]
+    key_fields = [T.StructField(n, kinds[k] if keys else T.IntegerType()) for n, k in zip(names, keys or ["_k"])]
+    rest = [T.StructField("_us", T.LongType()), T.StructField("_seq", T.LongType())]
+    rest += [T.StructField(f"_x{i}", kinds[c]) for i, c in enumerate(extra)]
+    kept = [F.col(k).alias(n) for k, n in zip(keys, names)] or [F.lit(0).alias("_k")]
+    kept += [micros_of(stream, ts).alias("_us"), F.col(row_id).cast("long").alias("_seq")]
+    kept += [F.col(c).alias(f"_x{i}") for i, c in enumerate(extra)]
+    out = T.StructType(key_fields + rest)
+    fired = src.filter(F.col(ts).isNotNull()).select(*kept, *clocks)
+    fired = fired.groupBy(*names).transformWithState(
+        CooldownProcessor(gap_us, T.StructType(rest), out), out, "append", "eventTime")
+    fired = fired.unionByName(src.filter(F.col(ts).isNull()).select(*kept))
+    return fired.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], time_of(kinds[ts], "_us").alias(ts),
+                        F.col("_seq").alias(row_id), *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)])
+
+
+def time_of(kind: T.DataType, us: str):
+    """A column of epoch microseconds as ``kind`` again."""
+    if isinstance(kind, T.TimestampType):
+        return F.timestamp_micros(us)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.expr(f"{EPOCH_NTZ} + make_dt_interval(0, 0, 0, cast({us} AS decimal(20, 0)) / 1000000)")
+    return F.col(us).cast(kind)

@@ -90,24 +90,21 @@ def test_history_and_alert_tables_partition_by_day(spark):
 
 
 def test_stream_late_and_duplicate_rows(spark):
-    """Second micro-batch holds a duplicate and a late reading: the dedup
-    drops the duplicate, the cool-down state ignores the late row."""
+    """Second micro-batch holds a duplicate and a row older than those seen: the
+    dedup drops the duplicate, the cool-down takes the other in its place."""
     root = tempfile.mkdtemp(prefix="pp-stream-")
     schema = T.StructType([T.StructField("dev", T.IntegerType()), T.StructField("id", T.LongType()),
                            T.StructField("ts", T.TimestampType())])
     mk = lambda rows: spark.createDataFrame(rows, "dev int, id long, s long").select(
         "dev", "id", F.timestamp_seconds("s").alias("ts"))
-    mk([(1, 1, 1000), (1, 2, 1700)]).coalesce(1).write.parquet(f"{root}/in/b1")
     s = read_stream(spark, f"{root}/in/*", schema, "parquet", max_files_per_trigger=1)
-    d = J.dedup_readings(s, "ts", ["id"], "1 hour")
-    fired = cooldown(d, ["dev"], "ts", "id", 600)
-    q = (fired.writeStream.format("parquet").option("path", f"{root}/out")
-              .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
-    # late (t=1200 < last seen 1700) and duplicate (id 2) rows, plus a new one
-    mk([(1, 2, 1700), (1, 3, 1200), (1, 4, 2400)]).coalesce(1).write.parquet(f"{root}/in/b2")
-    q = (fired.writeStream.format("parquet").option("path", f"{root}/out")
-              .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+    d = J.dedup_readings(s.withColumn("at", F.col("ts")), "at", ["id"], "1 hour")
+    fired = cooldown(d, ["dev"], "ts", "id", 600, watermark_delay=None)
+    # restarted for each file; the last one is a heartbeat
+    for i, rows in enumerate([[(1, 1, 1000), (1, 2, 1700)], [(1, 2, 1700), (1, 3, 1200), (1, 4, 2400)], [(2, 5, 100_000)]]):
+        mk(rows).coalesce(1).write.parquet(f"{root}/in/b{i}")
+        q = (fired.writeStream.format("parquet").option("path", f"{root}/out")
+                  .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
     got = sorted(r.id for r in spark.read.parquet(f"{root}/out").collect())
     assert got == [1, 2, 4]
