@@ -100,4 +100,18 @@ def materialize(df, name: str):
     and then broadcast without computing it twice."""
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._pp_path = path
+    return out
+
+
+def release(*tables) -> None:
+    """Remove tables that ``materialize`` wrote and that nothing reads any
+    more (what was made of them has been written)."""
+    for df in tables:
+        path = getattr(df, "_pp_path", None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+            df._pp_path = None
