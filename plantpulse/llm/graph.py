@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import release, scratch
 
 
 def _star(sym: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         sym = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        now = scratch(_star(_star(sym, True), False), "stars")
+        before, now = now, scratch(_star(_star(sym, True), False), "stars")
+        release(before)
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == mark:
             break

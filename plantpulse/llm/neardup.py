@@ -11,11 +11,12 @@ prefix stand next to each other. Candidates of a tree are
   region's hub, the member nearest to the region's most common values.
 
 Candidates whose whole signatures agree too little are set aside; the others
-are confirmed on the full sets. Then the orders of the larger regions are walked
-again, now pairing only neighbours of different components, until no new link is
-found. Larger regions that still hold several components are undecided: their
-members go through a prefix-filter join over the full sets, which pairs every
-two members of different components that can reach the similarity.
+are confirmed on the full sets. The orders of the larger regions are walked
+again, now pairing only neighbours of different components. What is left of the
+larger regions is decided one value deeper: members that also share the second
+value and are still in different components meet in units of bounded size,
+where all their signatures are compared; only pairs that can reach the
+similarity leave a unit and are confirmed.
 
 Defined cases: NULL and empty texts have empty sets and are linked with
 nothing; documents with equal sets of one element or more are linked; rows with
@@ -30,23 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, llm_query, mix64, scratch, shuffle_parts, table, texts
+from .common import arrow_map, llm_query, mix64, release, scratch, shuffle_parts, table, texts
 from .graph import components
 from .shingles import shingle_sets
 
 TREES, DEPTH = 12, 8
 #: Regions up to this size are paired completely; above, that many neighbours.
 SMALL, NEAR = 8, 2
-#: Rows of one region looked at together for its hub.
-CHUNK = 4096
+#: Rows of one region looked at together, and signatures compared at once.
+CHUNK, BLOCK = 4096, 1 << 18
 #: Confirmed are candidates whose signatures agree in at least the asked
 #: similarity less five standard deviations of the estimate.
 DEVIATIONS = 5.0
-#: Bits of the filter that keeps unconcerned texts out of a shuffle (4 MB).
-FILTER_BITS = 1 << 25
-#: Counters of shingle frequency behind the prefix order (4 MB); it is an order
-#: of all shingles however they collide.
-COUNTERS = 1 << 20
+#: Walks over the orders before what is left is compared in units.
+WALKS = 2
+#: Bits of the filter that keeps unconcerned texts out of a shuffle: for each
+#: id, and at most (16 MB).
+BITS_PER_ID, FILTER_BITS = 16, 1 << 27
 
 
 class Signature:
@@ -79,11 +80,6 @@ def sketches(docs: DataFrame, width: int, values: int = TREES * DEPTH) -> DataFr
     return arrow_map(docs, run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
-def _agreeing(labels: np.ndarray, i: int, j: int) -> int:
-    differ = np.flatnonzero(labels[i] != labels[j])
-    return int(differ[0]) if len(differ) else labels.shape[1]
-
-
 def region_pairs(ids: np.ndarray, comps: np.ndarray, labels: np.ndarray, near: int = NEAR,
                  small: int = SMALL) -> set[tuple[int, int]]:
     """Candidates of one region in sorted order, between components only."""
@@ -117,11 +113,11 @@ def region_pairs(ids: np.ndarray, comps: np.ndarray, labels: np.ndarray, near: i
     return out
 
 
-def tree_rows(rows: DataFrame) -> DataFrame:
+def tree_rows(rows: DataFrame, *also: str) -> DataFrame:
     """(tree, label, first, rep, comp) of every tree, from (rep, comp, sig)."""
-    return rows.select("rep", "comp", F.explode(F.array(*[
+    return rows.select("rep", "comp", *also, F.explode(F.array(*[
         F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 4 * DEPTH * t, 4 * DEPTH).alias("label"))
-        for t in range(TREES)])).alias("x")).select("x.tree", "x.label", F.substring("x.label", 1, 4).alias("first"), "rep", "comp")
+        for t in range(TREES)])).alias("x")).select("x.tree", "x.label", F.substring("x.label", 1, 4).alias("first"), "rep", "comp", *also)
 
 
 def larger_regions(rows: DataFrame) -> DataFrame:
@@ -186,18 +182,19 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 
 def with_listed_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of (doc_id, text) whose id is in ``ids``. A Bloom filter of fixed
-    size (``FILTER_BITS``; however many ids, it is no larger) lets nearly all
-    other texts go before the exact semi-join shuffles the rest; an overfull
-    filter lets more through and changes nothing else."""
-    mask = FILTER_BITS - 1
+    """Rows of (doc_id, text) whose id is in ``ids`` (distinct). A Bloom filter,
+    sized by their number up to ``FILTER_BITS``, lets nearly all other texts go
+    before the exact semi-join shuffles the rest; an overfull filter lets more
+    through and changes nothing else."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (max(1, ids.count() * BITS_PER_ID) - 1).bit_length()))
+    mask = bits - 1
 
     def places(h):
-        return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 20).bitwiseAND(mask), F.shiftrightunsigned(h, 39).bitwiseAND(mask)]
+        return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 20).bitwiseAND(mask), F.shiftrightunsigned(h, 37).bitwiseAND(mask)]
     spots = ids.select(F.explode(F.array(*places(F.xxhash64("doc_id")))).alias("p"))
     words = (spots.groupBy(F.shiftright("p", 5).alias("w"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 AS int))")).alias("bits")).toArrow())
-    table_ = np.zeros(FILTER_BITS >> 5, np.uint32)  # at most FILTER_BITS / 32 rows came
+    table_ = np.zeros(bits >> 5, np.uint32)  # at most bits / 32 rows came
     table_[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(table_)
 
@@ -206,7 +203,7 @@ def with_listed_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for b in batches:
             h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
             ok = np.ones(len(h), bool)
-            for shift in (0, 20, 39):
+            for shift in (0, 20, 37):
                 p = (h >> np.uint64(shift) & np.uint64(mask)).astype(np.int64)
                 ok &= (has[p >> 5] >> (p & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
             if ok.any():
@@ -217,8 +214,9 @@ def with_listed_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets satisfy 100 |A n B| >= percent |A u B|. The
-    sets of the documents in question are computed from their texts again."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets of the documents in question are computed from their texts again.
+    Written, so that those sets can go."""
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def sets(batches):
         for b in batches:
@@ -242,60 +240,78 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-    return arrow_map(both, test, "a long, b long")
-
+    found = scratch(arrow_map(both, test, "a long, b long"), "confirmed")
+    release(own)
+    return found
+
+
+def unit_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, side: np.ndarray,
+               percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components (and of different sides, if there
+    are two) whose sizes and signatures allow the similarity. Signatures are
+    compared by one byte of each value first, which never agrees less."""
+    order = np.lexsort((ids, comps))
+    ids, comps, sizes, sigs, side = ids[order], comps[order], sizes[order], sigs[order], side[order]
+    low = np.ascontiguousarray((sigs & 0xFF).astype(np.uint8))
+    need, two = least * sigs.shape[1], side.min() != side.max()
+    edges = [0, *(np.flatnonzero(np.diff(comps)) + 1).tolist(), len(ids)]
+    out_a, out_b = [], []
+    for lo, hi in zip(edges, edges[1:-1]):  # against the components behind it
+        block = max(1, BLOCK // max(1, len(ids) - hi))
+        for at in range(lo, hi, block):
+            end = min(hi, at + block)
+            same = (low[at:end, None, :] == low[None, hi:, :]).sum(axis=2)
+            x, y = np.nonzero(same >= need)
+            x, y = x + at, y + hi
+            ok = 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
+            if two:
+                ok &= side[x] != side[y]
+            x, y = x[ok], y[ok]
+            ok = (sigs[x] == sigs[y]).sum(axis=1) >= need
+            out_a.append(np.minimum(ids[x[ok]], ids[y[ok]]))
+            out_b.append(np.maximum(ids[x[ok]], ids[y[ok]]))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(out_a or none), np.concatenate(out_b or none)
+
+
+def dense_candidates(rows: DataFrame, large: DataFrame, percent: int, least: float, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): all pairs of (rep, comp, n, sig) that share the first two values
+    of a tree in one of the ``large`` regions, are in different components and
+    can reach the similarity. A region of more than ``chunk`` rows is cut, and
+    every two of its parts meet in a unit of their own."""
+    unit = ["tree", "at"]
+    at = (tree_rows(rows, "n", "sig").join(large, ["tree", "first"], "left_semi")
+          .select("tree", F.substring("label", 1, 8).alias("at"), "rep", "comp", "n", "sig"))
+    mixed = (at.groupBy(*unit).agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where("lo < hi").select(*unit, F.ceil(F.col("rows") / chunk).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    at = at.join(mixed, unit).withColumn("part", part)
+    at = at.select(*unit, "rep", "comp", "n", "sig", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    at = at.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")})
+    keys = [*unit, "i", "j"]
+    at = at.repartition(shuffle_parts(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
-def prefix_pairs(members: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): all pairs of ``members`` (rep, comp) of different components whose
-    sets can reach the similarity: |A n B| >= percent |A| / 100 and the same for
-    B, so that they share one of the first |A| - ceil(percent |A| / 100) + 1
-    shingles of A, and of B likewise, in any one order of all shingles; here
-    rare ones come first. Shingles held by one component only are left out, and
-    a shingle of more than ``CHUNK`` rows is cut into pairs of chunks."""
-    def sets(batches):
-        for b in batches:
-            raw = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary())], names=["rep", "set"])
+    def run(batches):
+        key, held = None, []
 
-    def tally(batches):
-        count = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for raw in b.column("set").to_pylist():
-                count[(np.frombuffer(raw, np.uint64) % np.uint64(COUNTERS)).astype(np.int64)] += 1
-        at = np.flatnonzero(count)
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo:lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(count[part])], names=["at", "n"])
-
-    own = scratch(arrow_map(with_listed_ids(docs, members.select(F.col("rep").alias("doc_id"))), sets, "rep long, set binary"), "member-sets")
-    counted = arrow_map(own, tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(COUNTERS, np.uint32)  # at most COUNTERS rows came
-    often[counted.column("at").to_numpy()] = np.minimum(counted.column("n").to_numpy(), 2**32 - 1).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(often)
-
-    def prefixes(batches):
-        often = shared.value
+        def close():
+            if len(held) < 2:
+                return
+            ids, comps, sizes, sigs, side = zip(*held)
+            sigs = np.frombuffer(b"".join(sigs), ">u4").reshape(len(ids), -1).astype(np.uint32)
+            a, b = unit_pairs(np.array(ids, np.int64), np.array(comps, np.int64), np.array(sizes, np.int64), sigs,
+                              np.array(side), percent, least)
+            for lo in range(0, len(a), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(a[lo:lo + (1 << 16)]), pa.array(b[lo:lo + (1 << 16)])], names=["a", "b"])
         for b in batches:
-            first, sizes = [], []
-            for raw in b.column("set").to_pylist():
-                x = np.frombuffer(raw, np.uint64)
-                order = np.lexsort((x, often[(x % np.uint64(COUNTERS)).astype(np.int64)]))
-                first.append(x[order[:len(x) - -(-percent * len(x) // 100) + 1]].view(np.int64))
-                sizes.append(len(x))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(sizes, pa.int64()),
-                                              pa.array(first, pa.list_(pa.int64()))], names=["rep", "n", "first"])
-
-    post = (arrow_map(own, prefixes, "rep long, n long, first array<long>").join(members, "rep")
-            .select("rep", "comp", "n", F.explode("first").alias("token")))
-    post = scratch(post, "prefixes")
-    mixed = (post.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo < hi").select("token", F.ceil(F.col("rows") / CHUNK).cast("int").alias("g")))
-    post = post.join(mixed, "token").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
-    x = post.select("token", F.col("chunk").alias("i"), every.alias("j"), F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    y = post.select("token", every.alias("i"), F.col("chunk").alias("j"), F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-    return x.join(y, ["token", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+            here = list(zip(*(b.column(c).to_pylist() for c in keys)))
+            for k, row in zip(here, zip(*(b.column(c).to_pylist() for c in ("rep", "comp", "n", "sig", "side")))):
+                if k != key:
+                    yield from close()
+                    key, held = k, []
+                held.append(row)
+        yield from close()
+    return arrow_map(at.select(*keys, "rep", "comp", "n", "sig", "side"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -313,38 +329,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     same = scratch(same, "repeated-ids")
     if not same.isEmpty():
         links, comp = same, components(same)
-    usable = reps.where("rep is not null").select("rep", "sig")
+    usable = reps.where("rep is not null").select("rep", "n", "sig")
     large = scratch(larger_regions(usable.withColumn("comp", F.col("rep"))), "larger-regions")
-    last = False  # the prefix join, after the walks
-    while True:
-        if comp is None:
-            rows = usable.withColumn("comp", F.col("rep"))
-        else:
+    for step in range(WALKS + 1):
+        rows = usable.withColumn("comp", F.col("rep"))
+        if comp is not None:
             rows = (usable.join(comp.select(F.col("vertex").alias("rep"), F.col("component").alias("comp")), "rep", "left")
                     .withColumn("comp", F.coalesce("comp", "rep")))
-        if last:
-            at = tree_rows(rows).join(large, ["tree", "first"], "left_semi")
-            mixed = at.groupBy("tree", "first").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            members = scratch(at.join(mixed, ["tree", "first"], "left_semi").select("rep", "comp").distinct(), "undecided")
-            if members.isEmpty():
-                break
-            pairs = prefix_pairs(members, docs, width, percent)
+        if step < WALKS:
+            pairs = likely(tree_candidates(rows, large, step > 0), reps, least)
         else:
-            pairs = tree_candidates(rows, large, tried is not None)
-        pairs = likely(pairs, reps, least)
+            pairs = dense_candidates(rows, large, percent, least)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = scratch(pairs, "candidates")
-        new = None
-        if not pairs.isEmpty():
-            new = scratch(confirmed(pairs, docs, width, percent), "confirmed")
-            tried = pairs if tried is None else tried.union(pairs)
-            if not new.isEmpty():
-                links = new if links is None else links.union(new)
-                comp = components(links)
-        if last:
-            break
-        last = new is None or new.isEmpty()
+        if pairs.isEmpty():
+            continue
+        new = confirmed(pairs, docs, width, percent)
+        tried = pairs if tried is None else tried.union(pairs)
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            comp = components(links)
     found = sketch.select("doc_id", *key).join(reps.select(*key, "rep"), key, "left")
     if comp is not None:
         found = found.join(comp, F.coalesce("rep", "doc_id") == F.col("vertex"), "left")

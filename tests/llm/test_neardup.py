@@ -129,6 +129,35 @@ def test_dense_regions_are_linked_whole():
     assert all(split[a] != split[b] for a, b in neardup.region_pairs(ids, split, labels))
 
 
+def test_unit_pairs_against_all_pairs():
+    """Units of one and of two sides, many components, ties of sizes."""
+    rng = np.random.default_rng(9)
+    n = 300
+    sigs = rng.integers(0, 3, (n, 96)).astype(np.uint32) * np.uint32(256)  # the low byte tells nothing
+    ids, comps, sizes = rng.permutation(n), rng.integers(0, 40, n), rng.integers(80, 120, n)
+    for side in (np.zeros(n, int), rng.integers(0, 2, n)):
+        a, b = neardup.unit_pairs(ids, comps, sizes, sigs, side, 80, 0.4)
+        want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(n) for j in range(i)
+                if comps[i] != comps[j] and (side[i] != side[j] or not side.any())
+                and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j]) and (sigs[i] == sigs[j]).mean() >= 0.4}
+        assert len(want) > 100 and sorted(zip(a.tolist(), b.tolist())) == sorted(want)
+
+
+def test_cut_regions_meet_in_every_unit(spark):
+    """A region of many parts gives the pairs of a whole one."""
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2**31, 96).astype(">u4")
+    rows = []
+    for i in range(120):
+        own = sig.copy()
+        own[rng.choice(np.arange(2, 96), 30, replace=False)] += i + 1
+        rows.append((i, i % 50, 100 + i % 30, bytearray(own.tobytes())))
+    df = spark.createDataFrame(rows, "rep long, comp long, n long, sig binary")
+    large = neardup.larger_regions(df)
+    whole = {tuple(r) for r in neardup.dense_candidates(df, large, 80, 0.4).collect()}
+    assert len(whole) > 1000 and whole == {tuple(r) for r in neardup.dense_candidates(df, large, 80, 0.4, chunk=17).collect()}
+
+
 @pytest.mark.parametrize("bits", [1 << 25, 64])  # roomy, and overfull
 def test_filter_keeps_exactly_the_listed(spark, odd_docs, monkeypatch, bits):
     monkeypatch.setattr(neardup, "FILTER_BITS", bits)
@@ -146,7 +175,7 @@ def test_odd_documents_and_stage(spark, odd_docs, no_docs):
     out = neardup.keep_first(odd_docs)
     ids = [r.doc_id for r in out.collect()]
     assert out.columns == odd_docs.columns
-    assert sorted(ids, key=str) == sorted([*range(11), 12, 13, None], key=str)  # one of 10 and 11, row 3 once
+    assert sorted(ids, key=str) == sorted([*range(11), 12, 13, 14, None], key=str)  # one of 10 and 11, row 3 once
     assert neardup.keep_first(no_docs).count() == 0
 
 
