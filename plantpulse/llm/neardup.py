@@ -15,8 +15,11 @@ are confirmed on the full sets. The orders of the larger regions are walked
 again, now pairing only neighbours of different components. What is left of the
 larger regions is decided one value deeper: members that also share the second
 value and are still in different components meet in units of bounded size,
-where all their signatures are compared; only pairs that can reach the
-similarity leave a unit and are confirmed.
+where all their signatures are compared. Members with a pair that can reach the
+similarity (counted in the first tree that both meet in) come again with their
+full sets, and those pairs are decided inside the unit, likeliest first; only
+links that join components leave it, so a dense region never sends out its
+pairs.
 
 Defined cases: NULL and empty texts have empty sets and are linked with
 nothing; documents with equal sets of one element or more are linked; rows with
@@ -40,6 +43,8 @@ TREES, DEPTH = 12, 8
 SMALL, NEAR = 8, 2
 #: Rows of one region looked at together, and signatures compared at once.
 CHUNK, BLOCK = 4096, 1 << 18
+#: Bytes of full sets in one part of a region.
+UNIT_BYTES = 24 << 20
 #: Confirmed are candidates whose signatures agree in at least the asked
 #: similarity less five standard deviations of the estimate.
 DEVIATIONS = 5.0
@@ -232,13 +237,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             ok = []
             for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if not len(x):
-                    ok.append(False)
-                    continue
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
+                ok.append(bool(len(x) and len(y)) and similar(x, y, percent))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     found = scratch(arrow_map(both, test, "a long, b long"), "confirmed")
     release(own)
@@ -246,16 +245,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 
 def unit_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, side: np.ndarray,
-               percent: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of different components (and of different sides, if there
-    are two) whose sizes and signatures allow the similarity. Signatures are
-    compared by one byte of each value first, which never agrees less."""
+               percent: int, least: float, tree: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of rows of different components (and of different sides,
+    if there are two) whose sizes and signatures allow the similarity, likeliest
+    first; with ``tree``, only pairs that share the first two values of no
+    earlier tree. Signatures are compared by one byte of each value first, which
+    never agrees less."""
     order = np.lexsort((ids, comps))
-    ids, comps, sizes, sigs, side = ids[order], comps[order], sizes[order], sigs[order], side[order]
+    comps, sizes, sigs, side = comps[order], sizes[order], sigs[order], side[order]
     low = np.ascontiguousarray((sigs & 0xFF).astype(np.uint8))
     need, two = least * sigs.shape[1], side.min() != side.max()
     edges = [0, *(np.flatnonzero(np.diff(comps)) + 1).tolist(), len(ids)]
-    out_a, out_b = [], []
+    out = []
     for lo, hi in zip(edges, edges[1:-1]):  # against the components behind it
         block = max(1, BLOCK // max(1, len(ids) - hi))
         for at in range(lo, hi, block):
@@ -267,51 +268,125 @@ def unit_pairs(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sigs: np.n
             if two:
                 ok &= side[x] != side[y]
             x, y = x[ok], y[ok]
-            ok = (sigs[x] == sigs[y]).sum(axis=1) >= need
-            out_a.append(np.minimum(ids[x[ok]], ids[y[ok]]))
-            out_b.append(np.maximum(ids[x[ok]], ids[y[ok]]))
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(out_a or none), np.concatenate(out_b or none)
-
-
-def dense_candidates(rows: DataFrame, large: DataFrame, percent: int, least: float, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): all pairs of (rep, comp, n, sig) that share the first two values
-    of a tree in one of the ``large`` regions, are in different components and
-    can reach the similarity. A region of more than ``chunk`` rows is cut, and
-    every two of its parts meet in a unit of their own."""
-    unit = ["tree", "at"]
+            if len(x):
+                agree = sigs[x] == sigs[y]
+                ok = agree.sum(axis=1) >= need
+                if tree is not None:
+                    ok &= agree.reshape(len(x), TREES, DEPTH)[:, :, :2].all(axis=2).argmax(axis=1) == tree
+                out.append(np.stack([x[ok], y[ok], agree[ok].sum(axis=1)]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y, agree = np.concatenate(out, axis=1)
+    likely_first = np.argsort(-agree, kind="stable")
+    return order[x[likely_first]], order[y[likely_first]]
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 |x n y| >= percent |x u y| of two sorted sets, neither of them empty."""
+    if len(x) > len(y):
+        x, y = y, x
+    same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def joining_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], x: np.ndarray, y: np.ndarray,
+                  percent: int) -> list[tuple[int, int]]:
+    """Of the pairs (x, y), in turn, those links that join two components."""
+    up = {c: c for c in comps.tolist()}
+
+    def top(c):
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+    out = []
+    for i, j in zip(x.tolist(), y.tolist()):
+        p, q = top(int(comps[i])), top(int(comps[j]))
+        if p != q and similar(sets[i], sets[j], percent):
+            up[p] = q
+            out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return out
+
+
+UNIT = ["tree", "at", "i", "j"]
+
+
+def dense_units(rows: DataFrame, large: DataFrame, chunk: int = CHUNK, set_bytes: int = UNIT_BYTES) -> DataFrame:
+    """(tree, at, i, j, side, rep, comp, n, sig): rows of (rep, comp, n, sig)
+    that share the first two values of a tree in one of the ``large`` regions
+    with another component. A region of more than ``chunk`` rows or
+    ``set_bytes`` of sets is cut, and every two of its parts meet in a unit."""
+    own = ["tree", "at"]
     at = (tree_rows(rows, "n", "sig").join(large, ["tree", "first"], "left_semi")
           .select("tree", F.substring("label", 1, 8).alias("at"), "rep", "comp", "n", "sig"))
-    mixed = (at.groupBy(*unit).agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .where("lo < hi").select(*unit, F.ceil(F.col("rows") / chunk).cast("int").alias("parts")))
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    at = at.join(mixed, unit).withColumn("part", part)
-    at = at.select(*unit, "rep", "comp", "n", "sig", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("n") * 8 / set_bytes)).cast("int")
+    mixed = (at.groupBy(*own).agg(parts.alias("parts"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .where("lo < hi").select(*own, "parts"))
+    at = at.join(mixed, own).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    at = at.select(*own, "rep", "comp", "n", "sig", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     at = at.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")})
-    keys = [*unit, "i", "j"]
-    at = at.repartition(shuffle_parts(rows.sparkSession), *keys).sortWithinPartitions(*keys)
-
-    def run(batches):
-        key, held = None, []
+    return at.select(*UNIT, "side", "rep", "comp", "n", "sig")
+
+
+def _units(batches, names: list[str]):
+    """Rows of each unit in turn, from batches sorted by unit."""
+    key, held = None, []
+    for b in batches:
+        keys = zip(*(b.column(c).to_pylist() for c in UNIT))
+        for k, row in zip(keys, zip(*(b.column(c).to_pylist() for c in names))):
+            if k != key:
+                if len(held) > 1:
+                    yield key, list(zip(*held))
+                key, held = k, []
+            held.append(row)
+    if len(held) > 1:
+        yield key, list(zip(*held))
+
+
+def _pairs_of(key, ids, comps, sizes, sigs, side, percent: int, least: float):
+    ids, comps = np.array(ids, np.int64), np.array(comps, np.int64)
+    sigs = np.frombuffer(b"".join(sigs), ">u4").reshape(len(ids), -1).astype(np.uint32)
+    return ids, comps, *unit_pairs(ids, comps, np.array(sizes, np.int64), sigs, np.array(side), percent, least, key[0])
+
+
+def dense_links(units: DataFrame, docs: DataFrame, width: int, percent: int, least: float) -> DataFrame:
+    """(a, b): links between the components of ``units``; together with the
+    links inside the components they are as good as all links of the units."""
+    parts, names = shuffle_parts(docs.sparkSession), ["rep", "comp", "n", "sig", "side"]
+    kinds = "tree int, at binary, i int, j int, rep long, comp long, n long, sig binary, side int"
+
+    def dealt(df):
+        return df.repartition(parts, *UNIT).sortWithinPartitions(*UNIT)
+
+    def concerned(batches):
+        for key, columns in _units(batches, names):
+            *_, x, y = _pairs_of(key, *columns, percent, least)
+            rows = np.unique(np.concatenate([x, y])).tolist()
+            if rows:
+                yield pa.RecordBatch.from_pydict(
+                    {c: pa.array([v] * len(rows), t) for c, v, t in zip(UNIT, key, (pa.int32(), pa.binary(), pa.int32(), pa.int32()))}
+                    | {c: pa.array([columns[k][r] for r in rows], t) for k, (c, t) in enumerate(
+                        zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())))})
 
-        def close():
-            if len(held) < 2:
-                return
-            ids, comps, sizes, sigs, side = zip(*held)
-            sigs = np.frombuffer(b"".join(sigs), ">u4").reshape(len(ids), -1).astype(np.uint32)
-            a, b = unit_pairs(np.array(ids, np.int64), np.array(comps, np.int64), np.array(sizes, np.int64), sigs,
-                              np.array(side), percent, least)
-            for lo in range(0, len(a), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(a[lo:lo + (1 << 16)]), pa.array(b[lo:lo + (1 << 16)])], names=["a", "b"])
+    def sets(batches):
         for b in batches:
-            here = list(zip(*(b.column(c).to_pylist() for c in keys)))
-            for k, row in zip(here, zip(*(b.column(c).to_pylist() for c in ("rep", "comp", "n", "sig", "side")))):
-                if k != key:
-                    yield from close()
-                    key, held = k, []
-                held.append(row)
-        yield from close()
-    return arrow_map(at.select(*keys, "rep", "comp", "n", "sig", "side"), run, "a long, b long").distinct()
+            raw = [s.tobytes() for s in shingle_sets(b.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary())], names=["id", "set"])
+
+    def decided(batches):
+        for key, columns in _units(batches, [*names, "set"]):
+            ids, comps, x, y = _pairs_of(key, *columns[:-1], percent, least)
+            found = joining_links(ids, comps, [np.frombuffer(s, np.uint64) for s in columns[-1]], x, y, percent)
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    left = scratch(arrow_map(dealt(units).select(*UNIT, *names), concerned, kinds), "concerned")
+    ids = left.select(F.col("rep").alias("doc_id")).distinct()
+    own = scratch(arrow_map(with_listed_ids(docs, ids), sets, "id long, set binary"), "sets")
+    both = dealt(left.join(own.withColumnRenamed("id", "rep"), "rep")).select(*UNIT, *names, "set")
+    found = scratch(arrow_map(both, decided, "a long, b long"), "dense-links")
+    release(left, own)
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -338,15 +413,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                     .withColumn("comp", F.coalesce("comp", "rep")))
         if step < WALKS:
             pairs = likely(tree_candidates(rows, large, step > 0), reps, least)
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            tried = pairs = scratch(pairs, "candidates")
+            new = confirmed(pairs, docs, width, percent)
         else:
-            pairs = dense_candidates(rows, large, percent, least)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch(pairs, "candidates")
-        if pairs.isEmpty():
-            continue
-        new = confirmed(pairs, docs, width, percent)
-        tried = pairs if tried is None else tried.union(pairs)
+            new = dense_links(dense_units(rows, large), docs, width, percent, least)
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             comp = components(links)

@@ -23,7 +23,7 @@ from .common import space_chunks
 
 #: Bytes of one cache generation (two are kept, so memory stays bounded), and
 #: what an entry takes besides its characters and ids.
-GENERATION, ENTRY = 72 << 20, 160
+GENERATION, ENTRY = 112 << 20, 160
 #: Characters looked up together.
 TOGETHER = 1 << 20
 

@@ -136,7 +136,8 @@ def test_unit_pairs_against_all_pairs():
     sigs = rng.integers(0, 3, (n, 96)).astype(np.uint32) * np.uint32(256)  # the low byte tells nothing
     ids, comps, sizes = rng.permutation(n), rng.integers(0, 40, n), rng.integers(80, 120, n)
     for side in (np.zeros(n, int), rng.integers(0, 2, n)):
-        a, b = neardup.unit_pairs(ids, comps, sizes, sigs, side, 80, 0.4)
+        x, y = neardup.unit_pairs(ids, comps, sizes, sigs, side, 80, 0.4)
+        a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
         want = {(min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(n) for j in range(i)
                 if comps[i] != comps[j] and (side[i] != side[j] or not side.any())
                 and 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j]) and (sigs[i] == sigs[j]).mean() >= 0.4}
@@ -144,18 +145,32 @@ def test_unit_pairs_against_all_pairs():
 
 
 def test_cut_regions_meet_in_every_unit(spark):
-    """A region of many parts gives the pairs of a whole one."""
+    """A region of many parts gives the links of a whole one, each pair is
+    looked at in one tree, and only joining links leave."""
     rng = np.random.default_rng(4)
-    sig = rng.integers(0, 2**31, 96).astype(">u4")
+    words = [f"w{i}" for i in range(100)]
     rows = []
-    for i in range(120):
-        own = sig.copy()
-        own[rng.choice(np.arange(2, 96), 30, replace=False)] += i + 1
-        rows.append((i, i % 50, 100 + i % 30, bytearray(own.tobytes())))
-    df = spark.createDataFrame(rows, "rep long, comp long, n long, sig binary")
-    large = neardup.larger_regions(df)
-    whole = {tuple(r) for r in neardup.dense_candidates(df, large, 80, 0.4).collect()}
-    assert len(whole) > 1000 and whole == {tuple(r) for r in neardup.dense_candidates(df, large, 80, 0.4, chunk=17).collect()}
+    for i in range(150):
+        own = list(words)
+        for k in rng.choice(np.arange(100), 6 + i % 9, replace=False):
+            own[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(own)))
+    docs = texts(spark.createDataFrame(rows, "doc_id long, text string"))
+    sketch = neardup.sketches(docs, 1).selectExpr("doc_id AS rep", "doc_id % 140 AS comp", "n", "sig")
+    large = neardup.larger_regions(sketch)
+
+    def tops(**kw):
+        found = neardup.dense_links(neardup.dense_units(sketch, large, **kw), docs, 1, 80, 0.5).collect()
+        inside = [(i, i % 140) for i in range(150) if i >= 140]
+        got = components(spark.createDataFrame([(r.a, r.b) for r in found] + inside, "a long, b long")).collect()
+        return len(found), {r.vertex: r.component for r in got}
+    whole, cut = tops(), tops(chunk=17)
+    assert whole[1] == cut[1] == tops(set_bytes=20_000)[1] and 10 < whole[0] < 12 * 150
+    want = brute([(i, t) for i, t in rows], 1, 80)
+    together = {}
+    for i in range(150):
+        together.setdefault(want[i], set()).add(i)
+    assert max(map(len, together.values())) > 20
 
 
 @pytest.mark.parametrize("bits", [1 << 25, 64])  # roomy, and overfull
