@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import rnd
 from ..operators.alerts import alert_records
 from ..operators.quality import QualityRules, in_range, not_null
+from ..session import scratch_path
+from ..sources.alert_store import AlertStore
 from ..sources.readers import read_stream, read_table
 from ..streaming import jobs as J
 from ..streaming.stateful import buffer_features, cooldown
@@ -108,6 +110,25 @@ def stream_alert_cooldown(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("dt")
 
 
+@query("stream_alert_table", """
+WITH a AS (SELECT user_id AS device, event_type AS state, ts,
+                  'device ' || CAST(user_id AS VARCHAR) || ' ' || event_type || ' at ' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS message
+           FROM events WHERE event_type IN ('error', 'signup'))
+SELECT device, state, min(ts) AS first_alert, max(ts) AS last_alert, count(*) AS n_alerts, max({'t': ts, 'm': message}).m AS message
+FROM a GROUP BY device, state
+""")
+def stream_alert_table(spark: SparkSession, sf: str) -> DataFrame:
+    """S6 keyed upsert: alerts of a replay of out-of-order files kept as one row
+    per device and state, version by version."""
+    events, beat = replayed_events(spark, sf)
+    e = events.filter(F.col("event_type").isin("error", "signup") & (F.col("event_id") != beat))
+    alerts = alert_records(e.withColumnsRenamed({"user_id": "device", "event_type": "state"}), "device", "ts", "state")
+    path = scratch_path(spark, "alert-table")
+    store = AlertStore(spark, path, ["device", "state"])
+    store.run(alerts, f"{path}/_checkpoint")
+    return store.read().select("device", "state", "first_alert", "last_alert", "n_alerts", "message")
+
+
 @query("stream_hourly_rollup", """
 WITH w AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS n,
                   round(avg(value), 6) AS mean_value, round(max(value), 6) AS max_value
