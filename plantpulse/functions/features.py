@@ -97,9 +97,10 @@ def as_float32(*cols: str) -> dict[str, Column]:
     return {c: F.col(c).cast("float") for c in cols}
 
 
-def probability_map(probs: Column | str, classes: Sequence[str]) -> Column:
-    """``dict(zip(names, probs))`` as ``map<string,double>``."""
-    return F.map_from_arrays(F.array(*[F.lit(c) for c in classes]), col(probs))
+def probability_map(probs: Column | str, classes: Sequence[str] | Column) -> Column:
+    """class name -> probability; the names as a list or as an array column."""
+    names = classes if isinstance(classes, Column) else F.array(*[F.lit(c) for c in classes])
+    return F.map_from_arrays(names, F.col(probs) if isinstance(probs, str) else probs)
 
 
 def arg_max(probs: Column | str) -> Column:

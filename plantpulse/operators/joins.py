@@ -127,6 +127,46 @@ def asof_forward_strict(df: DataFrame, keys: Sequence[str], ts: str, row_id: str
         *keys, F.col("_pp_src").alias(row_id), F.col("_pp_next").alias("next_id"))
 
 
+def asof_forward_value(df: DataFrame, keys: Sequence[str], ts: str, row_id: str, values: Sequence[str],
+                       gap_seconds: float, *, tolerance_seconds: float | None = None, prefix: str = "next_",
+                       chunk_seconds: int | None = None, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Every row of ``df`` with ``values`` of the first row of its key
+    strictly later than ``ts + gap`` and, with a tolerance, at most that much
+    later than ``ts + gap``; NULL if there is none. One carry in time order,
+    without a second look-up by id; ties by ``row_id``."""
+    from .windows import forward_fill
+
+    gap_us = int(round(gap_seconds * 1_000_000))
+    names = {v: f"{prefix}{v}" for v in values}
+    base = df.withColumn("_pp_us", epoch_micros(ts)).withColumn("_pp_ord", F.col(row_id))
+    there = F.struct(F.col("_pp_us").alias("us"), *[F.col(v) for v in values])
+    real = base.select(*keys, "_pp_us", "_pp_ord", F.lit(0).alias("_pp_kind"), there.alias("_pp_there"))
+    probe = base.withColumn("_pp_us", F.col("_pp_us") + F.lit(gap_us)).withColumn("_pp_kind", F.lit(1))
+    u = probe.unionByName(real, allowMissingColumns=True)
+    u = forward_fill(u, keys, ["_pp_us", "_pp_kind", "_pp_ord"], ["_pp_there"], ts_col="_pp_us",
+                     chunk_seconds=chunk_seconds, chunk_rows=chunk_rows, backward=True).filter(F.col("_pp_kind") == 1)
+    found = F.col("_pp_us").isNotNull()
+    if tolerance_seconds is not None:
+        found = found & (F.col("_pp_there.us") <= F.col("_pp_us") + F.lit(int(round(tolerance_seconds * 1_000_000))))
+    return u.select(*df.columns, *[F.when(found, F.col("_pp_there")[v]).alias(n) for v, n in names.items()])
+
+
+def align_signals(df: DataFrame, keys: Sequence[str], ts: str, signal: str, value: str, names: dict[str, str], *,
+                  period: str = "1 hour", carry: Sequence[str] = (), chunk_seconds: int | None = None,
+                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Signals of different rates on one time grid per key, ``(keys, bucket,
+    a mean per signal)``. One conditional aggregation makes the grid, so a
+    bucket with any of the signals is a row; columns in ``carry`` (slow
+    sensors) take the last earlier value of the key where they have none."""
+    from .windows import forward_fill
+
+    at = df.filter(F.col(signal).isin(*names)).withColumn("bucket", F.window(ts, period).start)
+    grid = at.groupBy(*keys, "bucket").agg(*[F.avg(F.when(F.col(signal) == s, F.col(value))).alias(n) for s, n in names.items()])
+    if not carry:
+        return grid
+    return forward_fill(grid, keys, ["bucket"], list(carry), ts_col="bucket", chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+
+
 def not_yet_alerted(candidates: DataFrame, alerts: DataFrame, keys: Sequence[str], ts: str,
                     alert_ts: str, cooldown_seconds: float, *,
                     chunk_seconds: int | None = None,

@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from .joins import null_safe_join
+
 
 def unit_hash(*keys: str, salt: str = "") -> Column:
     """Uniform value in [0, 1) from the first 32 bits of md5 of the key."""
@@ -46,6 +49,62 @@ def stratified_flag(df: DataFrame, keys: Sequence[str], label: str, test_fractio
     return df.withColumn(name, h < F.lit(test_fraction))
 
 
+#: Buckets of the hash that are counted before a cut is looked for inside one.
+CUT_DIGITS = 4
+
+
+def exact_cuts(df: DataFrame, keys: Sequence[str], ranks, label: str | None = None) -> DataFrame:
+    """``df`` with ``_pp_part``, the number of cuts a row lies
+    behind, when rows are ordered by md5 of (label and) key. ``ranks`` gives, from
+    the column of row counts, the rank behind which each cut falls, per class
+    when ``label`` is given (a NULL label is a class).
+
+    No class is sorted: the hash's first digits are counted per class, a running
+    sum over those counts names the bucket of each cut, and only rows of that
+    bucket are ranked. Rows of one key stay together, so with repeated keys the
+    part before a cut can be longer by the repeats of the key at the cut."""
+    own = [label] if label else []
+    order = F.struct(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in [*own, *keys]])).alias("h"),
+                     *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)])
+    x = df.select(*[F.col(c) for c in own], order.alias("_pp_o")).withColumn("_pp_b", F.substring("_pp_o.h", 1, CUT_DIGITS))
+    counts = x.groupBy(*own, "_pp_b").agg(F.count(F.lit(1)).alias("_pp_n"))
+    along = Window.partitionBy(*own).orderBy("_pp_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"_pp_before": F.coalesce(F.sum("_pp_n").over(along), F.lit(0)),
+                                 "_pp_all": F.sum("_pp_n").over(Window.partitionBy(*own))})
+    wanted = [r.cast("long") for r in ranks(F.col("_pp_all"))]
+    cuts = counts.select("*", F.posexplode(F.array(*wanted)).alias("_pp_i", "_pp_rank"))
+    cuts = cuts.filter((F.col("_pp_rank") > F.col("_pp_before")) & (F.col("_pp_rank") <= F.col("_pp_before") + F.col("_pp_n")))
+    cuts = materialize(cuts.select(*own, "_pp_b", "_pp_i", (F.col("_pp_rank") - F.col("_pp_before")).alias("_pp_rest")), "cuts")
+    near = null_safe_join(x, cuts, [*own, "_pp_b"], "inner")
+    near = near.withColumn("_pp_rn", F.row_number().over(Window.partitionBy(*own, "_pp_i").orderBy("_pp_o")))
+    edges = near.filter(F.col("_pp_rn") == F.col("_pp_rest")).groupBy(*own).agg(
+        *[F.max(F.when(F.col("_pp_i") == i, F.col("_pp_o"))).alias(f"_pp_e{i}") for i in range(len(wanted))])
+    edges = materialize(edges, "cut-edges")  # a row per class
+    marked = df.withColumn("_pp_o", order)
+    marked = null_safe_join(marked, edges, own, "left") if own else marked.join(edges, F.lit(True), "left")
+    behind = [F.coalesce(F.col("_pp_o") > F.col(f"_pp_e{i}"), F.lit(True)).cast("int") for i in range(len(wanted))]
+    part = sum(behind[1:], behind[0])
+    return marked.withColumn("_pp_part", part).select(*df.columns, "_pp_part")
+
+
+def exact_split_flag(df: DataFrame, keys: Sequence[str], test_fraction: float = 0.2, label: str | None = None,
+                     name: str = "is_test") -> DataFrame:
+    """M1 / M2: exactly ``ceil(test_fraction * n)`` test rows, of each class when
+    ``label`` is given; a class of one row is for training."""
+    def ranks(n):
+        need = F.ceil(F.lit(str(test_fraction)).cast("decimal(9,6)") * n)
+        return [F.when(n > 1, need).otherwise(0) if label else need]
+    out = exact_cuts(df, keys, ranks, label)
+    return out.withColumn(name, F.col("_pp_part") == 0).drop("_pp_part")
+
+
+def exact_fold_id(df: DataFrame, keys: Sequence[str], k: int = 5, label: str | None = None, name: str = "fold") -> DataFrame:
+    """Folds of equal size (by one row), also within every class when
+    ``label`` is given."""
+    out = exact_cuts(df, keys, lambda n: [F.floor(n * i / k) for i in range(1, k)], label)
+    return out.withColumnRenamed("_pp_part", name)
+
+
 def fold_id(df: DataFrame, keys: Sequence[str], k: int = 5, name: str = "fold") -> DataFrame:
     """Fold column for ``CrossValidator(foldCol=...)``."""
     return df.withColumn(name, F.floor(unit_hash(*keys, salt="fold") * k).cast("int"))

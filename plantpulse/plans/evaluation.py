@@ -223,6 +223,26 @@ def label_splits(spark: SparkSession, sf: str) -> DataFrame:
                      rnd("weight", 6).alias("weight"))
 
 
+@query("label_exact_splits", """
+WITH h AS (SELECT doc_id, quality, md5(CAST(doc_id AS VARCHAR)) AS h,
+                  md5(concat_ws('|', CAST(quality AS VARCHAR), CAST(doc_id AS VARCHAR))) AS hs FROM labels),
+r AS (SELECT *, row_number() OVER (ORDER BY h, CAST(doc_id AS VARCHAR)) AS rn, count(*) OVER () AS n,
+             row_number() OVER (PARTITION BY quality ORDER BY hs, CAST(doc_id AS VARCHAR)) AS rs, count(*) OVER (PARTITION BY quality) AS ns
+      FROM h)
+SELECT doc_id, quality, rn <= ceil(n * 2 / 10.0) AS is_test, ns > 1 AND rs <= ceil(ns * 2 / 10.0) AS is_test_in_class,
+       CAST((rs > floor(ns / 5.0))::INT + (rs > floor(ns * 2 / 5.0))::INT + (rs > floor(ns * 3 / 5.0))::INT + (rs > floor(ns * 4 / 5.0))::INT AS INTEGER)
+         AS fold
+FROM r
+""")
+def label_exact_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 / W10 exact 80/20 split, M2 the same within every class, M11
+    stratified folds of equal size."""
+    df = read_table(spark, sf, "labels").select("doc_id", "quality")
+    df = S.exact_split_flag(df, ["doc_id"], 0.2)
+    df = S.exact_split_flag(df, ["doc_id"], 0.2, "quality", "is_test_in_class")
+    return S.exact_fold_id(df, ["doc_id"], 5, "quality")
+
+
 @query("label_split_shares", """
 WITH h AS (SELECT quality, toxic,
                   CAST(('0x' || substr(md5(CAST(quality AS VARCHAR) || '|' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 AS us

@@ -31,7 +31,7 @@ def pump_confidence() -> F.Column:
 @query("pump_scoring", f"""
 WITH r AS ({PUMP_READINGS_SQL}),
 s AS (SELECT *, flow * head / (power + 1e-6) AS efficiency_index, power / (flow + 1e-6) AS specific_power,
-             least(1.0, 0.5 + head / 100.0) AS confidence FROM r WHERE flow IS NOT NULL)
+             least(1.0, 0.5 + head / 100.0) AS confidence FROM r)
 SELECT state, round(efficiency_index, 6) AS efficiency_index, round(specific_power, 6) AS specific_power,
        round(confidence, 6) AS confidence,
        CASE state WHEN 'normal' THEN 'low' WHEN 'wear' THEN 'medium' WHEN 'cavitation' THEN 'high'
@@ -45,9 +45,9 @@ SELECT state, round(efficiency_index, 6) AS efficiency_index, round(specific_pow
 FROM s
 """)
 def pump_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    """F1 + F2 -> R7 risk, R8 advice, R16 confidence trigger."""
-    df = pump_readings(spark, sf).filter(F.col("flow").isNotNull())
-    s = df.withColumns({
+    """F1 + F2 -> R7 risk, R8 advice, R16 confidence trigger; a reading without
+    flow keeps its row, without the ratios."""
+    s = pump_readings(spark, sf).withColumns({
         "efficiency_index": X.efficiency_index("flow", "head", "power"),
         "specific_power": X.specific_power("power", "flow"),
         "confidence": pump_confidence()})
@@ -270,26 +270,24 @@ def json_request_response(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("embedding_argmax", """
-WITH p AS (SELECT vec_id, label, list_transform(embedding[1:3], lambda x: abs(CAST(x AS DOUBLE))) AS a FROM embeddings),
+WITH p AS (SELECT vec_id, label, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS a FROM embeddings),
 q AS (SELECT vec_id, label, list_transform(a, lambda x: x / (list_sum(a) + 1e-9)) AS probs FROM p)
 SELECT vec_id, label, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS predicted,
-       (['normal', 'wear', 'cavitation'])[list_position(probs, list_max(probs))] AS predicted_name,
-       round(list_max(probs), 6) AS confidence,
-       round(probs[2], 6) AS p_wear
+       'class ' || (list_position(probs, list_max(probs)) - 1) AS predicted_name,
+       round(list_max(probs), 6) AS confidence, round(probs[2], 6) AS p_second, round(probs[len(probs)], 6) AS p_last
 FROM q
 """)
 def embedding_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    """O2 arg-max class and confidence, F20 probability map access."""
+    """O2 arg-max class and confidence over the whole vector, F20 access to
+    single probabilities by name."""
     e = read_table(spark, sf, "embeddings")
-    a = F.transform(F.slice("embedding", 1, 3), lambda x: F.abs(x.cast("double")))
-    p = e.select("vec_id", "label", a.alias("a"))
-    p = p.select("vec_id", "label",
-                 F.transform("a", lambda x: x / (F.aggregate("a", F.lit(0.0), lambda s, y: s + y) + 1e-9))
-                  .alias("probs"))
-    classes = ["normal", "wear", "cavitation"]
+    p = e.select("vec_id", "label", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("a"))
+    total = F.aggregate("a", F.lit(0.0), lambda s, y: s + y)
+    p = p.select("vec_id", "label", F.transform("a", lambda x: x / (total + 1e-9)).alias("probs"))
     idx = X.arg_max("probs")
-    pm = X.probability_map("probs", classes)
-    return p.select("vec_id", "label", idx.alias("predicted"),
-                    F.element_at(F.array(*[F.lit(c) for c in classes]), idx + 1).alias("predicted_name"),
+    names = F.transform(F.sequence(F.lit(0), F.size("probs") - 1), lambda i: F.concat(F.lit("class "), i.cast("string")))
+    pm = X.probability_map("probs", names)
+    return p.select("vec_id", "label", idx.alias("predicted"), F.element_at(names, idx + 1).alias("predicted_name"),
                     rnd(F.array_max("probs"), 6).alias("confidence"),
-                    rnd(F.element_at(pm, F.lit("wear")), 6).alias("p_wear"))
+                    rnd(F.try_element_at(pm, F.lit("class 1")), 6).alias("p_second"),
+                    rnd(F.try_element_at(pm, F.concat(F.lit("class "), (F.size("probs") - 1).cast("string"))), 6).alias("p_last"))

@@ -11,7 +11,7 @@ from ..functions.expressions import rnd
 from ..operators import profile as A
 from ..operators import windows as W
 from ..operators.alerts import alert_records, cooldown_fired
-from ..operators.joins import asof_backward, asof_forward_strict, join_small, lookup, not_yet_alerted
+from ..operators.joins import align_signals, asof_backward, asof_forward_value, join_small, lookup, not_yet_alerted
 from ..operators.quality import fill_mean, sigma_band
 from ..sources.readers import read_table
 from .registry import query
@@ -114,16 +114,14 @@ WITH r AS ({EVENT_READINGS_SQL})
 SELECT a.device_id, a.seq, round(b.signal, 6) AS target_signal
 FROM r a LEFT JOIN LATERAL (
   SELECT signal FROM r b WHERE b.device_id = a.device_id AND b.ts > a.ts + INTERVAL 3600 SECOND
-  ORDER BY b.ts, b.seq LIMIT 1) b ON true
+    AND b.ts <= a.ts + INTERVAL 7200 SECOND ORDER BY b.ts, b.seq LIMIT 1) b ON true
 """)
 def look_ahead_target(spark: SparkSession, sf: str) -> DataFrame:
     """Training target = the reading of the same device at the first
-    time strictly more than the horizon (1 h here, 5 s for IGBT) later."""
-    df = _readings(spark, sf)
-    nxt = asof_forward_strict(df, KEYS, "ts", "seq", 3600.0)
-    tgt = df.select(F.col("seq").alias("next_id"), F.col("signal").alias("target_signal"))
-    return (nxt.join(tgt, "next_id", "left")
-               .select("device_id", "seq", rnd("target_signal", 6).alias("target_signal")))
+    time strictly more than the horizon (1 h here, 5 s for IGBT) later, if it
+    comes within the tolerance (another hour)."""
+    return asof_forward_value(_readings(spark, sf), KEYS, "ts", "seq", ["signal"], 3600.0, tolerance_seconds=3600.0).select(
+        "device_id", "seq", rnd("next_signal", 6).alias("target_signal"))
 
 
 # ------------------------------------------------------------------ stats back to rows
@@ -169,7 +167,7 @@ def state_risk_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("asof_last_view", """
 WITH p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'),
-v AS (SELECT user_id, ts AS view_ts, value AS view_value FROM events WHERE event_type = 'view')
+v AS (SELECT user_id, ts AS view_ts, max_by(value, event_id) AS view_value FROM events WHERE event_type = 'view' GROUP BY user_id, ts)
 SELECT p.user_id, p.event_id, v.view_ts AS asof_view_ts, round(v.view_value, 6) AS asof_view_value
 FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND v.view_ts <= p.ts
 """)
@@ -179,8 +177,8 @@ def asof_last_view(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events")
     p = e.filter(F.col("event_type") == "purchase").select("user_id", "ts", "event_id")
     v = e.filter(F.col("event_type") == "view").select(
-        "user_id", F.col("ts").alias("view_ts"), F.col("value").alias("view_value"))
-    j = asof_backward(p, v, ["user_id"], "ts", "view_ts", ["view_ts", "view_value"])
+        "user_id", F.col("ts").alias("view_ts"), F.col("value").alias("view_value"), F.col("event_id").alias("view_id"))
+    j = asof_backward(p, v, ["user_id"], "ts", "view_ts", ["view_ts", "view_value"], seq_left="event_id", seq_right="view_id")
     return j.select("user_id", "event_id", "asof_view_ts",
                     rnd("asof_view_value", 6).alias("asof_view_value"))
 
@@ -188,18 +186,19 @@ def asof_last_view(spark: SparkSession, sf: str) -> DataFrame:
 @query("hourly_aligned_signals", """
 WITH b AS (SELECT user_id, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, value FROM events),
 v AS (SELECT user_id, bucket, avg(value) AS view_avg FROM b WHERE event_type = 'view' GROUP BY ALL),
-c AS (SELECT user_id, bucket, avg(value) AS click_avg FROM b WHERE event_type = 'click' GROUP BY ALL)
-SELECT user_id, bucket, round(view_avg, 6) AS view_avg, round(click_avg, 6) AS click_avg
-FROM v JOIN c USING (user_id, bucket)
+c AS (SELECT user_id, bucket, avg(value) AS click_avg FROM b WHERE event_type = 'click' GROUP BY ALL),
+p AS (SELECT user_id, bucket, avg(value) AS purchase_avg FROM b WHERE event_type = 'purchase' GROUP BY ALL),
+j AS (SELECT user_id, bucket, view_avg, click_avg, purchase_avg FROM v FULL JOIN c USING (user_id, bucket) FULL JOIN p USING (user_id, bucket))
+SELECT user_id, bucket, round(view_avg, 6) AS view_avg, round(click_avg, 6) AS click_avg,
+       round(last_value(purchase_avg IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY bucket), 6) AS purchase_last
+FROM j
 """)
 def hourly_aligned_signals(spark: SparkSession, sf: str) -> DataFrame:
-    """J3 (resample-then-join): two sensors resampled to 1-hour buckets and
-    equi-joined on (device, bucket)."""
-    e = read_table(spark, sf, "events").withColumn("bucket", F.window("ts", "1 hour").start)
-    v = e.filter(F.col("event_type") == "view").groupBy("user_id", "bucket").agg(F.avg("value").alias("view_avg"))
-    c = e.filter(F.col("event_type") == "click").groupBy("user_id", "bucket").agg(F.avg("value").alias("click_avg"))
-    return v.join(c, ["user_id", "bucket"]).select(
-        "user_id", "bucket", rnd("view_avg", 6).alias("view_avg"), rnd("click_avg", 6).alias("click_avg"))
+    """Three sensors of different rates on one hourly grid per device;
+    buckets with one of them stay, the slow one is carried forward."""
+    out = align_signals(read_table(spark, sf, "events"), ["user_id"], "ts", "event_type", "value",
+                        {"view": "view_avg", "click": "click_avg", "purchase": "purchase_last"}, period="1 hour", carry=["purchase_last"])
+    return out.select("user_id", "bucket", *[rnd(c, 6).alias(c) for c in ("view_avg", "click_avg", "purchase_last")])
 
 
 # ------------------------------------------------------------------ alerting
