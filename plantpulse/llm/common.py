@@ -5,6 +5,7 @@ used inside tasks."""
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -72,8 +73,16 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+              schema: str, tokenizes: bool = False) -> DataFrame:
+    """``mapInArrow``. Python workers outlive their stages; one that turns to
+    work other than tokenizing lets go of its tokenizer's cache first."""
+    name = f"{__package__}.tokens"
+
+    def run(batches):
+        if not tokenizes and name in sys.modules:
+            sys.modules[name].forget()
+        yield from fn(batches)
+    return df.mapInArrow(run, schema)
 
 
 _SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")

@@ -117,7 +117,7 @@ def pack(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, end_
         rows = packer.close()
         if rows:
             yield batch(rows)
-    return arrow_map(docs, run, SCHEMA)
+    return arrow_map(docs, run, SCHEMA, tokenizes=True)
 
 
 @llm_query("op8_harmonic_packing")

@@ -15,7 +15,6 @@ import os
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
@@ -23,7 +22,7 @@ from .common import space_chunks
 
 #: Bytes of one cache generation (two are kept, so memory stays bounded), and
 #: what an entry takes besides its characters and ids.
-GENERATION, ENTRY = 112 << 20, 160
+GENERATION, ENTRY = 72 << 20, 160
 #: Characters looked up together.
 TOGETHER = 1 << 20
 
@@ -177,7 +176,17 @@ class ChunkTokenizer:
         return np.frombuffer(b"".join(out), "<u4"), sizes
 
 
-@lru_cache(maxsize=2)
+_TOKENIZERS: dict[tuple[str, bool], ChunkTokenizer] = {}
+
+
 def worker_tokenizer(path: str, leading_space: bool) -> ChunkTokenizer:
     """One per Python worker; the file lies with the workers' Python."""
-    return ChunkTokenizer(path, leading_space)
+    if (path, leading_space) not in _TOKENIZERS:
+        forget()  # of the other vocabulary
+        _TOKENIZERS[path, leading_space] = ChunkTokenizer(path, leading_space)
+    return _TOKENIZERS[path, leading_space]
+
+
+def forget() -> None:
+    """Drop this worker's tokenizers and their caches."""
+    _TOKENIZERS.clear()
