@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's documents. All stages but the last
 return the columns they were given; the last returns packed pieces.
+
+NULL and empty texts are documents like others: the classifier scores them, they
+are near duplicates of nothing, hold no personal data and are packed as one end
+id. Rows that repeat an id are decided one by one; of equal rows one stays. An
+empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -14,6 +19,10 @@ from plantpulse.llm import neardup, packing, pii, quality
 from plantpulse.llm.common import held_out, prepare, scratch, table, texts
 
 
+#: Cache of the packing stage: its executors' heaps are full of the stages before.
+PACKING_CACHE = 20 << 20
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.3; the classifier learns
     from the labelled folds that the quality query learns from."""
@@ -36,7 +45,7 @@ def private_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 ids, with the ids."""
     prepare(spark)
-    return packing.pack(texts(docs), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(texts(docs), public_tokenizers.path("word_bpe_49k.json"), cache_bytes=PACKING_CACHE)
 
 
 STAGES = [

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, llm_query, table, texts
-from .tokens import worker_tokenizer
+from .tokens import GENERATION, worker_tokenizer
 
 CAPACITY = 2048
 END_ID = 1
@@ -96,9 +96,10 @@ class HarmonicPacker:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, end_id: int = END_ID,
-         capacity: int = CAPACITY) -> DataFrame:
+         capacity: int = CAPACITY, cache_bytes: int = GENERATION) -> DataFrame:
     """Pieces of (doc_id, text), with their ids as little-endian 32-bit bytes.
-    ``sequence_id`` is unique: the task's number above its bin counter."""
+    ``sequence_id`` is unique: the task's number above its bin counter. A Python
+    worker keeps two cache generations of ``cache_bytes``; less costs time only."""
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         doc, start, ids, n, seq, off = zip(*rows)
         return pa.RecordBatch.from_arrays(
@@ -107,7 +108,7 @@ def pack(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, end_
             names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     def run(batches):
-        tok = worker_tokenizer(tokenizer_path, leading_space)
+        tok = worker_tokenizer(tokenizer_path, leading_space, cache_bytes)
         packer = HarmonicPacker(capacity, TaskContext.get().partitionId() << 33)
         for b in batches:
             flat, sizes = tok.encode_batch([t or "" for t in b.column("text").to_pylist()], end_id)

@@ -40,7 +40,8 @@ class ChunkTokenizer:
     words (byte-level); otherwise white space is dropped and letters are
     lower-cased by the tokenizer itself."""
 
-    def __init__(self, path: str, leading_space: bool):
+    def __init__(self, path: str, leading_space: bool, cache_bytes: int = GENERATION):
+        self.cache_bytes = cache_bytes
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -121,7 +122,7 @@ class ChunkTokenizer:
                 self.held += len(c) + len(ids_of[c]) + ENTRY
         for i in lack:
             got[i] = ids_of[chunks[i]]
-        if self.held >= GENERATION:
+        if self.held >= self.cache_bytes:
             self.old, self.new, self.held = new, {}, 0
 
     def encode_batch(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,15 +177,16 @@ class ChunkTokenizer:
         return np.frombuffer(b"".join(out), "<u4"), sizes
 
 
-_TOKENIZERS: dict[tuple[str, bool], ChunkTokenizer] = {}
+_TOKENIZERS: dict[tuple, ChunkTokenizer] = {}
 
 
-def worker_tokenizer(path: str, leading_space: bool) -> ChunkTokenizer:
+def worker_tokenizer(path: str, leading_space: bool, cache_bytes: int = GENERATION) -> ChunkTokenizer:
     """One per Python worker; the file lies with the workers' Python."""
-    if (path, leading_space) not in _TOKENIZERS:
+    key = (path, leading_space, cache_bytes)
+    if key not in _TOKENIZERS:
         forget()  # of the other vocabulary
-        _TOKENIZERS[path, leading_space] = ChunkTokenizer(path, leading_space)
-    return _TOKENIZERS[path, leading_space]
+        _TOKENIZERS[key] = ChunkTokenizer(*key)
+    return _TOKENIZERS[key]
 
 
 def forget() -> None:
