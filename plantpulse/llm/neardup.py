@@ -43,8 +43,8 @@ TREES, DEPTH = 12, 8
 SMALL, NEAR = 8, 2
 #: Rows of one region looked at together, and signatures compared at once.
 CHUNK, BLOCK = 4096, 1 << 18
-#: Bytes of full sets in one part of a region.
-UNIT_BYTES = 24 << 20
+#: Rows, and bytes of full sets, in one part of a dense region.
+UNIT_ROWS, UNIT_BYTES = 1024, 24 << 20
 #: Confirmed are candidates whose signatures agree in at least the asked
 #: similarity less five standard deviations of the estimate.
 DEVIATIONS = 5.0
@@ -310,7 +310,7 @@ def joining_links(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], x:
 UNIT = ["tree", "at", "i", "j"]
 
 
-def dense_units(rows: DataFrame, large: DataFrame, chunk: int = CHUNK, set_bytes: int = UNIT_BYTES) -> DataFrame:
+def dense_units(rows: DataFrame, large: DataFrame, chunk: int = UNIT_ROWS, set_bytes: int = UNIT_BYTES) -> DataFrame:
     """(tree, at, i, j, side, rep, comp, n, sig): rows of (rep, comp, n, sig)
     that share the first two values of a tree in one of the ``large`` regions
     with another component. A region of more than ``chunk`` rows or
