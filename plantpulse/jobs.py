@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .functions import features as X
 from .functions import rules as R
@@ -27,7 +28,9 @@ from .functions.encoding import decode_label, encode_label
 from .operators import metrics as M
 from .operators import models as ML
 from .operators import split as S
-from .operators.quality import DEDUP, QualityRules, in_range, not_null, one_of, positive, predicate
+from .operators.quality import (DEDUP, QualityRules, check_contract, in_range, not_null, one_of, positive,
+                                predicate)
+from .operators.windows import lagged_window_features, rolling_std
 from .sources import schemas as SC
 from .sources.readers import apply_aliases, nan_to_null
 
@@ -117,6 +120,13 @@ class JobSpec:
     stratified: bool = False                   # M2 instead of M1
     test_fraction: float = 0.2
     raw: list[str] = field(default_factory=list)   # inputs a caller must provide
+    derived_from: dict[str, list[str]] = field(default_factory=dict)  # inputs that others can stand for
+    impute: bool = False                       # missing features take their training means (P14)
+    # the raw training table (``training_table``)
+    history: T.StructType | None = None        # its columns (P19)
+    history_rules: Callable[[], QualityRules] | None = None   # cleaning before windows
+    windows: Callable[[DataFrame, list[str], list[str]], DataFrame] | None = None
+    labels: dict[str, str] = field(default_factory=dict)      # its label column -> target
 
 
 def _pump_rules() -> QualityRules:
@@ -144,6 +154,27 @@ def _inverter_rules() -> QualityRules:
                          in_range("label_thermal", 0.0, 1.0, "thermal_range")])
 
 
+def _inverter_history_rules() -> QualityRules:
+    # Inverter cleaning ranges, all applied before the windows.
+    return QualityRules([not_null(*SC.INVERTER_RAW.names), DEDUP,
+                         in_range("load_factor", 0.0, 1.0, "load_range"),
+                         in_range("temperature", -50.0, 150.0, "temperature_range"),
+                         in_range("ripple", 0.0, 50.0, "ripple_range"),
+                         in_range("label_life", 0.0, 100.0, "life_range"),
+                         in_range("label_thermal", 0.0, 1.0, "thermal_range")])
+
+
+def _inverter_windows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Features of the 20 readings before, labels of the current one."""
+    return lagged_window_features(df, keys, order, ripple="ripple", temperature="temperature", load="load_factor")
+
+
+def _belt_windows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Current swing, the sample deviation of the last five currents (NULL
+    for a first reading; the job fills it with the mean)."""
+    return rolling_std(df, keys, order, "current", "current_std", size=5, ddof=1, min_n=1)
+
+
 JOBS: dict[str, JobSpec] = {
     "temperature": JobSpec("temperature", SC.FEATURES["temperature"], ["target"],
                            lambda: ML.boosted_regressor(200, 5, 0.1, 5), poly_degree=2,
@@ -153,23 +184,29 @@ JOBS: dict[str, JobSpec] = {
                                   raw=SC.FEATURES["simple_temperature"]),
     "pump": JobSpec("pump", SC.FEATURES["pump"], ["label"], lambda: ML.forest_classifier(100, 30, 42),
                     classes=SC.PUMP_CLASSES, rules=_pump_rules, derive=_pump_derive, status=_pump_status,
-                    stratified=True, raw=["flow", "head", "power", "vibration"]),
+                    stratified=True, raw=["flow", "head", "power", "vibration"], history=SC.PUMP_TRAIN),
     "leak": JobSpec("leak", SC.FEATURES["leak"], ["label"], lambda: ML.forest_classifier(100, 10, 42),
                     classes=SC.LEAK_CLASSES, rules=_leak_rules, derive=_leak_derive, status=_leak_status,
-                    weighted=True, stratified=True, test_fraction=0.2, raw=["pressure", "supply_flow", "demand_flow"]),
+                    weighted=True, stratified=True, test_fraction=0.2, raw=["pressure", "supply_flow", "demand_flow"],
+                    history=SC.LEAK_TRAIN),
     "shearer": JobSpec("shearer", SC.FEATURES["shearer"], ["label"], lambda: ML.forest_classifier(100, 10, 42),
-                       classes=SC.BINARY_CLASSES, status=_shearer_status, raw=SC.FEATURES["shearer"]),
+                       classes=SC.BINARY_CLASSES, status=_shearer_status, raw=SC.FEATURES["shearer"],
+                       history=SC.SHEARER, labels={"fault": "label"}),
     "belt_fault": JobSpec("belt_fault", SC.FEATURES["belt_fault"], ["label"],
                           lambda: ML.forest_classifier(200, 8, 42), classes=SC.BINARY_CLASSES,
-                          derive=_belt_derive, status=_belt_status, raw=SC.FEATURES["belt_fault"]),
+                          derive=_belt_derive, status=_belt_status, raw=SC.FEATURES["belt_fault"],
+                          derived_from={"speed_diff": ["speed_head", "speed_tail"]}, impute=True,
+                          history=SC.BELT_FAULT_RAW, windows=_belt_windows, labels={"fault": "label"}),
     "belt_slip": JobSpec("belt_slip", SC.FEATURES["belt_slip"], ["label"], lambda: ML.forest_classifier(100, 8, 42),
                          classes=SC.BINARY_CLASSES, scale=False, status=_slip_status,
-                         raw=SC.FEATURES["belt_slip"]),
+                         raw=SC.FEATURES["belt_slip"], history=SC.BELT_SLIP),
     "inverter": JobSpec("inverter", SC.FEATURES["inverter"], ["label_life", "label_thermal"],
                         lambda: ML.forest_regressor(100, 10, 42, subset="all"), rules=_inverter_rules,
-                        scale=False, status=_inverter_status, raw=SC.FEATURES["inverter"]),
+                        scale=False, status=_inverter_status, raw=SC.FEATURES["inverter"], history=SC.INVERTER_RAW,
+                        history_rules=_inverter_history_rules, windows=_inverter_windows),
     "igbt": JobSpec("igbt", SC.FEATURES["igbt"], ["target"], lambda: ML.forest_regressor(100, 10, 42),
-                    status=_igbt_status, raw=SC.FEATURES["igbt"]),
+                    status=_igbt_status, raw=SC.FEATURES["igbt"], history=SC.IGBT_TRAIN,
+                    labels={"target_temp": "target"}),
 }
 
 
@@ -184,13 +221,41 @@ def prepare(spec: JobSpec, df: DataFrame) -> DataFrame:
     """Contract + cleaning-free preparation shared by train and score:
     aliases, NaN -> NULL, derived features, float inputs."""
     df = nan_to_null(apply_aliases(df))
-    missing = [c for c in spec.raw if c not in df.columns]
+    inputs = [x for c in spec.raw for x in ([c] if c in df.columns else spec.derived_from.get(c, [c]))]
+    missing = [c for c in inputs if c not in df.columns]
     if missing:
         raise ValueError(f"{spec.name}: input is missing {missing}")
-    df = df.withColumns({c: F.col(c).cast("double") for c in spec.raw})
+    df = df.withColumns({c: F.col(c).cast("double") for c in inputs})
     return spec.derive(df)
 
 
+def training_table(spec: JobSpec, history: DataFrame, *, keys: Sequence[str] = (),
+                   order: Sequence[str] = ()) -> DataFrame:
+    """The job's training table from its raw history: contract (P19), cleaning
+    (P11), windowed features (W1, W3), label under the target's name. ``keys``
+    name the device (none: one device), ``order`` its readings' order; a job
+    with windows needs an order, as rows of a table have none."""
+    if spec.history is None:
+        raise ValueError(f"{spec.name} has no raw history")
+    if spec.windows is not None and not order:
+        raise ValueError(f"{spec.name} takes windows over readings: name the columns that order them")
+    contract = T.StructType([T.StructField(SC.ALIASES.get(f.name, f.name), f.dataType) for f in spec.history])
+    df = nan_to_null(apply_aliases(history))
+    own = [df.schema[c] for c in dict.fromkeys([*keys, *order]) if c not in contract.names]
+    df = check_contract(df, T.StructType([*contract, *own]))
+    if spec.history_rules is not None:
+        df, _ = spec.history_rules().apply(df)
+    if spec.windows is not None:
+        df = spec.windows(df, list(keys), list(order))
+    return df.withColumnsRenamed(spec.labels)
+
+
+def train_history(spec: JobSpec, history: DataFrame, *, keys: Sequence[str] = (), order: Sequence[str] = (),
+                  key: Sequence[str] | None = None) -> FittedJob:
+    """``train`` on the raw history."""
+    return train(spec, training_table(spec, history, keys=keys, order=order), key=key)
+
+
 def train(spec: JobSpec, df: DataFrame, *, key: Sequence[str] | None = None) -> FittedJob:
     """Clean, split by key hash, fit one pipeline per target and report
     hold-out metrics (A12 for classifiers, A13 for regressors)."""
@@ -214,7 +279,8 @@ def train(spec: JobSpec, df: DataFrame, *, key: Sequence[str] | None = None) ->
         est = spec.model()
         if weight:
             est.setWeightCol(weight)
-        pipe = ML.pipeline(spec.features, est, scale=spec.scale, poly_degree=spec.poly_degree, label=t)
+        pipe = ML.pipeline(spec.features, est, scale=spec.scale, poly_degree=spec.poly_degree, label=t,
+                           impute=spec.impute)
         models[t] = ML.fit(pipe, train_df)
         scored = models[t].transform(test_df)
         if spec.classes:
@@ -241,7 +307,7 @@ def score(job: FittedJob, df: DataFrame) -> DataFrame:
     else:
         for t in spec.targets:
             out = job.models[t].transform(out).withColumnRenamed("prediction", f"pred_{t}")
-            out = out.drop(*[c for c in ("_raw", "_scaled", "_poly") if c in out.columns])
+            out = out.drop(*[c for c in out.columns if c in ("_raw", "_scaled", "_poly") or c.startswith("_fill_")])
     return spec.status(out)
 
 
@@ -255,8 +321,6 @@ def inverter_training_table(raw: DataFrame, *, device: str = "device_id", ts: st
     """The inverter job's training table from raw readings
     (load_factor, temperature, ripple, label_life, label_thermal): W1 window
     features over the ``size`` previous readings, labels of the current one."""
-    from .operators.windows import lagged_window_features
-
     raw = nan_to_null(raw)
     if device not in raw.columns:
         raw = raw.withColumn(device, F.lit(0))

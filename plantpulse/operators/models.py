@@ -17,7 +17,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -33,9 +33,15 @@ BOOST_TUNING = {"maxMemoryInMB": 1024}
 
 
 def pipeline(features: Sequence[str], model, *, scale: bool = True, poly_degree: int | None = None,
-             label: str = "label") -> Pipeline:
-    """Assembler -> (scaler) -> (polynomial expansion) -> model."""
-    stages = [VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="error")]
+             label: str = "label", impute: bool = False) -> Pipeline:
+    """(mean fill) -> assembler -> (scaler) -> (polynomial expansion) ->
+    model. ``impute`` (P14) keeps the training means in the fitted pipeline and
+    fills missing features with them when it scores."""
+    stages, inputs = [], list(features)
+    if impute:
+        inputs = [f"_fill_{f}" for f in features]
+        stages.append(Imputer(strategy="mean", inputCols=list(features), outputCols=inputs))
+    stages.append(VectorAssembler(inputCols=inputs, outputCol="_raw", handleInvalid="error"))
     cur = "_raw"
     if scale:
         stages.append(StandardScaler(inputCol=cur, outputCol="_scaled", withMean=True, withStd=True))
@@ -117,7 +123,8 @@ def scored(model: PipelineModel, df: DataFrame, *, classes: Sequence[str] | None
         if classes:
             names = F.array(*[F.lit(c) for c in classes])
             out = out.withColumn("predicted_class", F.element_at(names, F.col("prediction").cast("int") + 1))
-    drop = [c for c in ("_raw", "_scaled", "_poly", "rawPrediction", "probability") if c in out.columns]
+    drop = [c for c in out.columns if c in ("_raw", "_scaled", "_poly", "rawPrediction", "probability")
+            or c.startswith("_fill_")]
     return out.drop(*drop)
 
 

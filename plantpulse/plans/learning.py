@@ -7,18 +7,21 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as X
 from ..functions import rules as R
 from ..functions.expressions import rnd
+from ..operators import ensembles as EN
 from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import split as S
 from ..operators.joins import join_small, reconcile
 from ..operators.windows import micros_of
 from ..session import scratch_path
+from ..sources.model_registry import ModelRegistry
 from ..sources.readers import read_table
 from ..sources.schemas import FEATURES, LEAK_CLASSES, PUMP_CLASSES
 from ..sources.sinks import load_model, save_model
@@ -146,20 +149,28 @@ def pump_scored_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("predicted_class", "risk", "advice", "alert").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Grid of the pump search: a part of the reference's values (README, known limits).
-PUMP_GRID = {"numTrees": [50, 100], "maxDepth": [5, 10], "minInstancesPerNode": [1, 2]}
+# The forests' search grid. No limit on the depth is MLlib's
+# largest, 30; MLlib has no least number of rows to split a node (2, 5, 10).
+FOREST_GRID = {"numTrees": [50, 100, 200], "maxDepth": [8, 10, 12, 30], "minInstancesPerNode": [1, 2, 4]}
+
+#: The points of it that the queries search (run times: README, known limits).
+QUERY_GRID = {"numTrees": [50, 100], "maxDepth": [8, 10], "minInstancesPerNode": [1, 2]}
+
+
+def _grid_rows(res: DataFrame) -> DataFrame:
+    return res.select("point", "params", rnd("metric", 6).alias("metric"),
+                      rnd("metric_std", 6).alias("metric_std"), "best")
 
 
 @query("pump_grid_search")
 def pump_grid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """M11 + M12 + O4: 5-fold CV (hash folds) over a small grid, weighted
+    """M11 + M12 + O4: 5-fold CV (hash folds) over a part of the grid, weighted
     F1; the best point is flagged."""
     d = S.fold_id(_pump(spark, sf).filter(~F.col("is_test")), ["flow", "head", "power", "vibration"], 5)
     rf = ML.forest_classifier(100, 10, 42)
     pipe = ML.pipeline(FEATURES["pump"], rf)
-    grid = ML.param_grid(rf, **PUMP_GRID)
-    _, res = ML.cross_validate(pipe, grid, ML.weighted_f1(), d, parallelism=4)
-    return res.select("point", "params", rnd("metric", 6).alias("metric"), rnd("metric_std", 6).alias("metric_std"), "best")
+    _, res = ML.cross_validate(pipe, ML.param_grid(rf, **QUERY_GRID), ML.weighted_f1(), d, parallelism=4)
+    return _grid_rows(res)
 
 
 @query("pump_boosted_ovr")
@@ -283,6 +294,24 @@ def inverter_two_output_forest(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("target", "n", *[rnd(c, 6).alias(c) for c in ["r2", "mse", "mae", "rmse", "thermal_accuracy"]])
 
 
+def life_search(d: DataFrame, features, targets, life: str, grid: dict, *, parallelism: int = 8):
+    """M7 + M11 + M12: one forest per target with shared parameters, searched by
+    the error of the life target alone."""
+    rf = ML.forest_regressor(100, 10, 42, subset="all").setFeaturesCol("_raw")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_raw"),
+                            EN.MultiTarget(rf, targets)])
+    return ML.cross_validate(pipe, ML.param_grid(rf, **grid), EN.TargetMAE(life), d, parallelism=parallelism)
+
+
+@query("inverter_life_search")
+def inverter_life_search(spark: SparkSession, sf: str) -> DataFrame:
+    """M12 + O4: 5-fold CV of the two-output forest over a part of the grid, by the
+    mean absolute error of the life; the best point is flagged."""
+    d = S.fold_id(health_windows(spark, sf), ["device_id", "ts", "seq"], 5)
+    _, res = life_search(d, FEATURES["inverter"], ["life_pct", "thermal_risk"], "life_pct", QUERY_GRID)
+    return _grid_rows(res)
+
+
 # ------------------------------------------------------------------ belt (soft voting)
 
 @query("belt_soft_voting")
@@ -302,12 +331,10 @@ def belt_soft_voting(spark: SparkSession, sf: str) -> DataFrame:
                "gbt": GBTClassifier(maxIter=200, maxDepth=8, seed=42),
                "lr": ML.logistic(50)}
     test = d.filter(F.col("is_test"))
-    tables = []
-    for name, est in members.items():
-        pipe = ML.pipeline(feats, est, scale=True)
-        model = _cached(f"belt_{name}", sf, lambda p=pipe: ML.fit(p, d.filter(~F.col("is_test"))))
-        tables.append(ML.scored(model, test))
-    vote = ML.soft_vote(tables, LINE_KEY, "label")
+    fitted = [_cached(f"belt_{name}", sf, lambda e=est: ML.fit(ML.pipeline(feats, e, scale=True),
+                                                               d.filter(~F.col("is_test"))))
+              for name, est in members.items()]
+    vote = EN.VotingModel(fitted).transform(test)
     return _report(vote, "label", [0.0, 1.0])
 
 
@@ -356,21 +383,19 @@ def retrain_gate(spark: SparkSession, sf: str) -> DataFrame:
     pipe = lambda: ML.pipeline(FEATURES["shearer"], ML.forest_classifier(100, 10, 42))
     current = _cached("gate_current", sf, lambda: ML.fit(pipe(), d.filter(older & ~F.col("is_test"))))
     candidate = _cached("gate_candidate", sf, lambda: ML.fit(pipe(), d.filter(~F.col("is_test"))))
-    path = scratch_path(spark, "model-accepted")
-    verdict = retrain_decision(current, candidate, d.filter(latest & F.col("is_test")), [0.0, 1.0], path)
+    registry = ModelRegistry(spark, scratch_path(spark, "models"))
+    registry.publish(current)
+    verdict = retrain_decision(registry, candidate, d.filter(latest & F.col("is_test")), [0.0, 1.0])
     return spark.createDataFrame([verdict], "f1_current double, f1_candidate double, accept boolean")
 
 
-def retrain_decision(current, candidate, recent_hold_out: DataFrame, classes, path: str) -> tuple[float, float, bool]:
-    """Macro F1 of both models on the recent hold-out; the candidate is
-    saved to ``path`` when it is no worse."""
+def retrain_decision(registry: ModelRegistry, candidate, recent_hold_out: DataFrame, classes):
+    """Macro F1 of the registry's current model and of the candidate on the
+    recent hold-out; the candidate becomes the current model when it is no worse."""
     def macro_f1(model):
         rep = M.classification_report(model.transform(recent_hold_out), "label", "prediction", classes)
-        return rep.filter(F.col("row") == "macro avg").first()["f1"]
-    f_cur, f_new = round(macro_f1(current), 6), round(macro_f1(candidate), 6)
-    if f_new >= f_cur:
-        save_model(candidate, path)
-    return f_cur, f_new, f_new >= f_cur
+        return round(rep.filter(F.col("row") == "macro avg").first()["f1"], 6)
+    return registry.challenge(candidate, macro_f1)
 
 
 # ------------------------------------------------------------------ closed-form per-device fits

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .manifests import Manifests
+
 
 class AlertStore:
     """The table under ``path``. ``keys`` and the types of their columns are
@@ -28,32 +30,17 @@ class AlertStore:
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64):
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
+        self.manifests = Manifests(spark, path)
 
     # ---- versions
 
-    def _fs(self, path: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), at
-
     def manifest(self) -> dict:
         """The newest committed version: its number, the last batch id, the
         schema, and the folder of every bucket that has rows."""
-        fs, at = self._fs(f"{self.path}/manifests")
-        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        versions = [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
-        if not versions:
-            return {"version": 0, "batch": -1, "schema": None, "folders": {}}
-        text = self.spark.read.text(f"{self.path}/manifests/{max(versions):012d}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        return self.manifests.newest() or {"version": 0, "batch": -1, "schema": None, "folders": {}}
 
     def _commit(self, manifest: dict) -> None:
-        fs, target = self._fs(f"{self.path}/manifests/{manifest['version']:012d}.json")
-        _, draft = self._fs(f"{self.path}/manifests/.{manifest['version']:012d}.draft")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if not fs.rename(draft, target):
-            raise RuntimeError(f"version {manifest['version']} of {self.path} was committed by another writer")
+        self.manifests.commit(manifest)
 
     # ---- rows
 
