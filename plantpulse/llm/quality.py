@@ -9,7 +9,8 @@ id), with quantile-binned features; every tree is then flattened into
 by level.
 
 Defined cases: NULL and empty texts have all-zero statistics and are scored
-like any other; repeated ids are scored once per row; label rows with NULL
+like any other; repeated ids are scored once per row and learned from once (the
+row with the smallest statistics, the smallest label); label rows with NULL
 quality or id are not used; with no usable label, or labels of one class
 only, every score is the smoothed label share (0.5 without labels).
 """
@@ -29,7 +30,7 @@ FEATURES = ["log_bytes", "log_words", "log_lines", "word_bytes", "upper", "lower
             "stop", "exclaim", "symbol", "other_punct", "non_ascii", "distinct_words", "repeat_next",
             "top_word", "distinct_lines", "symbol_words", "upper_words", "line_bytes"]
 
-#: Most labelled rows used for one fit; more are thinned by the hash of the id.
+#: Most labelled ids used for one fit; more are thinned by the hash of the id.
 MAX_TRAIN_ROWS = 20_000
 THRESHOLD = 0.3
 
@@ -197,20 +198,22 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, ra
 
 
 def training_sample(labels: DataFrame, usable, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
-    """(label_id, y): at most ``max_train_rows`` labelled rows, smallest hash of
-    the id first (ties by id and label)."""
+    """(label_id, y): at most ``max_train_rows`` labelled ids, smallest hash of
+    the id first (ties by id); an id labelled more than once takes its smallest
+    label."""
     return (labels.where(usable & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-            .select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("double").alias("y"))
-            .orderBy(F.xxhash64("label_id"), "label_id", "y").limit(max_train_rows))
+            .groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.col("quality").cast("double")).alias("y"))
+            .orderBy(F.xxhash64("label_id"), "label_id").limit(max_train_rows))
 
 
 def train(stats: DataFrame, labels: DataFrame, usable, max_train_rows: int = MAX_TRAIN_ROWS) -> FlatTrees:
-    """Fit on the training sample's documents."""
+    """Fit on the training sample's documents, one row an id: of rows that repeat
+    an id the one with the smallest statistics."""
     sample = training_sample(labels, usable, max_train_rows)
-    # the sample holds max_train_rows rows of two numbers at most
+    # the sample holds max_train_rows rows of two numbers at most, and so does what is fetched
     got = (stats.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-           .select("doc_id", "y", "f").limit(4 * max_train_rows).toArrow())
-    order = np.lexsort((got.column("y").to_numpy(), got.column("doc_id").to_numpy()))
+           .groupBy("doc_id", "y").agg(F.min("f").alias("f")).toArrow())
+    order = np.argsort(got.column("doc_id").to_numpy())
     x = got.column("f").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
     return fit_trees(x[order], got.column("y").to_numpy()[order])
 
