@@ -3,9 +3,10 @@
 Base recognisers find e-mail addresses, IP addresses, card numbers (Luhn) and
 phone numbers. These seeds induce lexical patterns: the two words before, the
 word before with the word after, and the word before alone, each together with
-the entity's shape (digit runs as 9, letter runs as a). Identifier-like words
-outside the seeds (with a digit or an @), and whole runs of neighbouring words of
-digits and phone or card punctuation, match the same patterns and make a
+the entity's whole shape (digit runs as 9, letter runs as a). Identifier-like
+words of any length outside the seeds (with a digit or an @), and whole runs of
+neighbouring words of digits and phone or card punctuation, match the same
+patterns and make a
 bipartite pattern-instance graph, which Spark scores for a fixed number of
 rounds: a pattern is as sure as the mean score of its distinct instances, an
 instance as sure as its patterns together. Instances above the threshold that
@@ -48,6 +49,8 @@ WORD = re.compile(r"\S++")
 TRIM = "\"'()[]{}<>,.;:!?="
 DIGITS = re.compile(r"[0-9]+")
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Values shorter than this are instances together with the word before.
+SHORT = 5
 #: A part of an identifier written in groups, and what its ends lose.
 PART = re.compile(r"[0-9+(][0-9().+/-]*+")
 EDGES = "\"'[]{}<>,;:!?="
@@ -95,7 +98,7 @@ def _signed(value: str) -> int:
 
 
 def _shape(value: str) -> str:
-    return LETTERS.sub("a", DIGITS.sub("9", value))[:48]
+    return LETTERS.sub("a", DIGITS.sub("9", value))
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
@@ -107,14 +110,15 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     out = []
 
     def word(i: int) -> str:
-        return text[spans[i][0]:spans[i][1]].strip(TRIM).lower()[:64] if 0 <= i < len(spans) else ""
+        return text[spans[i][0]:spans[i][1]].strip(TRIM).lower() if 0 <= i < len(spans) else ""
 
     def add(start: int, end: int, kind: int) -> None:
         lo, hi = bisect_right(ends, start), bisect_left(starts, end)
         value = text[start:end]
         shape, l1, l2, r1 = _shape(value), word(lo - 1), word(lo - 2), word(hi)
         keys = (f"ll|{l2}|{l1}|{shape}", f"lr|{l1}|{r1}|{shape}", f"l|{l1}|{shape}")
-        out.append({"start": start, "end": end, "kind": kind, "value": _signed(value.lower()),
+        own = value.lower() if len(value) >= SHORT else f"{l1} {value.lower()}"
+        out.append({"start": start, "end": end, "kind": kind, "value": _signed(own),
                     "patterns": [_signed(k) for k in keys]})
 
     for start, kind, end in base:
@@ -155,7 +159,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
         else:
             close()
         core = raw.strip(TRIM)
-        if len(core) >= 5:
+        if core:
             start = a + raw.index(core)
             add(start, start + len(core), -1)
     close()

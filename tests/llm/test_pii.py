@@ -98,7 +98,7 @@ def test_identifiers_written_in_groups_are_found_and_masked(spark):
     docs = corpus() + [f"paid by card 4000 0000 {1000 + i // 10} {i:04d} today" for i in range(400)]
     docs += ["see 12 34 boxes, 5 of them"]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    rows = pii.with_spans(df).collect()
+    rows = pii.with_spans(df).orderBy("doc_id").collect()  # the last row is the last document
     phones = [r for r in rows if ") 55-1" in r.text]
     assert len(phones) == 3
     for r in phones:
@@ -135,6 +135,39 @@ def test_unseen_identifiers_are_found_and_plain_numbers_left(spark):
     assert not year.spans
 
 
+def test_short_identifiers_are_found_behind_their_words_only(spark):
+    docs = [f"reach the desk of a{i}@b{i}.org now" for i in range(40)] + ["reach the desk of a@b now", "see a@b there"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    # the seeds' shape is a9@a9.a; plain a@b has another one and is left alone
+    assert not any(r.spans for r in pii.with_spans(df).collect() if r.doc_id >= 40)
+    docs = [f"reach the desk of {a}@{b}.uk now" for a in "abcdefgh" for b in "xyz"] + [
+        "reach the desk of é@x.c now", "reach the desk of q@.u now", "reach the desk of q@.u.", "we saw q@.u there"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.with_spans(df).collect()}
+    assert pii._shape("é@x.c") == pii._shape("a@x.uk") != pii._shape("q@.u")
+    assert got[24] == [(18, 0, 23)] and not got[25] and not got[27]
+    docs[25:] = ["reach the desk of ß@ü.c now", "reach the desk of 1 now", "we saw 1 there"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.with_spans(df).collect()}
+    assert got[25] == [(18, 0, 23)] and not got[26] and not got[27]
+    four = [f"code 10.{i}.3.4 today" for i in range(40)] + ["code 1.2 today", "code 1.2.3.999 today", "code 9.9.9.999x"]
+    df = spark.createDataFrame(list(enumerate(four)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in pii.with_spans(df).collect()}
+    assert got[41] == [(5, 1, 14)] and not got[40]
+
+
+def test_a_short_value_of_a_sure_pattern():
+    """Four characters of the seeds' shape, by their own word and nowhere else."""
+    (one,), (two,), (three,) = [[i for i in pii.instances(t, []) if i["start"] == t.index("4")]
+                                for t in ("room 4111 free", "gate 4111 free", "room 4111 shut")]
+    assert one["value"] == three["value"] != two["value"] and len(one["patterns"]) == 3
+    long = "x1" * 200
+    a, b = (pii.instances(f"room {long}{end}", [])[0]["patterns"][2] for end in ("", "-"))
+    assert a != b  # whole shapes, whole words
+    a, b = (pii.instances(f"{'w' * 100}{end} 41115", [])[0]["patterns"][2] for end in "ab")
+    assert a != b
+
+
 def test_odd_documents_and_masking(spark, odd_docs, no_docs):
     got = pii.with_spans(texts(odd_docs), keep_text=False).collect()
     want = sorted(slow(r.text or "") for r in odd_docs.collect())
