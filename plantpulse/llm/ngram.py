@@ -22,6 +22,9 @@ tasks map the files into memory and look up the distinct n-grams of a batch in
 sorted order. Only one row per file reaches the driver. On a file system that
 can't be mapped the file is read instead.
 
+Counts have 64 bits. A node's key is parent x (words + 1) + word in 63 bits; a
+level whose keys would pass that is refused with an error before it is counted.
+
 Defined cases: NULL text is empty, which is the end token alone; unknown words
 get the unigram mass of unseen words and are no context; without training texts
 all scores are those of an empty model; rows with equal ids are scored each.
@@ -115,16 +118,26 @@ def quantised(p: np.ndarray) -> np.ndarray:
 _PROB = 10 ** (-np.arange(65536) * LOG_STEP)
 
 
+def count_bytes(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each, or in 8 where one of them needs more."""
+    return counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<u8").tobytes()
+
+
+def stored_counts(raw, n: int) -> np.ndarray:
+    """``n`` counts written by ``count_bytes``, read in place."""
+    return np.frombuffer(raw, "<u8" if len(raw) == 8 * n else "<u4", n)
+
+
 class Words:
     """A range of the vocabulary: hashes and counts."""
 
     def __init__(self, buffer):
         self.keys = EliasFano(buffer)
-        self.counts = np.frombuffer(buffer, "<u4", self.keys.n, self.keys.end)
+        self.counts = stored_counts(memoryview(buffer)[self.keys.end:], self.keys.n)
 
     @staticmethod
     def build(keys, counts, universe: int) -> bytes:
-        return EliasFano.encode(keys, universe) + np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes()
+        return EliasFano.encode(keys, universe) + count_bytes(counts)
 
 
 class Children:
@@ -281,7 +294,7 @@ def _blocks(part: np.ndarray, keys: np.ndarray, counts: np.ndarray, floors, univ
     """One block per range: (range, keys, counts)."""
     edge = np.searchsorted(part, np.arange(len(floors) + 1))
     rows = [(r, EliasFano.encode(keys[edge[r]:edge[r + 1]] - np.uint64(floors[r]), universes[r]),
-             counts[edge[r]:edge[r + 1]].astype("<u4").tobytes()) for r in np.flatnonzero(edge[1:] > edge[:-1]).tolist()]
+             count_bytes(counts[edge[r]:edge[r + 1]])) for r in np.flatnonzero(edge[1:] > edge[:-1]).tolist()]
     for lo in range(0, len(rows), 16):
         r, k, c = zip(*rows[lo:lo + 16])
         yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())],
@@ -296,6 +309,8 @@ def add_level(trie: Trie, train: DataFrame, folder: str) -> None:
         floors = [hash_floor(r, ranges) for r in range(ranges)]
         universes = [hash_floor(r + 1, ranges) - floors[r] for r in range(ranges)]
     else:
+        if trie.parents(level) * width >= 1 << 63:
+            raise OverflowError(f"level {level}: {trie.parents(level)} parents x {width} words pass 63-bit keys")
         bounds = trie.bounds(level)
         floors = [int(b) * width for b in bounds[:-1]]
         universes = [max(1, int(b - a) * width) for a, b in zip(bounds, bounds[1:])]
@@ -342,7 +357,8 @@ def add_level(trie: Trie, train: DataFrame, folder: str) -> None:
                     if held:
                         rows.append(close())
                     open_, held = r, []
-                held.append((EliasFano(k).decode(), np.frombuffer(c, "<u4").astype(np.int64)))
+                keys = EliasFano(k).decode()
+                held.append((keys, stored_counts(c, len(keys)).astype(np.int64)))
                 if len(held) > 32:
                     held = [summed(*(np.concatenate(x) for x in zip(*held)))]
         if held:

@@ -61,6 +61,24 @@ def model(docs, order, d):
     return counts, total, vocab, log_prob
 
 
+@pytest.mark.parametrize("most", [3, 2**32 - 1, 2**32, 5_000_000_000])
+def test_counts_beyond_32_bits(most):
+    keys, counts = np.array([5, 9, 70], np.uint64), np.array([1, most, 2], np.int64)
+    level = ngram.Words(ngram.Words.build(keys, counts, 100))
+    assert level.counts.tolist() == counts.tolist() and level.keys.decode().tolist() == keys.tolist()
+    (block,) = ngram._blocks(np.array([0, 0, 1]), keys, counts, [0, 50], [50, 50])
+    got = [ngram.stored_counts(c, EliasFano(k).n).tolist()
+           for k, c in zip(block.column("keys").to_pylist(), block.column("counts").to_pylist())]
+    assert got == [[1, most], [2]]
+    assert ngram.stored_counts(ngram.count_bytes(counts[:0]), 0).tolist() == []
+
+
+def test_keys_beyond_63_bits_are_refused(spark):
+    trie = ngram.Trie(files=[[""], [""]], sizes=[np.array([10**9]), np.array([10**10])], ranges=1)
+    with pytest.raises(OverflowError):
+        ngram.add_level(trie, spark.createDataFrame([("a",)], "text string"), "unused")
+
+
 def words(t):
     return [*WORD.findall((t or "").encode().lower()), None]
 
