@@ -210,20 +210,46 @@ def running_count(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
                 .drop(_C, "_pp_local", "_pp_n_carry"))
 
 
+def gap_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, max_gap: float,
+                 ts_col: str | None = None, chunk_seconds: int | None = None,
+                 chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+    """Number of silences of more than ``max_gap`` seconds between neighbouring
+    readings of the key, up to the current one: readings of equal number are an
+    unbroken stretch. Chunk-carried; a reading without a time breaks nothing."""
+    ts_col = ts_col or order[0]
+    limit = F.lit(round(max_gap * 1_000_000))
+
+    def cols(w: WindowSpec) -> dict[str, Column]:
+        us = micros_of(df, ts_col)
+        return {"_pp_gap": F.when(us - F.lag(us, 1).over(w) > limit, F.lit(1))}
+    out = rows_window(df, keys, order, cols, preceding=1, ts_col=ts_col,
+                      chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+    return running_count(out, keys, order, name, of="_pp_gap", ts_col=ts_col,
+                         chunk_seconds=chunk_seconds, chunk_rows=chunk_rows).drop("_pp_gap")
+
+
 # --------------------------------------------------------------------------
 # Feature windows of the jobs
 
 
 def lagged_window_features(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                            ripple: str, temperature: str, load: str, size: int = 20,
-                           include_current: bool = False, ts_col: str | None = None,
+                           include_current: bool = False, max_gap: float | None = None, ts_col: str | None = None,
                            chunk_seconds: int | None = None, chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W1 (training, rows i-size..i-1) / W2 (serving, rows i-size+1..i).
 
     Adds mean_ripple, std_ripple (population), mean_temp, temp_rise
     (last - first), mean_load, temp_range (max - min) and ``n_window``.
     W1 keeps only rows with a full window (n -> n - size per device); W2 marks
-    short windows with ``window_status = 'insufficient'``."""
+    short windows with ``window_status = 'insufficient'``. With ``max_gap`` no
+    window reaches over a silence of more seconds: filling starts anew."""
+    if max_gap is not None:
+        df = gap_segments(df, keys, order, "_pp_segment", max_gap=max_gap, ts_col=ts_col,
+                          chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+        return lagged_window_features(
+            df, [*keys, "_pp_segment"], order, ripple=ripple, temperature=temperature, load=load, size=size,
+            include_current=include_current, ts_col=ts_col, chunk_seconds=chunk_seconds,
+            chunk_rows=chunk_rows).drop("_pp_segment")
     lo, hi = (-(size - 1), 0) if include_current else (-size, -1)
 
     def cols(w: WindowSpec) -> dict[str, Column]:
@@ -307,17 +333,23 @@ def centred_mean(df: DataFrame, keys: Sequence[str], order: Sequence[str], col:
     ``rowsBetween(-k, k)``."""
     def cols(w: WindowSpec) -> dict[str, Column]:
         f = w.rowsBetween(-half_width, half_width)
-        agg = F.median(col) if median else F.avg(col)
-        return {name: agg.over(f)}
+        if not median:
+            return {name: F.avg(col).over(f)}
+        # Spark's median takes no ordered frame; a frame holds 2k + 1 values at most
+        held = F.array_sort(F.collect_list(col).over(f))
+        n = F.size(held)
+        middle = (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2.0
+        return {name: F.when(n > 0, middle)}
     return rows_window(df, keys, order, cols, preceding=half_width, following=half_width,
                        ts_col=ts_col, chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str,
-                name: str, *, ts_col: str, chunk_seconds: int | None = None,
+                name: str, *, ts_col: str, max_gap: float | None = None, chunk_seconds: int | None = None,
                  chunk_rows: int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Time-linear interpolation of NULL gaps between the previous and
-    next known values; edges stay NULL."""
+    next known values; edges stay NULL, and so do gaps whose known values lie
+    more than ``max_gap`` seconds apart."""
     us = "_pp_us"
     tmp = (df.withColumn(us, epoch_micros(ts_col))
              .withColumn("_pp_pv", F.col(col)).withColumn("_pp_pt", F.when(F.col(col).isNotNull(), F.col(us)))
@@ -329,8 +361,10 @@ def interpolate(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: s
     frac = F.try_divide((F.col(us) - F.col("_pp_pt")).cast("double"),
                         F.when(F.col("_pp_nt") != F.col("_pp_pt"),
                                (F.col("_pp_nt") - F.col("_pp_pt")).cast("double")))
-    val = F.when(F.col(col).isNotNull(), F.col(col)).otherwise(
-        F.col("_pp_pv") + (F.col("_pp_nv") - F.col("_pp_pv")) * frac)
+    between = F.col("_pp_pv") + (F.col("_pp_nv") - F.col("_pp_pv")) * frac
+    if max_gap is not None:
+        between = F.when(F.col("_pp_nt") - F.col("_pp_pt") <= F.lit(round(max_gap * 1_000_000)), between)
+    val = F.when(F.col(col).isNotNull(), F.col(col)).otherwise(between)
     return tmp.withColumn(name, val).drop(us, "_pp_pv", "_pp_pt", "_pp_nv", "_pp_nt")
 
 

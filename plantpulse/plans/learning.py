@@ -19,7 +19,8 @@ from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import split as S
 from ..operators.joins import join_small, reconcile
-from ..operators.windows import micros_of
+from ..operators.quality import fill_mean
+from ..operators.windows import micros_of, rolling_std
 from ..session import scratch_path
 from ..sources.model_registry import ModelRegistry
 from ..sources.readers import read_table
@@ -338,6 +339,55 @@ def belt_soft_voting(spark: SparkSession, sf: str) -> DataFrame:
     return _report(vote, "label", [0.0, 1.0])
 
 
+# ------------------------------------------------------------------ belt (forests)
+
+def _belt_readings(spark, sf):
+    """Belt sensors per line, one belt per supplier, in order of shipping."""
+    li = read_table(spark, sf, "lineitem")
+    return li.select(*LINE_KEY, "l_shipdate",
+                     (F.lit(100.0) + F.lit(0.8) * F.col("l_quantity")).alias("current"),
+                     (F.lit(10.0) * F.col("l_tax")).alias("speed_diff"),
+                     (F.col("l_quantity") / F.lit(5.0)).alias("vibration"),
+                     (F.lit(40.0) + F.lit(600.0) * F.col("l_discount")).alias("temperature"))
+
+
+def _belt_slip(spark, sf):
+    slip = ((F.col("speed_diff") > 0.5) & (F.col("vibration") > 5.0)).cast("int")
+    return S.split_flag(_belt_readings(spark, sf).withColumn("label", _noisy(slip, 2, *LINE_KEY)), LINE_KEY, 0.2)
+
+
+@query("belt_slip_forest")
+def belt_slip_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """M5 RF(100, 8) on current, speed gap, vibration and temperature; the
+    label is slipping, 2 % of it wrong -> A12 report on the hold-out."""
+    d = _belt_slip(spark, sf)
+    model = _cached("belt_slip", sf, lambda: ML.fit(
+        ML.pipeline(FEATURES["belt_slip"], ML.forest_classifier(100, 8, 42)), d.filter(~F.col("is_test"))))
+    return _report(ML.scored(model, d.filter(F.col("is_test"))), "label", [0.0, 1.0])
+
+
+def _belt_fault(spark, sf):
+    """The current's swing over five readings of the belt (W3), its missing
+    first value filled with the mean (P14); faults are slipping, a swinging
+    current at high temperature, or a hot shaking bearing."""
+    d = rolling_std(_belt_readings(spark, sf), ["l_suppkey"], ["l_shipdate", *LINE_KEY], "current", "current_std", size=5)
+    d = fill_mean(d, ["current_std"]).withColumnsRenamed(
+        {"vibration": "vibration_motor", "temperature": "temperature_bearing"})
+    hot = F.col("temperature_bearing") > 80
+    fault = (((F.col("speed_diff") > 0.5) & (F.col("vibration_motor") > 5.0)) | ((F.col("current_std") > 12) & hot)
+             | ((F.col("vibration_motor") > 8) & hot)).cast("int")
+    return S.split_flag(d.withColumn("label", _noisy(fault, 2, *LINE_KEY)), LINE_KEY, 0.2)
+
+
+@query("belt_fault_forest")
+def belt_fault_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """W3 + P14 -> M5 RF(200, 8) on five features -> A12 report on the hold-out."""
+    d = _belt_fault(spark, sf)
+    model = _cached("belt_fault", sf, lambda: ML.fit(
+        ML.pipeline(FEATURES["belt_fault"], ML.forest_classifier(200, 8, 42)), d.filter(~F.col("is_test"))))
+    return _report(ML.scored(model, d.filter(F.col("is_test"))), "label", [0.0, 1.0])
+
+
 # ------------------------------------------------------------------ embeddings
 
 @query("embedding_forest")

@@ -98,6 +98,32 @@ def signal_fills(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("device_id", "seq", *[rnd(c, 6).alias(c) for c in ["ffill", "interpolated", "smooth"]])
 
 
+@query("signal_fills_bounded", f"""
+WITH r AS ({EVENT_READINGS_SQL}),
+f AS (SELECT device_id, seq, ts, signal,
+             last_value(signal IGNORE NULLS) OVER before AS prev_v,
+             last_value(CASE WHEN signal IS NOT NULL THEN ts END IGNORE NULLS) OVER before AS prev_ts,
+             first_value(signal IGNORE NULLS) OVER after AS next_v,
+             first_value(CASE WHEN signal IS NOT NULL THEN ts END IGNORE NULLS) OVER after AS next_ts,
+             median(signal) OVER (PARTITION BY device_id ORDER BY ts, seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS middle
+      FROM r
+      WINDOW before AS (PARTITION BY device_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+             after AS (PARTITION BY device_id ORDER BY ts, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT device_id, seq,
+       round(CASE WHEN signal IS NOT NULL THEN signal
+                  WHEN next_ts - prev_ts <= INTERVAL 24 HOUR
+                  THEN prev_v + (next_v - prev_v) * (date_diff('microsecond', prev_ts, ts)
+                        / nullif(date_diff('microsecond', prev_ts, next_ts), 0)) END, 6) AS interpolated,
+       round(middle, 6) AS middle
+FROM f
+""")
+def signal_fills_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """P16 with ``max_gap`` (known values at most a day apart), P17 by medians."""
+    df = W.interpolate(_readings(spark, sf), KEYS, ORDER, "signal", "interpolated", ts_col="ts", max_gap=86_400.0)
+    df = W.centred_mean(df, KEYS, ORDER, "signal", "middle", half_width=2, median=True)
+    return df.select("device_id", "seq", *[rnd(c, 6).alias(c) for c in ["interpolated", "middle"]])
+
+
 @query("every_fifth_reading", f"""
 WITH r AS ({EVENT_READINGS_SQL})
 SELECT device_id, seq FROM (

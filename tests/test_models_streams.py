@@ -84,3 +84,11 @@ def test_frame_stats_match_spark_window(spark):
                       preceding=4, chunk_seconds=None)
     got = [(r.m, r.s) for r in w.orderBy("i").collect()]
     assert [g[0] for g in got] == list(mean) and [g[1] for g in got] == list(std)
+
+
+@pytest.mark.parametrize("name, accuracy, f1", [("belt_slip_forest", 0.93, 0.88), ("belt_fault_forest", 0.9, 0.85)])
+def test_belt_forests_hold_their_floors(spark, name, accuracy, f1):
+    """Labels carry 2 % noise."""
+    rows = {r.row: r for r in Q[name](spark, SF_SMALL).collect()}
+    assert rows["accuracy"].f1 > accuracy, rows
+    assert rows["macro avg"].f1 > f1, rows

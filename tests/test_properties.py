@@ -156,3 +156,48 @@ def test_w1_equals_w2_shifted(spark):
     a = {r.id: round(r.mean_temp, 9) for r in w1.collect()}
     b = {r.next_id: round(r.mean_temp, 9) for r in w2s.collect() if r.next_id is not None}
     assert a == b
+
+
+@SETTINGS
+@given(readings, st.sampled_from([0.5, 20.0, 90.0]))
+def test_windows_do_not_reach_over_gaps(spark, rows, max_gap):
+    df = frame(spark, rows)
+    want, seen = {}, {}
+    for dev, i, s, v in sorted(((d, i, s, v) for i, (d, s, v) in enumerate(rows)), key=lambda r: (r[0], r[2], r[1])):
+        part, last, held = seen.get(dev, (0, s, []))
+        if s - last > max_gap:
+            part, held = part + 1, []
+        held = [*held, v][-3:]
+        seen[dev] = (part, s, held)
+        known = [x for x in held if x is not None]
+        want[i] = (part, len(known), round(sum(known) / len(known), 6) if known else None)
+    for chunk in (None, 60):
+        args = dict(max_gap=max_gap, ts_col="ts", chunk_seconds=chunk, chunk_rows=None)
+        seg = W.gap_segments(df, ["dev"], ["ts", "id"], "part", **args)
+        out = W.lagged_window_features(df, ["dev"], ["ts", "id"], ripple="v", temperature="v", load="v", size=3,
+                                       include_current=True, **args)
+        assert "_pp_segment" not in out.columns
+        part = {r.id: r.part for r in seg.collect()}
+        got = {r.id: (part[r.id], r.n_window, None if r.mean_temp is None else round(r.mean_temp, 6)) for r in out.collect()}
+        assert got.keys() == want.keys()
+        for i, (p, n, m) in got.items():
+            assert (p, n) == want[i][:2] and (m is None) == (want[i][2] is None)
+            assert m is None or abs(m - want[i][2]) < 1e-5
+
+
+def test_interpolation_leaves_long_gaps(spark):
+    df = frame(spark, [(0, 0, 1.0), (0, 10, None), (0, 20, 3.0), (0, 50, None), (0, 81, 5.0), (0, 90, None)])
+    out = W.interpolate(df, ["dev"], ["ts", "id"], "v", "x", ts_col="ts", max_gap=60.0)
+    assert [r.x for r in out.orderBy("id").collect()] == [1.0, 2.0, 3.0, None, 5.0, None]
+    out = W.interpolate(df, ["dev"], ["ts", "id"], "v", "x", ts_col="ts", max_gap=61.0)
+    assert out.where("id = 3").first().x is not None
+
+
+def test_centred_median_against_sorted_frames(spark):
+    vals = [4.0, None, 1.0, 9.0, 9.0, None, None, None, None, None, 2.0, 7.0]
+    df = frame(spark, [(0, 10 * i, v) for i, v in enumerate(vals)])
+    for chunk in (None, 30):
+        out = W.centred_mean(df, ["dev"], ["ts", "id"], "v", "m", median=True, ts_col="ts", chunk_seconds=chunk, chunk_rows=None)
+        got = [r.m for r in out.orderBy("id").collect()]
+        want = [pd.Series(vals[max(0, i - 2):i + 3], dtype="float64").median() for i in range(len(vals))]
+        assert got == [None if math.isnan(x) else x for x in want]
