@@ -159,29 +159,26 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  backward: bool = False) -> DataFrame:
     """Replace NULL by the last earlier non-NULL value of the key
     (leading NULLs stay NULL). ``backward=True`` takes the next later value
-    instead (used by interpolation)."""
-    fn = F.first if backward else F.last
+    instead (used by interpolation): the same running frame over the reversed
+    order, since a frame that ends with the partition is summed anew for every
+    row."""
     base = with_chunks(df, keys, ts_col or order[0], chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
     if base is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        w = (w.rowsBetween(0, Window.unboundedFollowing) if backward
-             else w.rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumns({c: fn(c, ignorenulls=True).over(w) for c in cols})
+        w = Window.partitionBy(*keys).orderBy(*_order_cols(order, backward)).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
     ordkey = F.struct(*[F.col(o) for o in order])
     # last (first) non-null value of each chunk, as a partial aggregate
     pick = F.min_by if backward else F.max_by
     summary = {f"_pp_{c}": pick(F.col(c), F.when(F.col(c).isNotNull(), ordkey)) for c in cols}
     if backward:
-        nxt = Window.partitionBy(*keys).orderBy(_C).rowsBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy(*keys).orderBy(F.col(_C).desc()).rowsBetween(Window.unboundedPreceding, -1)
         s = base.groupBy(*keys, _C).agg(*[v.alias(k) for k, v in summary.items()])
-        carried = s.select(*keys, _C, *[F.first(k, ignorenulls=True).over(nxt).alias(f"{k}_carry")
+        carried = s.select(*keys, _C, *[F.last(k, ignorenulls=True).over(later).alias(f"{k}_carry")
                                         for k in summary])
     else:
         carried = _chunk_carry(base, keys, summary, lambda k, w: F.last(k, ignorenulls=True).over(w))
-    w = Window.partitionBy(*keys, _C).orderBy(*order)
-    w = (w.rowsBetween(0, Window.unboundedFollowing) if backward
-         else w.rowsBetween(Window.unboundedPreceding, 0))
-    local = base.withColumns({f"_pp_{c}_local": fn(c, ignorenulls=True).over(w) for c in cols})
+    w = Window.partitionBy(*keys, _C).orderBy(*_order_cols(order, backward)).rowsBetween(Window.unboundedPreceding, 0)
+    local = base.withColumns({f"_pp_{c}_local": F.last(c, ignorenulls=True).over(w) for c in cols})
     from .joins import null_safe_join
 
     out = null_safe_join(local, carried, [*keys, _C])

@@ -54,6 +54,21 @@ def test_small_devices_use_plain_windows(spark):
     assert "_pp_chunk" not in p
 
 
+@pytest.mark.parametrize("how", [{"chunk_rows": None}, {"chunk_rows": 9}])
+def test_backward_fill_runs_over_the_reversed_order(spark, how):
+    """A frame that ends with the partition costs the square of a key's rows."""
+    rows = [(i % 3 or None, None if i % 11 == 0 else i // 2, i, None if i % 4 else float(i)) for i in range(80)]
+    df = spark.createDataFrame(rows, "dev int, s long, id long, v double")
+    out = W.forward_fill(df, ["dev"], ["s", "id"], ["v"], ts_col="s", backward=True, **how)
+    assert "unboundedfollowing" not in plan(out)
+    want = {}
+    for dev in (None, 1, 2):
+        mine, known = sorted((r for r in rows if r[0] == dev), key=lambda r: (r[1] is not None, r[1] or 0, r[2])), None
+        for r in reversed(mine):
+            want[r[2]] = known = r[3] if r[3] is not None else known
+    assert {r.id: r.v for r in out.collect()} == want
+
+
 def test_stats_back_joins_are_broadcast(spark):
     p = plan(Q["pump_histogram"](spark, SF_SMALL))
     assert "BroadcastHashJoin" in p
