@@ -33,6 +33,19 @@ def test_nan_never_passes_a_predicate(spark):
     assert raw is True and clean is None
 
 
+def test_the_look_ahead_waits_for_the_next_reading(spark, tmp_path):
+    """Neither SQL nor code ends the search for the target at some time."""
+    from plantpulse.plans import QUERIES
+
+    rows = [(1, 0, 1, 5.0), (2, 3600, 1, 6.0), (3, 3601, 1, 7.0), (4, 400_000, 1, 8.0), (5, 10, 2, 9.0)]
+    e = spark.createDataFrame(rows, "event_id long, s long, user_id long, value double").select(
+        "event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), "user_id",
+        F.lit("view").alias("event_type"), "value", F.lit('{"k": 1}').alias("props"))
+    e.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.seq: r.target_signal for r in QUERIES["look_ahead_target"](spark, str(tmp_path)).collect()}
+    assert got == {1: 7.0, 2: 8.0, 3: 8.0, 4: None, 5: None}
+
+
 def test_zero_denominators_do_not_raise(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0)], "flow double, head double, power double")
     r = df.select(X.efficiency_index("flow", "head", "power").alias("e"),
