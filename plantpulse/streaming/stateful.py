@@ -27,18 +27,20 @@ from ..operators.windows import EPOCH_NTZ, micros_of
 # ------------------------------------------------------------------ T2 / T5: bounded buffer
 
 
-def frame_stats(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def frame_stats(x: np.ndarray, size: int, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count, mean, population std) of every trailing ``size``-row frame,
     evaluated like Spark's window aggregates (each frame summed from its first
     row; moments by the same running update) so streaming and batch results
-    are bit-identical. Vectorised across rows, ``size`` steps."""
-    n = len(x)
-    padded = np.concatenate([np.zeros(size - 1), x])
-    frames = np.lib.stride_tricks.sliding_window_view(padded, size)
-    first_valid = np.maximum(0, size - 1 - np.arange(n))
-    cnt, tot, avg, m2 = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    are bit-identical. Vectorised across rows (the last axis, from row ``start``
+    on) and columns, ``size`` steps."""
+    n = x.shape[-1]
+    padded = np.concatenate([np.zeros((*x.shape[:-1], size - 1)), x], axis=-1)
+    frames = np.lib.stride_tricks.sliding_window_view(padded, size, axis=-1)[..., start:, :]
+    first_valid = np.maximum(0, size - 1 - np.arange(start, n))
+    cnt = np.zeros(n - start)
+    tot, avg, m2 = (np.zeros(frames.shape[:-1]) for _ in range(3))
     for j in range(size):
-        v = frames[:, j]
+        v = frames[..., j]
         ok = j >= first_valid
         c1 = cnt + 1.0
         delta = v - avg
@@ -79,57 +81,62 @@ def buffer_features(stream: DataFrame, key: str, ts: str, seq: str, *, ripple: s
         T.StructField("t", T.ArrayType(T.DoubleType())), T.StructField("r", T.ArrayType(T.DoubleType())),
         T.StructField("l", T.ArrayType(T.DoubleType())), T.StructField("emitted", T.IntegerType())])
 
+    kinds = [np.int64, np.int64, np.float64, np.float64, np.float64]
+
     def fn(k, pdfs, state: GroupState):
-        parts, nb = [], 0
+        # arrays, no frames: a device has a few readings in a micro-batch, and
+        # there are as many calls as devices
+        held, nb = [np.empty(0, kind) for kind in kinds], 0
         if state.exists:
-            *held, nb = state.get
-            parts.append(pd.DataFrame({c: list(v) for c, v in zip(cols, held)}))
+            *lists, nb = state.get
+            held = [np.array(v, dtype=kind) for v, kind in zip(lists, kinds)]
+        parts = [held]
         if not state.hasTimedOut:
-            parts += [p[cols] for p in pdfs]
-        allr = pd.concat([p for p in parts if len(p)] or parts, ignore_index=True).astype({"_us": "int64", "_seq": "int64"})
+            parts += [[p[c].astype(kind, copy=False).to_numpy() for c, kind in zip(cols, kinds)] for p in pdfs]
+        held = [np.concatenate(x) for x in zip(*parts)]
         # the first nb rows are the emitted ones; the rest waits in time order
-        waiting = allr.iloc[nb:].sort_values(["_us", "_seq"], kind="mergesort")
-        allr = pd.concat([allr.iloc[:nb], waiting], ignore_index=True)
+        order = np.concatenate([np.arange(nb), nb + np.lexsort((held[1][nb:], held[0][nb:]))])
+        us, ids, tv, rv, lv = held = [x[order] for x in held]
         passed_us = state.getCurrentWatermarkMs() * 1000
-        due = nb + int((waiting["_us"] <= passed_us).sum())
-        if due == nb and state.hasTimedOut and len(allr) == nb:
+        due = nb + int((us[nb:] <= passed_us).sum())
+        if due == nb and state.hasTimedOut and len(us) == nb:
             state.remove()  # silent for idle_seconds
             return
-        ready = allr.iloc[:due]
-        kept = pd.concat([ready.tail(size - 1), allr.iloc[due:]])
         n_kept = min(due, size - 1)
-        state.update((*[kept[c].tolist() for c in cols], n_kept))
-        if len(kept) > n_kept:
-            wake_ms = int(-(-kept["_us"].iloc[n_kept] // 1000))
+        state.update((*[x[due - n_kept:].tolist() for x in held], n_kept))
+        if len(us) > due:
+            wake_ms = int(-(-us[due] // 1000))
         elif idle_seconds is not None:
-            wake_ms = int(kept["_us"].iloc[-1] // 1000 + idle_seconds * 1000)
+            wake_ms = int(us[-1] // 1000 + idle_seconds * 1000)
         else:
             wake_ms = None
         if wake_ms is not None:
             state.setTimeoutTimestamp(max(wake_ms, state.getCurrentWatermarkMs() + 1))
         if due == nb:
             return
-        tv, rv, lv = (ready[c].to_numpy(dtype=float) for c in ("_t", "_r", "_l"))
-        idx = np.arange(len(ready))
-        start = np.maximum(0, idx - size + 1)
-        roll = lambda s: s.rolling(size, min_periods=1)
-        n, mean_r, std_r = frame_stats(rv, size)
-        _, mean_t, _ = frame_stats(tv, size)
-        _, mean_l, _ = frame_stats(lv, size)
-        res = pd.DataFrame({
-            key: k[0], seq: ready["_seq"].astype("int64"), "n_window": n.astype("int64"),
-            "mean_ripple": mean_r, "std_ripple": std_r,
-            "mean_temp": mean_t, "temp_rise": tv - tv[start],
-            "mean_load": mean_l,
-            "temp_range": roll(ready["_t"]).max() - roll(ready["_t"]).min()})
-        res["window_status"] = np.where(n < size, "insufficient", "ready")
-        yield res.iloc[nb:].reset_index(drop=True)
+        tv = tv[:due]
+        start = np.maximum(0, np.arange(nb, due) - size + 1)
+        n, mean, std = frame_stats(np.stack([rv[:due], tv, lv[:due]]), size, nb)
+        yield pd.DataFrame({
+            key: k[0], seq: ids[nb:due], "n_window": n.astype("int64"),
+            "mean_ripple": mean[0], "std_ripple": std[0],
+            "mean_temp": mean[1], "temp_rise": tv[nb:] - tv[start],
+            "mean_load": mean[2], "temp_range": frame_range(tv, size, nb),
+            "window_status": np.where(n < size, "insufficient", "ready")})
 
     return (src.groupBy("_key")
                .applyInPandasWithState(fn, out_schema, state_schema, "append",
                                        GroupStateTimeout.EventTimeTimeout))
 
 
+def frame_range(x: np.ndarray, size: int, start: int = 0) -> np.ndarray:
+    """Largest less smallest number of every trailing ``size``-row frame from row
+    ``start`` on; values that are missing or infinite do not count."""
+    padded = np.concatenate([np.full(size - 1, np.nan), np.where(np.isinf(x), np.nan, x)])
+    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[start:]
+    return np.fmax.reduce(frames, axis=1) - np.fmin.reduce(frames, axis=1)
+
+
 # ------------------------------------------------------------------ T3: cool-down
 
 
