@@ -96,6 +96,16 @@ def with_chunks(df: DataFrame, keys: Sequence[str], ts_col: str, *, chunk_second
     return j.withColumn(_C, F.when(F.col("_pp_b").isNull(), F.lit(0).cast("long")).otherwise(chunk)).drop("_pp_b")
 
 
+def _rows_bound(df: DataFrame, keys: Sequence[str], chunk_seconds: int | None, chunk_rows: int | None) -> int | None:
+    """``chunk_rows`` for steps that follow each other on the same rows: ``None``
+    when no key has more, so that none of them counts (and computes the steps
+    before it) again."""
+    if chunk_seconds is not None or chunk_rows is None:
+        return chunk_rows
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pp_n")).agg(F.max("_pp_n")).first()[0]
+    return chunk_rows if (most or 0) > chunk_rows else None
+
+
 def _order_cols(order: Sequence[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
@@ -215,6 +225,7 @@ def gap_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     unbroken stretch. Chunk-carried; a reading without a time breaks nothing."""
     ts_col = ts_col or order[0]
     limit = F.lit(round(max_gap * 1_000_000))
+    chunk_rows = _rows_bound(df, keys, chunk_seconds, chunk_rows)
 
     def cols(w: WindowSpec) -> dict[str, Column]:
         us = micros_of(df, ts_col)
@@ -241,8 +252,12 @@ def lagged_window_features(df: DataFrame, keys: Sequence[str], order: Sequence[s
     short windows with ``window_status = 'insufficient'``. With ``max_gap`` no
     window reaches over a silence of more seconds: filling starts anew."""
     if max_gap is not None:
+        chunk_rows = _rows_bound(df, keys, chunk_seconds, chunk_rows)
         df = gap_segments(df, keys, order, "_pp_segment", max_gap=max_gap, ts_col=ts_col,
                           chunk_seconds=chunk_seconds, chunk_rows=chunk_rows)
+        if chunk_rows is not None:  # the stretches of a big device are counted and cut, too
+            from ..session import materialize
+            df = materialize(df, "segments")
         return lagged_window_features(
             df, [*keys, "_pp_segment"], order, ripple=ripple, temperature=temperature, load=load, size=size,
             include_current=include_current, ts_col=ts_col, chunk_seconds=chunk_seconds,
