@@ -21,7 +21,7 @@ from ..operators import split as S
 from ..operators.joins import join_small, reconcile
 from ..operators.quality import fill_mean
 from ..operators.windows import micros_of, rolling_std
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.model_registry import ModelRegistry
 from ..sources.readers import read_table
 from ..sources.schemas import FEATURES, LEAK_CLASSES, PUMP_CLASSES
@@ -277,7 +277,8 @@ def inverter_two_output_forest(spark: SparkSession, sf: str) -> DataFrame:
     """M7: one RF regressor (100, 10, all features) per target on the shared
     W1 window table; A13 life MAE + A14 thermal accuracy on a time-ordered
     hold-out (last 20 % of days)."""
-    w = health_windows(spark, sf)
+    # read by the cut, two fits and two reports
+    w = materialize(health_windows(spark, sf), "inverter-windows")
     # time-ordered hold-out: the last fifth of the readings (one row of a cut)
     us = micros_of(w, "ts")
     cut = w.agg(F.percentile_approx(us, 0.8, 10_000).alias("_cut"))
