@@ -53,6 +53,13 @@ def stratified_flag(df: DataFrame, keys: Sequence[str], label: str, test_fractio
 CUT_DIGITS = 4
 
 
+def _struct_lit(row, kind) -> Column:
+    """A row of strings from the driver as a column of its type."""
+    if row is None:
+        return F.lit(None).cast(kind)
+    return F.struct(*[F.lit(v).cast("string").alias(f.name) for f, v in zip(kind.fields, row)])
+
+
 def exact_cuts(df: DataFrame, keys: Sequence[str], ranks, label: str | None = None) -> DataFrame:
     """``df`` with ``_pp_part``, the number of cuts a row lies
     behind, when rows are ordered by md5 of (label and) key. ``ranks`` gives, from
@@ -81,7 +88,11 @@ def exact_cuts(df: DataFrame, keys: Sequence[str], ranks, label: str | None = No
         *[F.max(F.when(F.col("_pp_i") == i, F.col("_pp_o"))).alias(f"_pp_e{i}") for i in range(len(wanted))])
     edges = materialize(edges, "cut-edges")  # a row per class
     marked = df.withColumn("_pp_o", order)
-    marked = null_safe_join(marked, edges, own, "left") if own else marked.join(edges, F.lit(True), "left")
+    if own:
+        marked = null_safe_join(marked, edges, own, "left")
+    else:  # one row of a few edges: literals, no join with every row
+        row = edges.first()
+        marked = marked.withColumns({f"_pp_e{i}": _struct_lit(row[i], edges.schema[i].dataType) for i in range(len(wanted))})
     behind = [F.coalesce(F.col("_pp_o") > F.col(f"_pp_e{i}"), F.lit(True)).cast("int") for i in range(len(wanted))]
     part = sum(behind[1:], behind[0])
     return marked.withColumn("_pp_part", part).select(*df.columns, "_pp_part")
