@@ -20,7 +20,7 @@ from plantpulse.llm.common import held_out, prepare, scratch, table, texts
 
 
 #: Cache of the packing stage: its executors' heaps are full of the stages before.
-PACKING_CACHE = 20 << 20
+PACKING_CACHE = 8 << 20
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, llm_query, table, texts
-from .tokens import GENERATION, worker_tokenizer
+from .tokens import GENERATION, give_back, worker_tokenizer
 
 CAPACITY = 2048
 END_ID = 1
@@ -118,6 +118,7 @@ def pack(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, end_
         rows = packer.close()
         if rows:
             yield batch(rows)
+        give_back()
     return arrow_map(docs, run, SCHEMA, tokenizes=True)
 
 

@@ -11,12 +11,15 @@ generated texts).
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 from .common import space_chunks
 
@@ -26,6 +29,9 @@ GENERATION, ENTRY = 72 << 20, 160
 #: Characters looked up together.
 TOGETHER = 1 << 20
 
+#: Marks that compose with a letter before them.
+_MARK = re.compile("[\u0300-\u036f]")
+
 
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: a
@@ -71,26 +77,39 @@ class ChunkTokenizer:
         if word.isascii():
             return word if self.leading_space else word.lower()
         if not self.leading_space:
-            word = "".join([c.lower() for c in unicodedata.normalize("NFC", word)])
+            word = unicodedata.normalize("NFC", word)
+            # letter by letter: Python alone has a small sigma for the end of a word
+            word = "".join([c.lower() for c in word]) if "Σ" in word else word.lower()
             if not word.isalpha():
                 return None
         return word.encode("utf-8").decode("latin-1").translate(self.letters)
 
+    def _lower(self, text: str) -> str:
+        """``text`` with A-Z lower-cased, as the tokenizer does after composing
+        letters with their marks; texts with such marks are left as they are (J
+        with a caron is no single letter, but j with a caron is), and those
+        that would hold a special token only then."""
+        if not text.isascii() and _MARK.search(text):
+            return text
+        low = text.encode("utf-8").lower().decode("utf-8")
+        return text if self.added is not None and self.added.search(low) else low
+
     def _key(self, chunk: str) -> tuple[str, bytes]:
         """The chunk without a closing mark that is a token of its own behind
         letters, and that mark's ids; lower-cased where the tokenizer does."""
         tail = b""
-        if len(chunk) > 1 and chunk[-1] in ".," and self._letters_only(chunk[:-1]) is not None:
+        if chunk[-1:] in self.marks and self._letters_only(chunk[:-1]) is not None:
             chunk, tail = chunk[:-1], self.marks[chunk[-1]]
         if not self.leading_space and chunk.isascii():
-            chunk = chunk.lower()
+            chunk = self._lower(chunk)
         return chunk, tail
 
     def _encode_keys(self, keys: list[str]) -> list[bytes]:
         """Ids of new chunks: a word of letters is one pre-token and goes to
         the merges directly, anything else through the whole tokenizer."""
         lead, space = ("Ġ", " ") if self.leading_space else ("", "")
-        words = [self._letters_only(k) for k in keys]
+        # keys of ASCII letters are lower-cased already where the tokenizer does
+        words = [k if k.isascii() and k.isalpha() else self._letters_only(k) for k in keys]
         mixed = iter(self._plain([space + k for k, w in zip(keys, words) if w is None]))
         tokenize = self.model.tokenize
         return [next(mixed) if w is None else array("I", [t.id for t in tokenize(lead + w)]).tobytes()
@@ -100,28 +119,32 @@ class ChunkTokenizer:
         """Ids of the chunks that the current generation lacks."""
         new, old = self.new, self.old
         ids_of: dict = dict.fromkeys([chunks[i] for i in lack])
-        keys = [self._key(c) for c in ids_of]
-        fresh = []
-        for k in dict.fromkeys([k for k, _ in keys]):
-            if k not in new:
-                ids = old.get(k)
-                if ids is None:
-                    fresh.append(k)
-                else:
-                    new[k] = ids
-                    self.held += len(k) + len(ids) + ENTRY
+        fresh: dict = {}
+        forms = []  # chunks that are not their own key
+        for c in ids_of:
+            if c.isalpha() and c.isascii() and (self.leading_space or c.islower()):
+                k = c
+            else:
+                k, tail = self._key(c)
+                if k != c:
+                    forms.append((c, k, tail))
+                    if k in new:
+                        continue
+            ids = old.get(k)
+            if ids is None:
+                fresh[k] = None
+            else:
+                new[k] = ids
+                self.held += len(k) + len(ids) + ENTRY
         if fresh:
-            coded = self._encode_keys(fresh)
+            coded = self._encode_keys(list(fresh))
             new.update(zip(fresh, coded))
             self.held += sum(map(len, fresh)) + sum(map(len, coded)) + ENTRY * len(fresh)
-        first_seen = set(fresh)
-        for c, (k, tail) in zip(ids_of, keys):
-            ids_of[c] = new[k] + tail
-            if k not in first_seen:  # another form of a word seen before
-                new[c] = ids_of[c]
-                self.held += len(c) + len(ids_of[c]) + ENTRY
+        for c, k, tail in forms:
+            ids = new[c] = new[k] + tail
+            self.held += len(c) + len(ids) + ENTRY
         for i in lack:
-            got[i] = ids_of[chunks[i]]
+            got[i] = new[chunks[i]]
         if self.held >= self.cache_bytes:
             self.old, self.new, self.held = new, {}, 0
 
@@ -165,7 +188,7 @@ class ChunkTokenizer:
                 heads.append(chunks[0] if chunks else "")
                 flat += chunks[1:]
             else:  # white space is dropped, so a line break may be a space
-                flat += text.replace("\n", " ").split(" ")
+                flat += self._lower(text).replace("\n", " ").split(" ")
             edges.append(len(flat))
         got = list(map(self.new.get, flat))
         lack = [i for i, x in enumerate(got) if x is None]
@@ -191,4 +214,17 @@ def worker_tokenizer(path: str, leading_space: bool, cache_bytes: int = GENERATI
 
 def forget() -> None:
     """Drop this worker's tokenizers and their caches."""
-    _TOKENIZERS.clear()
+    if _TOKENIZERS:
+        _TOKENIZERS.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system. Workers wait for their next task with
+    what they have, next to the executor's heap, and an allocator keeps the
+    pages of dropped caches and batches."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)

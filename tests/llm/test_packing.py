@@ -35,6 +35,43 @@ def test_chunked_ids_equal_whole_texts(both, parts):
     assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
 
 
+def test_letters_that_compose_with_marks():
+    """J, H, T, W and Y compose with these marks only as small letters, after
+    the library has composed: their texts are not lower-cased beforehand."""
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    own, ref = ChunkTokenizer(path, False), Tokenizer.from_file(path)
+    marked = ["J\u030cA ab\u0331 H\u0331 T\u0308.", "W\u030a, Y\u030a É", "I\u0307 İ. ΑΣ, ß", "Words, WORDS. words", "ÄÖ Äö, äö.",
+              "A <|ENDOFTEXT|> b", "<|EndOfText|>"]  # capitals are no special token, though small letters are
+    flat, sizes = own.encode_batch(marked, 1)
+    want = [[*ref.encode(t, add_special_tokens=False).ids, 1] for t in marked]
+    assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
+
+
+def test_forms_of_a_word_are_held_once():
+    """Capital forms took an entry each, and time to find the word's own."""
+    own = ChunkTokenizer(P.path("word_bpe_49k.json"), False)
+    own.encode_batch(["pump Pump PUMP pUmp ßé SSé PUMPé Pumpé"], 1)
+    assert set(own.new) == {"pump", "ßé", "ssé", "pumpé"}
+
+
+def test_a_dropped_cache_goes_back_to_the_system():
+    """Idle workers lie beside the executor's heap: the next stage's limit."""
+    import subprocess
+    import sys
+
+    code = ("import public_tokenizers as P; from plantpulse.llm import tokens\n"
+            "def rss(): return int(open('/proc/self/statm').read().split()[1]) * 4 // 1024\n"
+            "tok = tokens.worker_tokenizer(P.path('word_bpe_49k.json'), False, 40 << 20); base = rss()\n"
+            "for a in range(12): tok.encode_batch([' '.join(f'{i:x}w{a}' for i in range(20000))], 1)\n"
+            "full = rss(); del tok; tokens.forget(); print(base, full, rss())")
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True,
+                         cwd=os.path.dirname(os.path.dirname(packing.__file__)) + "/..", timeout=120)
+    base, full, left = map(int, out.stdout.split())
+    assert full > base + 20 and left < base + 5, out.stdout
+
+
 def check(pieces, docs, capacity):
     """Every id in one piece, gapless sequences, padding as promised."""
     seqs, by_doc = defaultdict(list), defaultdict(list)
