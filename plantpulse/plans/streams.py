@@ -59,9 +59,12 @@ def events_stream(spark: SparkSession, sf: str) -> DataFrame:
 #: it too, so the heartbeat is told by its sequence id.
 HEARTBEAT = -1
 
+#: Slices of a replay, one per micro-batch, and rows of one file of a slice.
+SLICES, FILE_ROWS = 5, 500_000
+
 
 def replayed_events(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    """The events as a stream of out-of-order files, one per micro-batch, with
+    """The events as a stream of out-of-order slices, one per micro-batch, with
     a heartbeat five days later, and the heartbeat's event id, which no event
     has. Readings without a time come a day after all others, in order of
     their ids, as in the SQL twins (NULL times last): no reading is left out."""
@@ -71,7 +74,9 @@ def replayed_events(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
 def replayed(e: DataFrame, beat_type: str = "beat") -> tuple[DataFrame, int]:
     spark = e.sparkSession
     end = F.coalesce(F.max("ts"), F.lit("1970-01-01").cast(e.schema["ts"].dataType))
-    last = e.agg(end.alias("ts"), F.coalesce(F.min("event_id"), F.lit(0)).alias("least")).first()  # one row
+    last = e.agg(end.alias("ts"), F.coalesce(F.min("event_id"), F.lit(0)).alias("least"),
+                 F.count(F.lit(1)).alias("n")).first()  # one row
+    files = max(1, -(-last["n"] // (SLICES * FILE_ROWS)))
     beat_id = min(last["least"], 0) - 1
     end = F.lit(last["ts"]).cast(e.schema["ts"].dataType)
     beat = spark.range(1).select(
@@ -79,7 +84,8 @@ def replayed(e: DataFrame, beat_type: str = "beat") -> tuple[DataFrame, int]:
         F.lit(beat_type).alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 1}').alias("props"))
     beat = beat.select(*[F.col(f.name).cast(f.dataType) for f in e.schema.fields])
     timed = e.withColumn("ts", F.coalesce("ts", (end + F.expr("INTERVAL 1 DAY")).cast(e.schema["ts"].dataType)))
-    return read_stream(spark, J.replay(timed, "ts", beat), e.schema, "parquet", max_files_per_trigger=1), beat_id
+    folder = J.replay(timed, "ts", beat, slices=SLICES, files=files)
+    return read_stream(spark, folder, e.schema, "parquet", max_files_per_trigger=files), beat_id
 
 
 @query("stream_window_features", _SERVING_ORACLE)

@@ -54,26 +54,37 @@ def fault_sessions(stream: DataFrame, keys: Sequence[str], ts: str, *, gap: str
                           F.col("s.end").alias("session_end"), "n_faults"))
 
 
-def replay(df: DataFrame, ts: str, heartbeat: DataFrame, *, slices: int = 5, jitter_hours: int = 12) -> str:
-    """Write a table as ``slices`` files of rising time for a file stream, rows
-    out of order by up to ``jitter_hours`` across files, and a last file with
+def replay(df: DataFrame, ts: str, heartbeat: DataFrame, *, slices: int = 5, jitter_hours: int = 12,
+           files: int = 1) -> str:
+    """Write a table as ``slices`` slices of rising time for a file stream, rows
+    out of order by up to ``jitter_hours`` across slices, and a last file with
     the ``heartbeat`` rows: later than all readings, they move the watermark
     past them, so that a bounded replay emits everything. Rows without a time
     are in the last slice; a watermark drops them, so give them one before.
-    Returns the folder."""
-    out = scratch_path(df.sparkSession, "replay")
+    A slice is exactly ``files`` files (empty ones where rows are few): read that
+    many per micro-batch, for a slice cut over micro-batches has rows behind the
+    watermark of its own first files. Returns the folder."""
+    spark = df.sparkSession
+    out = scratch_path(spark, "replay")
+
+    def append(rows: DataFrame, expected: int) -> None:
+        rows.write.option("maxRecordsPerFile", 0).mode("append").parquet(out)
+        written = len(spark.read.schema(df.schema).parquet(out).inputFiles())
+        for _ in range(expected - written):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(out)
+
     us = F.unix_micros(F.col(ts).cast("timestamp")) + F.pmod(F.xxhash64(*df.columns), F.lit(jitter_hours * 3_600_000_000))
     shifted = df.withColumn("_pp_at", us)
     lo, hi, n = shifted.agg(F.min("_pp_at"), F.max("_pp_at"), F.count(F.lit(1))).first()
     if lo is None and n:
-        df.write.mode("append").parquet(out)
+        append(df.repartition(files), files)
     if lo is not None:
         edges = [lo + (hi + 1 - lo) * i // slices for i in range(slices + 1)]
-        for a, b in zip(edges, edges[1:]):
+        for i, (a, b) in enumerate(zip(edges, edges[1:]), 1):
             here = (F.col("_pp_at") >= a) & (F.col("_pp_at") < b)
             if b == edges[-1]:
                 here = here | F.col("_pp_at").isNull()
-            shifted.filter(here).drop("_pp_at").write.mode("append").parquet(out)
+            append(shifted.filter(here).drop("_pp_at").repartition(files), i * files)
     heartbeat.select(*df.columns).coalesce(1).write.mode("append").parquet(out)
     return out
 
