@@ -105,6 +105,22 @@ def test_life_search_sets_the_parameters_of_all_targets(rows):
     assert deep.metric == pytest.approx(sum(folds) / 5, rel=0.5)
 
 
+def test_life_search_fits_other_targets_for_the_best_point_only(rows, monkeypatch):
+    fitted, fit = [], EN.MultiTarget._fit
+    monkeypatch.setattr(EN.MultiTarget, "_fit", lambda self, df: (fitted.extend(self.targets), fit(self, df))[1])
+    grid = {"numTrees": [3], "maxDepth": [2, 4]}
+    cvm, res = life_search(rows, ["a", "b"], ["heat", "life"], "life", grid)
+    assert sorted(fitted) == ["heat"] + ["life"] * 11  # 2 points x 5 folds, and the best point
+    # the same errors and the same best model as with both targets in every fold
+    rf = ML.forest_regressor(100, 10, 42, subset="all").setFeaturesCol("_raw")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="_raw"), EN.MultiTarget(rf, ["heat", "life"])])
+    want, all_res = ML.cross_validate(pipe, ML.param_grid(rf, **grid), EN.TargetMAE("life"), rows)
+    assert res.orderBy("point").collect() == all_res.orderBy("point").collect()
+    got, whole = cvm.bestModel.transform(rows), want.bestModel.transform(rows)
+    assert cvm.bestModel.stages[-1].targets == ["heat", "life"] and got.columns == whole.columns
+    assert got.exceptAll(whole).count() == 0
+
+
 def test_search_grid_has_the_36_points():
     n = math.prod(len(v) for v in FOREST_GRID.values())
     assert n == 36 and FOREST_GRID["numTrees"] == [50, 100, 200]
