@@ -45,7 +45,7 @@ def private_data_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 ids, with the ids."""
     prepare(spark)
-    return packing.pack(texts(docs), public_tokenizers.path("word_bpe_49k.json"), cache_bytes=PACKING_CACHE)
+    return packing.pack(texts(docs), public_tokenizers.path("word_bpe_49k.json"), cache_bytes=PACKING_CACHE, keep=False)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ used inside tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import ensure_checkpoint_dir, materialize, release, scratch_path, ship_package  # noqa: F401
 
@@ -72,16 +74,27 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def trim() -> None:
+    """Return freed pages to the system: allocators keep those of dropped
+    caches and batches."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give is not None:
+        give(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str, tokenizes: bool = False) -> DataFrame:
-    """``mapInArrow``. Python workers outlive their stages; one that turns to
-    work other than tokenizing lets go of its tokenizer's cache first."""
+              schema: str | StructType, tokenizes: bool = False) -> DataFrame:
+    """``mapInArrow``. Python workers outlive their stages and wait next to the
+    executor's heap; one that turns to work other than tokenizing lets go of its
+    tokenizer's cache first, and each gives back a task's memory behind it."""
     name = f"{__package__}.tokens"
 
     def run(batches):
         if not tokenizes and name in sys.modules:
             sys.modules[name].forget()
         yield from fn(batches)
+        trim()
     return df.mapInArrow(run, schema)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, llm_query, table, texts
-from .tokens import GENERATION, give_back, worker_tokenizer
+from .tokens import GENERATION, forget, give_back, worker_tokenizer
 
 CAPACITY = 2048
 END_ID = 1
@@ -96,10 +96,11 @@ class HarmonicPacker:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, end_id: int = END_ID,
-         capacity: int = CAPACITY, cache_bytes: int = GENERATION) -> DataFrame:
+         capacity: int = CAPACITY, cache_bytes: int = GENERATION, keep: bool = True) -> DataFrame:
     """Pieces of (doc_id, text), with their ids as little-endian 32-bit bytes.
     ``sequence_id`` is unique: the task's number above its bin counter. A Python
-    worker keeps two cache generations of ``cache_bytes``; less costs time only."""
+    worker keeps two cache generations of ``cache_bytes``; less costs time only,
+    and so does dropping the tokenizer behind each task (not ``keep``)."""
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         doc, start, ids, n, seq, off = zip(*rows)
         return pa.RecordBatch.from_arrays(
@@ -118,7 +119,11 @@ def pack(docs: DataFrame, tokenizer_path: str, leading_space: bool = False, end_
         rows = packer.close()
         if rows:
             yield batch(rows)
-        give_back()
+        del tok
+        if keep:
+            give_back()
+        else:
+            forget()
     return arrow_map(docs, run, SCHEMA, tokenizes=True)
 
 

@@ -252,7 +252,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, usable, threshold: float = THR
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(shared.value.score(batch_features(b.column("text"))) >= threshold))
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 @llm_query("op1_quality_classifier")

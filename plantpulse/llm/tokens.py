@@ -11,7 +11,6 @@ generated texts).
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import os
 import re
@@ -19,9 +18,8 @@ import unicodedata
 from array import array
 
 import numpy as np
-import pyarrow as pa
 
-from .common import space_chunks
+from .common import space_chunks, trim
 
 #: Bytes of one cache generation (two are kept, so memory stays bounded), and
 #: what an entry takes besides its characters and ids.
@@ -220,11 +218,6 @@ def forget() -> None:
 
 
 def give_back() -> None:
-    """Return freed memory to the system. Workers wait for their next task with
-    what they have, next to the executor's heap, and an allocator keeps the
-    pages of dropped caches and batches."""
+    """Collect what is unreachable and return its memory to the system."""
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim is not None:
-        trim(0)
+    trim()

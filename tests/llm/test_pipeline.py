@@ -81,3 +81,21 @@ def test_run_gives_the_last_stage(spark, stages):
         want.setdefault(r.doc_id, set()).add(r.doc_tokens)
     assert docs.keys() == want.keys()
     assert all(sum(n for _, n in p) in want[i] for i, p in docs.items())
+
+
+def test_packing_leaves_no_tokenizer_in_waiting_workers(spark):
+    import pyarrow as pa
+
+    from plantpulse.llm.common import prepare
+
+    def held(batches):
+        import sys
+        n = sum(b.num_rows for b in batches)
+        tokens = sys.modules.get("plantpulse.llm.tokens")
+        yield pa.RecordBatch.from_pydict({"n": [n], "kept": [len(tokens._TOKENIZERS) if tokens else 0]})
+    prepare(spark)
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(32)
+    docs = P.good_documents(spark, docs, SF_SMALL).select("doc_id", "text").unionByName(docs)  # drops what is held
+    assert P.packed(spark, docs, SF_SMALL).count() >= 200
+    probe = spark.range(400).repartition(64).mapInArrow(held, "n long, kept long").collect()
+    assert sum(r.n for r in probe) == 400 and not any(r.kept for r in probe)
