@@ -20,6 +20,20 @@ def test_training_partitions_follow_the_rows(spark, monkeypatch):
     assert ML.spread(df).rdd.getNumPartitions() == 40
 
 
+def test_a_large_training_table_is_sorted_inside_its_partitions(spark, monkeypatch):
+    df = spark.range(400).select((F.col("id") * 37 % 400).alias("x"), "id")
+    pipe = ML.pipeline(["x"], ML.forest_classifier(2, 2, 1))
+
+    def dealt():
+        return [[r.x for r in part] for part in ML.training_table(pipe, df).rdd.glom().collect()]
+    small = dealt()
+    assert small == [[r.x for r in part] for part in df.repartition(ML.TRAIN_PARTITIONS).rdd.glom().collect()]
+    monkeypatch.setattr(ML, "TRAIN_ROWS", 10)
+    large = dealt()
+    assert len(large) == 40 and sorted(sum(large, [])) == list(range(400))
+    assert all(part == sorted(part) for part in large)
+
+
 def test_forests_keep_no_node_id_per_row_and_tree(spark):
     assert not ML.forest_classifier().getCacheNodeIds() and not ML.forest_regressor().getCacheNodeIds()
 
