@@ -34,6 +34,15 @@ def test_a_large_training_table_is_sorted_inside_its_partitions(spark, monkeypat
     assert all(part == sorted(part) for part in large)
 
 
+def test_boosting_deals_a_middling_table_to_more_partitions(spark, monkeypatch):
+    assert [ML.train_partitions(n, True) for n in (0, 1_900_000, 2_900_000, 50_000_000)] == [16, 16, 24, 200]
+    assert ML.train_partitions(2_900_000) == 16
+    monkeypatch.setattr(ML, "BOOST_ROWS", 20)
+    df = spark.range(400).select(F.col("id").cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label"))
+    for model, parts in ((ML.boosted_regressor(2), 20), (ML.boosted_one_vs_rest(2), 20), (ML.forest_regressor(2), 16)):
+        assert ML.training_table(ML.pipeline(["x"], model), df).rdd.getNumPartitions() == parts
+
+
 def test_forests_keep_no_node_id_per_row_and_tree(spark):
     assert not ML.forest_classifier().getCacheNodeIds() and not ML.forest_regressor().getCacheNodeIds()
 
